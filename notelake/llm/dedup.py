@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, connected_components, hash_words, mix64, window_hashes
+from .common import U64, checkpoint, connected_components, hash_words, mix64, ranges, window_hashes
 
 #: Registers, rows a band, base, rate and largest value of the sketch.
 M, ROWS, BASE, RATE, Q = 128, 4, 1.001, 20.0, (1 << 16) - 2
@@ -191,52 +191,114 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, i
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id").mapInArrow(run, "u long, v long").distinct()
 
 
-_BLOCK = 512
+_BLOCK = 256
 
 
-def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of different components that share a band. members: key, doc, comp, size, sketch. A
-    bucket is dealt over pairs of blocks of about 512 members; the first shared band alone reports a pair."""
-    blocks = members.withColumn("n", F.ceil(F.col("size") / _BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "doc", "comp", "size", "sketch", "n_shingles"
-    )
+class _Block:
+    """Documents of two blocks of one bucket: registers, sizes, components."""
+
+    def __init__(self, key: tuple, rows: list[tuple], threshold: float):
+        self.key, self.threshold = key, threshold
+        self.doc, self.comp, self.blk, sk, n = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
+        self.reg = np.frombuffer(b"".join(sk.tolist()), np.uint16).reshape(len(rows), -1).astype(np.int32)
+        self.n = n.astype(np.float64)
+        self.bands = band_keys(self.reg)
+        self.band = int(np.flatnonzero(self.bands[0] == key[0])[0])
 
-    def pairs_of(key, rows):
-        doc, comp, blk, sk, n = (np.array(x) for x in zip(*rows, strict=True))
-        reg = np.frombuffer(b"".join(sk.tolist()), np.uint16).reshape(len(doc), -1)
-        n = n.astype(np.float64)
-        first = band_keys(reg)
-        at = int(np.flatnonzero(first[0] == key[0])[0])
-        left = np.flatnonzero(blk == key[1])
-        right = np.flatnonzero(blk == key[2])
+    def partners(self):
+        """(row, rows) of another component that share this band first and that the registers don't refute."""
+        left, right = np.flatnonzero(self.blk == self.key[1]), np.flatnonzero(self.blk == self.key[2])
         for i in left:
-            r = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) if key[1] == key[2] else True)]
-            if at and len(r):
-                r = r[~(first[r, :at] == first[i, :at]).any(axis=1)]
+            r = right[self.comp[right] != self.comp[i]]
+            if self.key[1] == self.key[2]:
+                r = r[self.doc[r] > self.doc[i]]
+            if self.band and len(r):
+                r = r[~(self.bands[r, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+            if not len(r):
+                continue
+            x, y = self.reg[i], self.reg[r]
+            same = (x == y).sum(1)
+            # Six standard deviations below the threshold; what is near is judged by the likelihood.
+            near = same >= len(x) * self.threshold - 6 * np.sqrt(len(x) * self.threshold * (1 - self.threshold))
+            r, y, same = r[near], y[near], same[near]
             if len(r):
-                x, y = reg[i].astype(np.int32), reg[r].astype(np.int32)
-                ok = r[plausible((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), n[i], n[r], threshold)]
-                for j in ok:
-                    yield int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            a, b = [], []
-            for k, bi, bj, blk, doc, comp, sk, n in zip(*(batch.column(c).to_pylist() for c in ("key", "bi", "bj", "blk", "doc", "comp", "sketch", "n_shingles")), strict=True):
-                if key != (k, bi, bj):
-                    for x, y in pairs_of(key, rows) if len(rows) > 1 else ():
-                        a.append(x)
-                        b.append(y)
-                    key, rows = (k, bi, bj), []
-                rows.append((doc, comp, blk, sk, n))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if len(rows) > 1:
-            found = list(pairs_of(key, rows))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "doc").mapInArrow(run, "a long, b long").distinct()
+                r = r[plausible((x > y).sum(1), (x < y).sum(1), same, self.n[i], self.n[r], self.threshold)]
+                if len(r):
+                    yield int(i), r
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of equal keys of sorted batches, each as its rows."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *(batch.column(c).to_pylist() for c in rest), strict=True):
+            if k != key:
+                if rows:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(tuple(row))
+    if rows:
+        yield key, rows
+
+
+def _open_links(docs: DataFrame, members: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (u, v) between different components within buckets. members: key, doc, comp, size, sketch, n_shingles.
+
+    A bucket is dealt over pairs of blocks of about 256 members. A first pass over registers finds the documents of a block
+    pair that have a plausible partner there; only their texts are sent, and the pairs are confirmed on full sets where
+    they meet. Pairs never become rows, and a block reports a spanning forest of its links."""
+    num, den = threshold
+    keys, rest = ("key", "bi", "bj"), ("doc", "comp", "blk", "sketch", "n_shingles")
+    blocks = members.withColumn("n", F.ceil(F.col("size") / _BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), *rest[:1], "comp", "blk", "sketch", "n_shingles")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _grouped(batches, keys, rest):
+            if len(rows) > 1:
+                b = _Block(key, rows, num / den)
+                some = sorted({x for i, r in b.partners() for x in (i, *r.tolist())})
+                if some:
+                    yield pa.RecordBatch.from_pylist([dict(zip((*keys, *rest), (*key, *rows[x]), strict=True)) for x in some], schema=arrow)
+
+    arrow = pa.schema([("key", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("doc", pa.int64()), ("comp", pa.int64()), ("blk", pa.int32()), ("sketch", pa.binary()), ("n_shingles", pa.int64())])
+    schema = "key long, bi int, bj int, doc long, comp long, blk int, sketch binary, n_shingles long"
+    picked = checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(pick, schema))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sent = texts.join(picked.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select(*keys, *rest, "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _grouped(batches, keys, (*rest, "text")):
+            b = _Block(key, rows, num / den)
+            sets, bounds = shingle_sets([r[5] or b"" for r in rows], n)
+            size = np.diff(bounds)
+            root = {c: c for c in b.comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            u, v = [], []
+            for i, r in b.partners():
+                r = np.array([j for j in r.tolist() if find(b.comp[j]) != find(b.comp[i])], np.int64)
+                mine = sets[bounds[i] : bounds[i + 1]]
+                r = r[size[r] > 0]
+                if not len(mine) or not len(r):
+                    continue
+                x = sets[ranges(bounds[r], size[r])]
+                p = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+                both = np.add.reduceat((mine[p] == x).astype(np.int64), np.cumsum(size[r]) - size[r])
+                for j in r[den * both >= num * (len(mine) + size[r] - both)].tolist():
+                    c, d = find(b.comp[i]), find(b.comp[j])
+                    if c != d:
+                        root[max(c, d)] = min(c, d)
+                        u.append(int(b.doc[i]))
+                        v.append(int(b.doc[j]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(confirm, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -246,9 +308,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     2. Representatives are put into buckets by bands. Each is verified against the bucket minimum that it meets in most
        bands; the confirmed links give components.
     3. In buckets that still hold several components, pairs across components that the likelihood doesn't refute are
-       verified too: nothing is capped, and no pair within a component is made.
+       verified too, block by block: nothing is capped, and pairs never become rows.
     """
-    num, den = threshold
     sig = checkpoint(signatures(docs, n))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -259,15 +320,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     members = checkpoint(keyed.join(buckets, "key"))
     votes = members.where("doc > pivot").groupBy(F.col("doc").alias("b"), F.col("pivot").alias("a")).count()
     best = votes.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    links = checkpoint(_verified(docs, best, n, (num, den)))
+    links = checkpoint(_verified(docs, best, n, threshold))
     comp = connected_components(links)
     labelled = members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", "size", F.coalesce("component", "doc").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     sk = reps.select(F.col("rep").alias("doc"), "sketch", "n_shingles")
-    more = checkpoint(_open_pairs(labelled.join(mixed, "key").join(sk, "doc"), num / den))
+    more = checkpoint(_open_links(docs, labelled.join(mixed, "key").join(sk, "doc"), n, threshold))
     if not more.isEmpty():
-        links = checkpoint(links.unionByName(_verified(docs, more, n, (num, den))))
-        comp = connected_components(links)
+        comp = connected_components(links.unionByName(more))
     of_class = classes.join(comp, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.col("n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"))
     s = sig.select("doc_id", "n_shingles", "f1", "f2")
     out = s.join(of_class, (s.f1 == of_class.f1) & (s.f2 == of_class.f2) & (s.n_shingles == of_class.k), "left")
