@@ -105,24 +105,41 @@ def encode_record(record_id: str, kind: str, url: str, date: str, headers: dict[
     return gzip.compress(data, mtime=0) if compress else data
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """Content of each gzip member, or the data itself; a broken member ends the file."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out = z.decompress(data)
+        except zlib.error:
+            return
+        if not z.eof:
+            return
+        yield out
+        data = z.unused_data
+
+
 def decode_records(data: bytes) -> Iterator[dict]:
     """Records of a WARC file, gzip members or plain, one at a time."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    try:
+    for member in _members(data):
+        f = io.BytesIO(member)
         while line := f.readline():
             if not line.strip():
                 continue
-            if not line.startswith(b"WARC/"):
+            head = _headers(f) if line.startswith(b"WARC/") else {}
+            if not head.get("content-length", "").isdigit():
                 return
-            head = _headers(f)
             block = f.read(int(head["content-length"]))
+            if len(block) < int(head["content-length"]):
+                return
             http, _, payload = block.partition(b"\r\n\r\n")
             yield {
                 "record_id": head.get("warc-record-id", "").strip("<>"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"),
                 "headers": _headers(io.BytesIO(http.partition(b"\r\n")[2])), "refers_to": head.get("warc-refers-to", "").strip("<>") or None, "payload": payload,
             }
-    except (EOFError, OSError, zlib.error, KeyError, ValueError):
-        return
 
 
 def _headers(f) -> dict[str, str]:
