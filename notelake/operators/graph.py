@@ -60,13 +60,17 @@ def reciprocal_pairs(notes: DataFrame) -> DataFrame:
     return labelled_edges(notes).agg(F.expr("count_if(kind = 'Bidirectional') div 2").alias("bidirectional"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of undirected edges (u, v), by star contraction; rounds are cut by reliable checkpoints in
-    spark.checkpoint.dir, or a temporary folder where that is unset."""
-    spark = edges.sparkSession
+def saved(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir, or a temporary folder where that is unset, and read from there."""
+    spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-"))
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of undirected edges (u, v), by star contraction; rounds are cut by reliable checkpoints."""
+    e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        e = large.join(least, "u").select(F.explode(pairs).alias("x")).select("x.u", "x.v").where("u <> v").distinct().checkpoint()
+        e = saved(large.join(least, "u").select(F.explode(pairs).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import jaccard, round_half_even
 
-from .graph import components
+from .graph import components, saved
 from .parse import path_penalty
 
 
@@ -77,10 +77,11 @@ def _titles(parsed: DataFrame, common: int) -> tuple[DataFrame, float]:
 
 
 def pairs(parsed: DataFrame, c: Scoring = Scoring(), common: int = 100) -> DataFrame:  # noqa: B008
-    """l, r, raw, content_sim, title_sim, link_overlap, factor, confidence of all pairs that may reach a threshold."""
-    notes = parsed.select("rel_path", "title", "title_tokens", "link_set")
+    """l, r, raw, content_sim, title_sim, link_overlap, factor, confidence of all pairs that reach a threshold."""
+    parsed = saved(parsed.select("rel_path", "title", "title_tokens", "link_set", "top_terms"))
+    notes = parsed.drop("top_terms")
     n = notes.count()
-    raw = content_pairs(parsed)
+    raw = saved(content_pairs(parsed))
     q = quantiles(raw, n)
     q0 = (q.where("raw = 0").select("q").first() or [0.0])[0] if c.norm == "quantile" else 0.0
     rare, bound = _titles(parsed, common)
@@ -100,7 +101,8 @@ def pairs(parsed: DataFrame, c: Scoring = Scoring(), common: int = 100) -> DataF
         "l", "r", "l_title", "r_title", "raw", (F.col("q") if c.norm == "quantile" else F.col("raw")).alias("content_sim"),
         jaccard(F.col("l_tt"), F.col("r_tt")).alias("title_sim"), jaccard(F.col("l_ls"), F.col("r_ls")).alias("link_overlap"), path_penalty(F.col("l"), F.col("r"), c.penalty).alias("factor"),
     )
-    return d.withColumn("confidence", confidence(F.col("content_sim"), F.col("title_sim"), F.col("link_overlap"), F.col("factor"), c))
+    d = d.withColumn("confidence", confidence(F.col("content_sim"), F.col("title_sim"), F.col("link_overlap"), F.col("factor"), c))
+    return saved(d.where(F.col("confidence") >= min(c.min_related, c.merge)))
 
 
 def related(p: DataFrame, c: Scoring = Scoring(), top: int = 3) -> DataFrame:  # noqa: B008

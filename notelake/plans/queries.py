@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 _WITH = r"""
-with n as (select count(*)::bigint c from documents),
+with recursive n as (select count(*)::bigint c from documents),
 notes as materialized (select doc_id, lang as vault, concat(source,'/note-',doc_id,'.md') as rel_path, concat('note-',doc_id) as title,
   concat(case when doc_id%3=0 then concat('---',chr(10),'keywords: [',lang,', ',source,']',chr(10),'---',chr(10)) else '' end,
     coalesce(text,''), chr(10),
