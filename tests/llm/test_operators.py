@@ -159,6 +159,8 @@ def test_lattice_scores(docs, empty):
     want = sorted((str(d), held(d), len(w) + 1, sum(c[x] > 0 for x in [*w, "end"]), n, round(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in [*w, "end"]), 4)) for d, w in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    mean = lambda c: sum(r[c] for r in got if not r.held_out) / n
+    assert mean("score") > mean("base_score") - 0.2
     assert lattice.score_documents(empty, MODEL).count() == 0
 
 
@@ -175,6 +177,15 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(lattice.expected_counts(p, [b" b"], np.array([2.0]))[strings.index(b"b")], 2.0)
 
 
+def test_word_arcs():
+    """Seen words weigh their count, new ones their pieces; the whole is a distribution, and nothing underflows."""
+    lp = np.log(np.array([0.5, 0.25, 0.25]))
+    got = np.exp(lattice.with_word_arc(lp, np.array([6, 0, 2]), 8, 2))
+    assert np.allclose(got, [(6 + 2 * 0.5) / 10, 2 * 0.25 / 10, (2 + 2 * 0.25) / 10]) and np.isclose(got.sum(), 1)
+    assert np.allclose(lattice.with_word_arc(np.array([-5000.0]), np.array([0]), 8, 2), [-5000 + math.log(2 / 10)])
+    assert np.allclose(lattice.with_word_arc(lp, np.zeros(3), 0, 0), lp)
+
+
 def test_bpe(docs, empty, spark):
     from tokenizers import Tokenizer
 
