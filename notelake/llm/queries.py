@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, dedup, langid, lattice, pii, substring, warc
 from .common import table
+from .sql import SQL  # noqa: F401
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_near_duplicates, op2_nearest_neighbours, op3_repeated_passages, op4_personal_data, op5_language_model, op6_bpe, op7_decontamination, op8_preference_format, op9_warc_revisits, op10_language, pipeline)
 }
-SQL: dict[str, str] = {}

@@ -30,7 +30,7 @@ RECORD = "record_id string, type string, url string, ts timestamp, headers map<s
 
 
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, without fragment, default port, `www.`, an empty query or a final slash of the path; scheme-free."""
+    """Scheme and host in lower case, without fragment, default port, `www.`, an empty query or the slash of an empty path; scheme-free."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":(?:80|443)$|^www\.", "")
