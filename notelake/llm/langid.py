@@ -15,6 +15,7 @@ rows with a null doc_id are never learned from and count as held out. Other colu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
+_FOLD_BYTES = _FOLD.tobytes()
+_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def grams(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -52,7 +55,7 @@ def grams(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes with two blanks between texts, and the start of each text (and the end)."""
-    buf = _FOLD[np.frombuffer(b"  ".join([*texts, b""]), np.uint8)]
+    buf = np.frombuffer(b"  ".join([*texts, b""]).translate(_FOLD_BYTES), np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     return buf, np.concatenate(([0], np.cumsum(lens)))
 
@@ -76,8 +79,7 @@ def add_up(texts: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def has_letter(text: bytes) -> bool:
-    low = _FOLD[np.frombuffer(text, np.uint8)]
-    return bool(((low > 96) & (low < 123)).any()) or any(c.isalpha() for c in text.decode("utf-8", "ignore"))
+    return _LETTER.search(text) is not None or any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
 @dataclass
@@ -167,15 +169,16 @@ def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 100, modulus: i
     return fit([(np.frombuffer(r.ids, np.uint16).astype(np.int64), np.frombuffer(r.cnt, np.uint32).astype(np.float64)) for r in rows], np.array([at[r.lang] for r in rows]), langs)
 
 
-def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) -> DataFrame:
-    """docs with held_out, lang_pred, score (calibrated probability) and rejected. Input columns of these names are replaced."""
-    keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "rejected")]
+def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2, columns: list[str] | None = None) -> DataFrame:
+    """docs with held_out, lang_pred, score (calibrated probability) and rejected. Input columns of these names are replaced.
+    columns: those of docs to return, with doc_id (default: all). The text crosses to Python once and comes back only if asked for."""
+    keep = [c for c in columns or docs.columns if c not in ("held_out", "lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            at, col = 0, batch.column(len(keep))
+            at, col = 0, batch.column(source).cast(pa.binary())
             while at < len(col):
                 texts, total, start = [], 0, at
                 while at < len(col) and (not texts or total < 1 << 20):
@@ -194,5 +197,6 @@ def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) ->
                 )
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    out = docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    source = keep.index("text") if "text" in keep else len(keep)
+    out = docs.select(*keep, *[F.col("text")] * ("text" not in keep)).mapInArrow(run, schema)
     return out.withColumn("held_out", _held(modulus, held))

@@ -81,7 +81,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(sf_dir, "documents", spark)
-    return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), langid.train(docs), columns=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
