@@ -6,8 +6,9 @@ below the present k-th distance, so most candidates are never read in full. Surv
 
 The centres are fitted on a bounded sample (sample_rows, documented; the index holds every row), and the number of probed
 lists is the smallest that covers `target` of the true neighbours of sample queries. Equal vectors form one class with their
-k + 1 smallest ids, so a vector that a third of the rows share is searched and answered once. Lists and their queries are cut into
-blocks, so no task holds a whole hot list.
+k + 1 smallest ids, so a vector that a third of the rows share is searched and answered once. Lists lie end to end and are cut into
+shards of equal rows, so no task holds a whole hot list; a query visits a shard once, its nearest lists first, each list under the
+bound that the ones before it left, and only its best k + 1 of the shard become rows. The queries of a shard are cut into blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
 than the most common one (ties: the longer), nor rows with a null id; repeated rows of one id and vector count once; fewer candidates than k are all returned.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-_COLS, _EPS, _BLOCK = 16, 2.1, 4096
+_COLS, _EPS, _BLOCK, _SHARD_BYTES = 16, 2.1, 4096, 8_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -56,14 +57,16 @@ def rotation(dim: int, seed: int = 3) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(x: np.ndarray, columns: list[np.ndarray], q: np.ndarray, rotated: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that survive all tests, with exact distances. columns: rotated vectors in blocks of dimensions, dimension-major."""
+def scan(x: np.ndarray, columns: list[np.ndarray], q: np.ndarray, rotated: np.ndarray, want: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one list that survive all tests, with exact distances. columns: rotated vectors in blocks of dimensions,
+    dimension-major. known: distances found in lists before; with `want` of them, their want-th is the first bound."""
     n, dim = x.shape
-    head = np.arange(min(n, max(2 * want, 32)))
+    head = np.arange(0 if len(known) >= want else min(n, max(2 * want, 32)))
     exact = np.sqrt(((x[head] - q) ** 2).sum(1))
+    near = np.concatenate([known, exact])
     if n <= len(head):
         return head, exact
-    tau = np.sort(exact)[want - 1]
+    tau = np.partition(near, want - 1)[want - 1]
     alive, part, done = np.arange(len(head), n), np.zeros(n - len(head)), 0
     for block in columns:
         d = block[:, alive] - rotated[done : done + len(block), None]
@@ -128,6 +131,13 @@ def nearest_neighbours(
     sizes = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # at most max_lists rows
         sizes[r[0]] = r[1]
+    # Lists lie end to end, neighbours (along the main axis of the centres) together, and are cut into shards of equal rows.
+    axis = centres @ np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+    starts = np.zeros(lists, np.int64)
+    along = np.argsort(axis, kind="stable")
+    starts[along] = np.cumsum(sizes[along]) - sizes[along]
+    shards = max(1, -(-int(sizes.sum()) * 8 * dim // _SHARD_BYTES))
+    rows_a_shard = max(1, -(-int(sizes.sum()) // shards))
     asked = v.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct().join(placed.select("cid", "v"), "v")
     asked = checkpoint(asked.select("query_id", F.col("cid").alias("qid")))
     qclasses = placed.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "v")
@@ -136,37 +146,56 @@ def nearest_neighbours(
         for b in batches:
             near = nearest(_matrix(b.column("v")), centres, lists)
             n = np.maximum(probes, (np.cumsum(sizes[near], axis=1) < 8 * want).sum(1) + 1).clip(max=lists)
-            row = np.repeat(np.arange(len(near)), n)
-            col = np.concatenate([np.arange(i) for i in n]) if len(n) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(near[row, col], pa.int32()), b.column("cid").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["list", "qid", "v"])
-
-    probed = qclasses.mapInArrow(probe, "list int, qid long, v array<double>")
-    loads = np.zeros(lists, np.int64)
-    for r in probed.groupBy("list").count().collect():
+            qid, out = b.column("cid").to_pylist(), ([], [], [])
+            for r in range(len(near)):
+                mine: dict[int, list[int]] = {}
+                for c in near[r, : n[r]].tolist():
+                    if sizes[c]:
+                        for shard in range(starts[c] // rows_a_shard, (starts[c] + sizes[c] - 1) // rows_a_shard + 1):
+                            mine.setdefault(int(shard), []).append(c)
+                out[0].extend(mine)
+                out[1].extend(mine.values())
+                out[2].extend([r] * len(mine))
+            row = pa.array(out[2], pa.int64())
+            columns = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32())), pa.array(qid, pa.int64()).take(row), b.column("v").take(row)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "lists", "qid", "v"])
+
+    probed = qclasses.mapInArrow(probe, "shard int, lists array<int>, qid long, v array<double>")
+    loads = np.zeros(shards, np.int64)
+    for r in probed.groupBy("shard").count().collect():  # at most one row a shard
         loads[r[0]] = r[1]
-    nb, nq = np.maximum(1, -(-sizes // _BLOCK)).tolist(), np.maximum(1, -(-loads // _BLOCK)).tolist()
-    nb_col, nq_col = F.array(*map(F.lit, nb))[F.col("list")], F.array(*map(F.lit, nq))[F.col("list")]
-    left = placed.select("list", F.pmod(F.xxhash64("cid"), nb_col).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), (nq_col - 1).cast("int"))).alias("j"), "v", "ids")
-    right = probed.select("list", F.explode(F.sequence(F.lit(0), (nb_col - 1).cast("int"))).alias("i"), F.pmod(F.xxhash64("qid"), nq_col).cast("int").alias("j"), "qid", "v")
+    nq_col = F.array(*map(F.lit, np.maximum(1, -(-loads // _BLOCK)).tolist()))
+    place = F.array(*map(F.lit, starts.tolist()))[F.col("list")] + F.pmod(F.xxhash64("cid"), F.array(*map(F.lit, np.maximum(1, sizes).tolist()))[F.col("list")])
+    left = placed.withColumn("shard", F.floor(place / rows_a_shard).cast("int"))
+    left = left.select("shard", F.explode(F.sequence(F.lit(0), (nq_col[F.col("shard")] - 1).cast("int"))).alias("j"), "list", "cid", "v", "ids")
+    right = probed.select("shard", F.pmod(F.xxhash64("qid"), nq_col[F.col("shard")]).cast("int").alias("j"), "lists", "qid", "v")
 
     def search(mine: pa.Table, asking: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if mine.num_rows and asking.num_rows:
-            x, ids = _matrix(mine.column("v")), mine.column("ids").to_pylist()
+            mine = mine.sort_by([("list", "ascending"), ("cid", "ascending")])
+            x, ids, own = _matrix(mine.column("v")), mine.column("ids").to_pylist(), mine.column("list").to_numpy()
+            at = np.searchsorted(own, np.arange(lists + 1))
             turned = np.ascontiguousarray((x @ rot).T)
-            columns = [turned[a : a + _COLS] for a in range(0, dim, _COLS)]
             qs = _matrix(asking.column("v"))
-            for qid, q, r in zip(asking.column("qid").to_pylist(), qs, qs @ rot, strict=True):
-                rows, score = scan(x, columns, q, r, want)
-                best = np.argsort(score, kind="stable")
-                best = best[score[best] <= score[best[min(want, len(best)) - 1]]]
-                found = sorted((score[b], i) for b in best for i in ids[rows[b]])[:want]
-                out[0].extend([qid] * len(found))
-                out[1].extend(i for _, i in found)
-                out[2].extend(float(s) for s, _ in found)
+            for qid, probing, q, r in zip(asking.column("qid").to_pylist(), asking.column("lists").to_pylist(), qs, qs @ rot, strict=True):
+                rows, score, known = [], [], np.zeros(0)
+                for c in probing:
+                    lo, hi = at[c], at[c + 1]
+                    if lo < hi:
+                        some, d = scan(x[lo:hi], [turned[a : a + _COLS, lo:hi] for a in range(0, dim, _COLS)], q, r, want, known)
+                        rows.append(some + lo)
+                        score.append(d)
+                        known = np.sort(np.concatenate([known, d]))[:want]
+                if rows:
+                    rows, score = np.concatenate(rows), np.concatenate(score)
+                    found = sorted((score[b], i) for b in np.flatnonzero(score <= known[-1]) for i in ids[rows[b]])[:want]
+                    out[0].extend([qid] * len(found))
+                    out[1].extend(i for _, i in found)
+                    out[2].extend(float(s) for s, _ in found)
         return pa.table({"qid": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    keys = ["list", "i", "j"]
+    keys = ["shard", "j"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid long, vec_id long, score double")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("r") <= want).drop("r")
     pairs = asked.join(top, "qid").where("vec_id <> query_id")
