@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import jaccard, round_half_even
 
+from .edits import ANCHOR
 from .graph import components, saved
 from .parse import path_penalty
 
@@ -129,7 +130,7 @@ def related_blocks(rel: DataFrame) -> DataFrame:
     """rel_path, confidence, markdown_block of notes with suggestions."""
     line = F.format_string("- [[%s]] (%.2f)", "target_title", round_half_even(F.col("confidence"), 2))
     rows = rel.groupBy("rel_path").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
-    return rows.select("rel_path", "confidence", F.concat(F.lit("## Related\n<!-- oka_related_v1 -->\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n"), F.lit("\n")).alias("markdown_block"))
+    return rows.select("rel_path", "confidence", F.concat(F.lit(f"## Related\n<!-- {ANCHOR} -->\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n"), F.lit("\n")).alias("markdown_block"))
 
 
 def metadata(parsed: DataFrame, rel: DataFrame, c: Scoring = Scoring()) -> DataFrame:  # noqa: B008
@@ -159,7 +160,7 @@ def merges(p: DataFrame, c: Scoring = Scoring()) -> DataFrame:  # noqa: B008
     return members.join(mean, "component").select("component", "candidates", round_half_even(F.col("m")).alias("average_confidence"))
 
 
-def plan(broken: DataFrame, rel: DataFrame, meta: DataFrame, merged: DataFrame) -> DataFrame:
+def plan(broken: DataFrame, rel: DataFrame, meta: DataFrame, merged: DataFrame, with_key: bool = False) -> DataFrame:
     """Numbered actions: at most five stubs by target, related sections, metadata, merge previews. The number of actions of a vault
     is numbered in one ordered window over narrow rows."""
     stub = broken.orderBy("target").limit(5).select(F.lit(1).alias("part"), F.col("target").alias("key"), F.lit("create_stub_note").alias("type"), F.lit("A").alias("risk_class"), F.when(F.lower("target").endswith(".md"), F.col("target")).otherwise(F.concat("target", F.lit(".md"))).alias("target_path"), F.lit(0.2).alias("confidence"))
@@ -169,4 +170,4 @@ def plan(broken: DataFrame, rel: DataFrame, meta: DataFrame, merged: DataFrame)
         .unionByName(rows(meta, 3, "rel_path", "add_frontmatter_fields", "read-only", F.col("rel_path"), "confidence"))
         .unionByName(rows(merged, 4, "component", "merge_preview", "read-only", F.lit("merge-preview"), "average_confidence"))
     )
-    return items.withColumn("id", F.format_string("act_%04d", F.row_number().over(W.orderBy("part", "key")))).select("id", "type", "risk_class", "target_path", "confidence")
+    return items.withColumn("id", F.format_string("act_%04d", F.row_number().over(W.orderBy("part", "key")))).select("id", "type", "risk_class", "target_path", "confidence", *(["key"] if with_key else []))

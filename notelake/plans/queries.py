@@ -431,7 +431,7 @@ def watch_latest_state(spark, sf):
 @query("select rel_path, sha256(case when contains(content, 'oka_related_v1') then content else concat(content, case when ends_with(content, concat(chr(10), chr(10))) then '' when ends_with(content, chr(10)) then chr(10) else concat(chr(10), chr(10)) end, '<!-- oka_related_v1 -->', chr(10)) end) as digest from notes")
 def apply_related_block(spark, sf):
     v = view(spark, sf)
-    return v.select("rel_path", F.sha2(edits.append_block(F.col("content"), F.lit(edits.ANCHOR), F.lit("<!-- oka_related_v1 -->\n")), 256).alias("digest"))
+    return v.select("rel_path", F.sha2(edits.append_block(F.col("content"), F.lit(edits.ANCHOR), F.lit(f"<!-- {edits.ANCHOR} -->\n")), 256).alias("digest"))
 
 
 @query("select rel_path, sha256(replace(content, '[[note-13]]', '[[renamed]]')) as digest from (select rel_path, replace(content, '[[note-13|', '[[renamed|') as content from notes)")
