@@ -50,6 +50,7 @@ def scores(notes: DataFrame, as_of: str, s: Standards = Standards()) -> DataFram
 
 def summary(scored: DataFrame) -> DataFrame:
     """One row: count, mean, upper median, extremes, grade counts, notes below 50 in each dimension."""
+    scored = graph.saved(scored.select("total", "grade", *WEIGHTS))
     at = scored.agg(F.expr("count(*) div 2").alias("k")).first()[0]
     # The upper median is the (n div 2)-th smallest: counts of distinct totals find it without sorting all rows in one task.
     hist = scored.groupBy("total").count()

@@ -23,7 +23,8 @@ def tag_frequency(notes: DataFrame) -> DataFrame:
 
 
 def vault_stats(notes: DataFrame, as_of: str) -> DataFrame:
-    """One row of totals; the average word count is rounded down, 0 for no notes."""
+    """One row of totals; the average word count is rounded down, 0 for no notes. The narrow columns are saved once, as five parts read them."""
+    notes = graph.saved(notes.select("name", "outgoing", "tags", "word_count", "modified"))
     n = notes.agg(
         F.count("*").alias("total_notes"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("total_words"), F.coalesce(F.sum(F.size("outgoing")), F.lit(0)).cast("long").alias("total_links"),
         F.count_if(F.size("tags") == 0).alias("untagged"), F.coalesce(F.expr("sum(word_count) div nullif(count(*), 0)"), F.lit(0)).alias("avg_word_count"),

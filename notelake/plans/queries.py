@@ -382,9 +382,9 @@ def merge_suggestions(spark, sf):
     return similarity.merge_suggestions(similarity.similar_pairs(n, 0.6), n)
 
 
-@query(f"select case when l = 'note-12' then r else l end as other, {_m('sim')} similarity from sp where sim >= 0.3 and (l = 'note-12' or r = 'note-12') order by sim desc, 1 limit 5", _TFIDF)
+@query(f"select case when l = 'note-99' then r else l end as other, {_m('sim')} similarity from sp where sim >= 0.3 and (l = 'note-99' or r = 'note-99') order by sim desc, 1 limit 5", _TFIDF)
 def similar_to_note(spark, sf):
-    return similarity.to_note(_v1(spark, sf), "note-12")
+    return similarity.to_note(_v1(spark, sf), "note-99")
 
 
 @query("select rel_path, case when doc_id%7=0 then 'removed' when doc_id%5=0 or doc_id%11=0 then 'updated' else 'unchanged' end as change from notes")
