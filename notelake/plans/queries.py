@@ -277,6 +277,12 @@ def confidence_pairs(spark, sf):
     return recommend.pairs(_v2(spark, sf)).where("confidence >= 0.5").select("l", "r", "confidence")
 
 
+@query(f"select l, r, {_m('conf')} confidence from p where conf >= 0.3", _PAIRS)
+def confidence_pairs_all(spark, sf):
+    """All pairs from the default minimum of recommendations on."""
+    return recommend.pairs(_v2(spark, sf)).select("l", "r", "confidence")
+
+
 @query(f"select rel_path, rank::bigint as rank, target_path, {_m('conf')} confidence from rel", _PAIRS)
 def related_top3(spark, sf):
     return recommend.related(recommend.pairs(_v2(spark, sf))).select("rel_path", "rank", "target_path", "confidence")
@@ -360,11 +366,23 @@ def similar_pairs(spark, sf):
     return similarity.similar_pairs(_v1(spark, sf), 0.5).select("l", "r", "similarity", "reason")
 
 
+@query(f"select l, r, {_m('sim')} similarity, reason from sp where sim >= 0.3", _TFIDF)
+def similar_pairs_all(spark, sf):
+    """All pairs from the default minimum of 0.3 on."""
+    return similarity.similar_pairs(_v1(spark, sf)).select("l", "r", "similarity", "reason")
+
+
 @query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.45", _TFIDF)
 def similar_stats(spark, sf):
     return similarity.stats(similarity.similar_pairs(_v1(spark, sf), 0.45))
 
 
+@query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.3", _TFIDF)
+def similar_stats_all(spark, sf):
+    """Statistics of all pairs from the default minimum of 0.3 on."""
+    return similarity.stats(similarity.similar_pairs(_v1(spark, sf)))
+
+
 @query("select l, r from sp where sim >= 0.7", _TFIDF)
 def duplicates(spark, sf):
     return similarity.similar_pairs(_v1(spark, sf), 0.7).select("l", "r")
@@ -376,6 +394,13 @@ def related_unlinked(spark, sf):
     return similarity.linked_flag(similarity.similar_pairs(n, 0.6), n).select("l", "r", "linked")
 
 
+@query("select l, r, linked from sp where sim >= 0.3", _TFIDF)
+def related_unlinked_all(spark, sf):
+    """All pairs from the default minimum of 0.3 on."""
+    n = _v1(spark, sf)
+    return similarity.linked_flag(similarity.similar_pairs(n), n).select("l", "r", "linked")
+
+
 @query(f"select l, r, {_m('sim')} similarity, case when wl < 200 and wr < 200 then 'short' when reason = 'title' then 'similar_title' else 'similar' end as cause from sp where sim >= 0.6 and ((wl < 200 and wr < 200) or sim > 0.8)", _TFIDF)
 def merge_suggestions(spark, sf):
     n = _v1(spark, sf)
