@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +35,14 @@ def latest_state(events: DataFrame, key: str = "user_id", at: str = "ts", tie: s
     return events.groupBy(key).agg(F.max_by(F.struct("event_type", "value", at), F.struct(at, tie)).alias("x"), F.count("*").alias("events")).select(key, "events", "x.*")
 
 
-def stream_latest(spark: SparkSession, path: str, schema, name: str, timeout: float = 60) -> DataFrame:
-    """Runs latest_state over all files of a folder as a stream until they are read, and returns the state table."""
+def stream_latest(spark: SparkSession, path: str, schema, name: str, timeout: float | None = None) -> DataFrame:
+    """Runs latest_state over all files of a folder as a stream until they are read, and returns the state table. Where a timeout (seconds) is given
+    and ends first, TimeoutError is raised: the table would hold a part of the files."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     q = latest_state(src).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(int(timeout))
-    q.stop()
-    time.sleep(0)
+    try:
+        if q.awaitTermination(timeout) is False:
+            raise TimeoutError(f"files of {path} are left after {timeout} s")
+    finally:
+        q.stop()
     return spark.table(name)

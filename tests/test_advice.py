@@ -7,6 +7,7 @@ import pytest
 
 from notelake.operators import similarity
 from notelake.plans.queries import QUERIES
+from notelake.streaming import watch
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,16 @@ def test_registered_from_default_minimum(spark, name):
     else:
         a, b = set(narrow.collect()), set(whole.collect())
         assert a < b
+
+
+def test_stream_reads_all_or_raises(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(60)
+    events.repartition(12).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(TimeoutError):
+        watch.stream_latest(spark, str(tmp_path / "in"), events.schema, "cut", timeout=1)
+    limits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: limits.append(timeout) or wait(q, timeout))
+    out = watch.stream_latest(spark, str(tmp_path / "in"), events.schema, "whole")
+    assert limits == [None] and out.agg({"events": "sum"}).first()[0] == 60
