@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import bpe, decontam, dedup, langid, pii
+from notelake.llm.common import checkpoint
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A stage or the whole in SQL: none of its models can be expressed there.
@@ -20,17 +21,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select(*COLUMNS), langid.train(docs)).where("not rejected").select(*COLUMNS)
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """docs with row: a 64-bit hash of doc_id and text, which null and repeated doc_ids have as well."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    gone = dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest doc_id, nulls last.
+
+    Decided by row: rows of one doc_id with different texts are different documents, and of rows with equal doc_id and text one stays (the
+    smallest by the other columns). Texts without words are in no group, so all their rows stay."""
+    rows = _row(docs)
+    ids = rows.select("row", "doc_id").distinct()
+    found = dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = checkpoint(found.groupBy(F.col("doc_id").alias("row"), "component_id").count().join(ids, "row"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    gone = found.select("row").join(first, "row", "left_anti")
+    again = found.where("count > 1").select("row").join(first, "row", "left_semi")
+    if again.isEmpty():
+        return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    one = rows.join(again, "row", "left_semi").groupBy("row").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("x")).select("x.*")
+    return rows.join(gone.unionByName(again), "row", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a ten-word window of a benchmark item."""
+    """Drops rows that hold a ten-word window of a benchmark item. Decided by doc_id (nulls too) and text, so a clean row stays where another
+    text of its doc_id goes, and repeated rows stay or go together."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("size(hits) > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    hit = found.where("size(hits) > 0").select(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("h"))
+    return rows.join(hit, (rows.h == hit.h2) & rows.doc_id.eqNullSafe(hit.d2), "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,19 @@
+"""Whole jobs of the training-data operators where a part was left out before."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_decide_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    a, b = "one red fox ran over the old green hill today", "some other words about a boat on the wide sea"
+    rows = [(None, a), (None, a), (7, a), (7, b), (8, b), (9, "too short"), (9, "too short"), (10, "five plain words are here"), (10, "five plain words are here"), (None, f"so {bench}"), (11, f"so {bench}"), (11, "a clean text of some more words")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = lambda d: sorted(map(tuple, d.select(F.coalesce("doc_id", F.lit(-1)), "text").collect()))
+    short, five, leak = "too short", "five plain words are here", f"so {bench}"
+    assert got(corpus_pipeline.near_duplicates(spark, df, SF)) == sorted([(7, a), (7, b), (9, short), (10, five), (11, leak), (11, "a clean text of some more words")])
+    want = sorted((-1 if i is None else i, t) for i, t in rows if t != leak)
+    assert got(corpus_pipeline.decontaminate(spark, df, SF)) == want
