@@ -35,7 +35,7 @@ EXTRA = {
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![a-z])(?:api[_-]?key|secret|token|passwd|password|pwd)[\"']? ?[:=] ?[\"']?[A-Za-z0-9/+_-]{8,200}",
+    "secret": r"(?i)(?<![a-z])(?:api[_-]?key|secret|token|passwd|password|pwd)[\"']? ?[:=] ?[\"']?[A-Za-z0-9/+_.=~%$-]{8,}(?<!\.)",
 }
 #: Cheap conditions for the generators to run at all.
 GATE = {"email_text": r"(?i)[(\[ ]dot[)\] ]", "phone_local": r"[0-9][ .-][0-9]{3}", "ssn": r"[0-9][- ][0-9]{2}[- ][0-9]", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "secret": r"(?i)(?:key|secret|token|passw|pwd)[\w\"']* ?[:=]"}

@@ -1,6 +1,7 @@
 """Whole jobs of the training-data operators where a part was left out before."""
 
 import corpus_pipeline
+from notelake.llm import pii
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,18 @@ def test_stages_decide_by_row(spark):
     assert got(corpus_pipeline.near_duplicates(spark, df, SF)) == sorted([(7, a), (7, b), (9, short), (10, five), (11, leak), (11, "a clean text of some more words")])
     want = sorted((-1 if i is None else i, t) for i, t in rows if t != leak)
     assert got(corpus_pipeline.decontaminate(spark, df, SF)) == want
+
+
+def test_secrets_are_redacted_whole(spark):
+    hexes = "0123456789abcdef"
+    dotted = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    texts = {
+        f"an token: {hexes * 20} so": "an [SECRET] so",
+        f"an api_key = {hexes * 2000}": "an [SECRET]",
+        f"an token: {dotted} so": "an [SECRET] so",
+        "an secret = dGhpcyBpcyBhIHNlY3JldDEyMzQ1Njc4OTA== so": "an [SECRET] so",
+        "an token: 0123456789abcdef0123456789abcdef. So": "an [SECRET]. So",
+    }
+    df = pii.find_personal(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {r[0]: r[1] for r in df.select("text", pii.redact(F.col("text"), F.filter("added", lambda x: x["kind"] == "secret"))).collect()}
+    assert got == texts
