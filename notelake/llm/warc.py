@@ -9,7 +9,8 @@ The as-of join cuts time into blocks at quantiles of all capture times. A window
 block; the last response of each block, one row a block, is carried over. So one URL may hold any share of all records.
 
 Defined results: records without a URL or time are orphans; of responses at one time the one with the largest record_id counts, and a response is earlier
-only by a smaller time; repeated rows count once; status is resolved, mismatch or orphan. read_warc() skips what follows a broken record of a file.
+only by a smaller time; wholly equal rows count once, and rows that share a record_id (or have none) but differ are records of their own; status is
+resolved, mismatch or orphan. read_warc() skips broken records and broken gzip members, and goes on at the next WARC/ line or member.
 """
 
 from __future__ import annotations
@@ -53,22 +54,24 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     """record_id, url, ts, status, refers_to, headers, payload_digest, payload_length of each revisit. records: record_id, type (response,
     revisit), url, ts, headers (map with lower-case names), payload_digest, payload_length."""
     r = records.select("record_id", "type", "url", "ts", "headers", "payload_digest", "payload_length").where(F.col("type").isin("response", "revisit"))
-    r = r.dropDuplicates(["record_id", "type"]).withColumn("canon", canonical(F.col("url")))
+    entries = F.array_sort(F.map_entries("headers")).alias("headers")
+    whole = F.to_json(F.struct("record_id", "type", "url", F.unix_micros("ts").alias("ts"), entries, "payload_digest", "payload_length"))
+    r = r.withColumn("row", F.sha2(whole, 256)).dropDuplicates(["row"]).withColumn("canon", canonical(F.col("url")))
     cuts = r.agg(F.percentile_approx(F.unix_micros("ts"), [i / blocks for i in range(1, blocks)], 1000)).first()[0] or []
     micros = F.unix_micros("ts")
     block = reduce_sum([(micros > c).cast("int") for c in sorted(set(cuts))])
     known = r.withColumns({"micros": micros, "blk": block})
-    resp = F.when(F.col("type") == "response", F.struct("micros", "record_id"))
-    usable = known.where("canon is not null and micros is not null").select("record_id", "type", "canon", "micros", "blk")
+    resp = F.when(F.col("type") == "response", F.struct("micros", "record_id", "row"))
+    usable = known.where("canon is not null and micros is not null").select("row", "record_id", "type", "canon", "micros", "blk")
     # At one time revisits come first, so that only strictly earlier responses are seen.
-    within = W.partitionBy("canon", "blk").orderBy("micros", F.desc("type"), "record_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("canon", "blk").orderBy("micros", F.desc("type"), "record_id", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = usable.withColumn("own", F.last(resp, ignorenulls=True).over(within)).where("type = 'revisit'")
     ends = usable.groupBy("canon", "blk").agg(F.max(resp).alias("end"))
     carried = ends.withColumn("carry", F.last("end", ignorenulls=True).over(W.partitionBy("canon").orderBy("blk").rowsBetween(W.unboundedPreceding, -1))).select("canon", "blk", "carry")
-    found = seen.join(carried, ["canon", "blk"]).select("record_id", F.coalesce("own", "carry")["record_id"].alias("source"))
-    old = r.where("type = 'response'").select(F.col("record_id").alias("source"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest"), "payload_length")
-    new = r.where("type = 'revisit'").select("record_id", "url", "ts", F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("new"), "payload_digest")
-    both = new.join(found, "record_id", "left").join(old, "source", "left")
+    found = seen.join(carried, ["canon", "blk"]).select("row", F.coalesce("own", "carry")["row"].alias("source"))
+    old = r.where("type = 'response'").select(F.col("row").alias("source"), F.col("record_id").alias("old_id"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest"), "payload_length")
+    new = r.where("type = 'revisit'").select("row", "record_id", "url", "ts", F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("new"), "payload_digest")
+    both = new.join(found, "row", "left").join(old, "source", "left")
     tag, modified = F.col("new")["etag"], F.col("new")["last-modified"]
     agrees = (
         F.when(tag.isNotNull() & F.col("old")["etag"].isNotNull(), _weak(tag) == _weak(F.col("old")["etag"]))
@@ -80,7 +83,7 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     ok = F.col("status") == "resolved"
     merged = merged_headers(F.coalesce("old", F.expr("map()").cast("map<string,string>")), F.col("new"))
     return both.withColumn("status", status).select(
-        "record_id", "url", "ts", "status", F.when(ok, F.col("source")).alias("refers_to"), F.when(ok, merged).otherwise(F.col("new")).alias("headers"),
+        "record_id", "url", "ts", "status", F.when(ok, F.col("old_id")).alias("refers_to"), F.when(ok, merged).otherwise(F.col("new")).alias("headers"),
         F.when(ok, F.col("old_digest")).alias("payload_digest"), F.when(ok, F.col("payload_length")).alias("payload_length"),
     )
 
@@ -106,20 +109,24 @@ def encode_record(record_id: str, kind: str, url: str, date: str, headers: dict[
 
 
 def _members(data: bytes) -> Iterator[bytes]:
-    """Content of each gzip member, or the data itself; a broken member ends the file."""
+    """Content of each gzip member, or the data itself; a broken member is skipped, as its checksum can't be tested."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
+    at = 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        z, out, to = zlib.decompressobj(31), [], at
         try:
-            out = z.decompress(data)
+            while to < len(data) and not z.eof:
+                out.append(z.decompress(data[to : to + (1 << 16)]))
+                to += 1 << 16
         except zlib.error:
-            return
-        if not z.eof:
-            return
-        yield out
-        data = z.unused_data
+            pass
+        if z.eof:
+            yield b"".join(out)
+            at = min(to, len(data)) - len(z.unused_data)
+        else:
+            at += 1
 
 
 def decode_records(data: bytes) -> Iterator[dict]:
@@ -127,14 +134,14 @@ def decode_records(data: bytes) -> Iterator[dict]:
     for member in _members(data):
         f = io.BytesIO(member)
         while line := f.readline():
-            if not line.strip():
+            if not line.startswith(b"WARC/"):
                 continue
-            head = _headers(f) if line.startswith(b"WARC/") else {}
-            if not head.get("content-length", "").isdigit():
-                return
-            block = f.read(int(head["content-length"]))
-            if len(block) < int(head["content-length"]):
-                return
+            start, head = f.tell(), _headers(f)
+            size = head.get("content-length", "")
+            if not (size.isdecimal() and int(size) <= len(member) - f.tell()):
+                f.seek(start)  # a broken record: the next may begin within its stated length
+                continue
+            block = f.read(int(size))
             http, _, payload = block.partition(b"\r\n\r\n")
             yield {
                 "record_id": head.get("warc-record-id", "").strip("<>"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"),

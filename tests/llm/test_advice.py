@@ -1,7 +1,7 @@
 """Whole jobs of the training-data operators where a part was left out before."""
 
 import corpus_pipeline
-from notelake.llm import pii
+from notelake.llm import pii, warc
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,28 @@ def test_secrets_are_redacted_whole(spark):
     df = pii.find_personal(spark.createDataFrame([(t,) for t in texts], "text string"))
     got = {r[0]: r[1] for r in df.select("text", pii.redact(F.col("text"), F.filter("added", lambda x: x["kind"] == "secret"))).collect()}
     assert got == texts
+
+
+def test_records_that_share_an_id(spark):
+    head = "record_id string, type string, url string, ts timestamp, headers map<string,string>, payload_digest string, payload_length long"
+    at = lambda s: f"2024-01-01 00:00:0{s}"
+    rows = [("p", "response", "http://a.com/", at(0), {"etag": "1"}, "d1", 1), ("p", "response", "http://b.com/", at(0), {"etag": "2"}, "d2", 2)]
+    rows += [(None, "revisit", u, at(s), {"etag": e}, None, None) for u, s, e in (("http://a.com/", 1, "1"), ("http://b.com/", 1, "2"), ("http://b.com/", 2, "2"))]
+    rows += [("r", "revisit", "http://a.com/", at(s), {"etag": "1", "date": "x"}, None, None) for s in (3, 4, 4)]
+    df = spark.createDataFrame([(*r[:3], None, *r[4:], r[3]) for r in rows], head.replace("ts timestamp", "t0 string") + ", at string")
+    df = df.withColumn("ts", F.col("at").cast("timestamp"))
+    got = warc.resolve_revisits(df).select("record_id", "url", F.second("ts"), "status", "payload_digest").collect()
+    b, n = "http://b.com/", "resolved"
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, "http://a.com/", 1, n, "d1"), (None, b, 1, n, "d2"), (None, b, 2, n, "d2"), ("r", "http://a.com/", 3, n, "d1"), ("r", "http://a.com/", 4, n, "d1")]))
+
+
+def test_warc_goes_on_after_broken_records():
+    make = lambda i, z: warc.encode_record(f"urn:{i}", "response", "http://a.com/", "2024-01-01T00:00:00Z", {}, b"x" * 99, compress=z)
+    ids = lambda data: [r["record_id"] for r in warc.decode_records(data)]
+    plain, packed = [make(i, False) for i in range(3)], [make(i, True) for i in range(3)]
+    for bad in (plain[1].replace(b"Content-Length: ", b"Content-Length: 9999"), plain[1].replace(b"Content-Length: ", b"Content-Length: x"), plain[1][:150], b"noise\n"):
+        assert ids(plain[0] + bad + b"\r\n" + plain[2]) == ["urn:0", "urn:2"]
+    flipped = bytearray(packed[1])
+    flipped[len(flipped) // 2] ^= 255
+    for bad in (bytes(flipped), packed[1][:40], b"noise"):
+        assert ids(packed[0] + bad + packed[2]) == ["urn:0", "urn:2"]
