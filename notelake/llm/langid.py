@@ -6,7 +6,7 @@ bounded sample of labelled rows; a temperature and a rejection threshold are cal
 does not see. As the model is linear after the average, prediction adds up one row of a (buckets x languages) table for
 each gram of the whole text, slice by slice.
 
-The sample has at most per_lang rows of each of the max_langs most frequent languages, picked by a hash of doc_id among
+The sample has at most per_lang rows of each language, picked by a hash of doc_id among
 rows with a label and crc32(doc_id) mod 4 other than 2; only their gram counts reach the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; with nothing to learn from, every text is `und`;
@@ -140,10 +140,10 @@ def _held(modulus: int, held: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(True))
 
 
-def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 100, modulus: int = 4, held: int = 2) -> Model:
-    """Learns from a bounded sample of labelled rows."""
+def train(docs: DataFrame, per_lang: int = 600, modulus: int = 4, held: int = 2) -> Model:
+    """Learns every language of the labelled rows, from a bounded sample of each."""
     own = docs.select("doc_id", "text", "lang").where(~_held(modulus, held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return fit([], np.zeros(0, np.int64), [])

@@ -1,7 +1,7 @@
 """Whole jobs of the training-data operators where a part was left out before."""
 
 import corpus_pipeline
-from notelake.llm import pii, warc
+from notelake.llm import langid, pii, warc
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,8 @@ def test_warc_goes_on_after_broken_records():
     flipped[len(flipped) // 2] ^= 255
     for bad in (bytes(flipped), packed[1][:40], b"noise"):
         assert ids(packed[0] + bad + packed[2]) == ["urn:0", "urn:2"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 105} text", f"l{i % 105}") for i in range(1050)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 105
