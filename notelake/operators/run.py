@@ -6,6 +6,7 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -71,19 +72,20 @@ def write_items(rows: DataFrame, head: dict, path: str) -> int:
     return n
 
 
-def report(stats: dict, actions: int, merged: list[dict], low: int, threshold: float, vault: str, made: str, lang: str = "en") -> str:
-    """Markdown; languages without a catalogue fall back to English."""
+def report(stats: dict, actions: int, merged: Iterable[dict], low: int, threshold: float, vault: str, made: str, lang: str = "en") -> Iterator[str]:
+    """Lines of Markdown, with all merge candidates; languages without a catalogue fall back to English."""
     t = _TEXT.get(lang, _TEXT["en"])
     rows = [*stats.items(), ("actions", actions)]
-    out = [f"# {t['title']}", "", f"{t['made']}: {made}", f"{t['vault']}: {vault}", "", f"## {t['summary']}", "", *[f"- {t[k]}: {v}" for k, v in rows], "", f"## {t['next']}", "", f"- {t['next_orphan']}", f"- {t['next_broken']}"]
-    if merged:
-        out += ["", f"## {t['merges']}", "", *[f"- {', '.join(m['candidates'])} ({m['average_confidence']})" for m in merged]]
+    yield from (f"# {t['title']}", "", f"{t['made']}: {made}", f"{t['vault']}: {vault}", "", f"## {t['summary']}", "", *[f"- {t[k]}: {v}" for k, v in rows], "", f"## {t['next']}", "", f"- {t['next_orphan']}", f"- {t['next_broken']}")
+    for i, m in enumerate(merged):
+        if not i:
+            yield from ("", f"## {t['merges']}", "")
+        yield f"- {', '.join(m['candidates'])} ({m['average_confidence']})"
     if low:
-        out += ["", f"{t['low']} {threshold}: {low}"]
-    return "\n".join(out) + "\n"
+        yield from ("", f"{t['low']} {threshold}: {low}")
 
 
-def run(spark: SparkSession, root: str, out: str, config: dict | None = None, lang: str | None = None, shown_merges: int = 20) -> dict:
+def run(spark: SparkSession, root: str, out: str, config: dict | None = None, lang: str | None = None) -> dict:
     """Writes health.json, action-items.json, run-summary.json and report.md below out/runs/<run id>, the index below out/index, and
     returns the run summary. An index younger than fast_path_max_age_sec is used without a scan."""
     config, began = config or {}, time.perf_counter()
@@ -127,9 +129,9 @@ def run(spark: SparkSession, root: str, out: str, config: dict | None = None, la
     actions = write_items(items(graph.broken(notes), rel, meta, merged, c), {"version": "1", "vault": root, "generated_at": made}, str(folder / "action-items.json"))
     at = clock("plan", at)
     write_json({"version": "1", "vault": root, "generated_at": made, "stats": stats}, str(folder / "health.json"))
-    shown = [r.asDict() for r in merged.orderBy("component").limit(shown_merges).collect()]
-    text = report(stats, actions, shown, low, c.low, root, made, lang or control.setting(config, "i18n", "language"))
-    (folder / "report.md").write_text(text, encoding="utf-8", newline="\n")
+    shown = (r.asDict() for r in merged.orderBy("component").toLocalIterator())
+    with open(folder / "report.md", "w", encoding="utf-8", newline="\n") as f:
+        f.writelines(f"{line}\n" for line in report(stats, actions, shown, low, c.low, root, made, lang or control.setting(config, "i18n", "language")))
     clock("report", at)
     why = skipped | {"unchanged": changes["unchanged"]}
     summary = {

@@ -5,7 +5,7 @@ from math import log, sqrt
 
 import pytest
 
-from notelake.operators import similarity
+from notelake.operators import recommend, run, similarity
 from notelake.plans.queries import QUERIES
 from notelake.streaming import watch
 
@@ -53,3 +53,14 @@ def test_stream_reads_all_or_raises(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: limits.append(timeout) or wait(q, timeout))
     out = watch.stream_latest(spark, str(tmp_path / "in"), events.schema, "whole")
     assert limits == [None] and out.agg({"events": "sum"}).first()[0] == 60
+
+
+def test_report_lists_all_merges(spark, tmp_path, monkeypatch):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "n.md").write_text("note")
+    merged = spark.createDataFrame([(f"c{i:02}", [f"a{i}.md", f"b{i}.md"], 0.9) for i in range(25)], "component string, candidates array<string>, average_confidence double")
+    monkeypatch.setattr(recommend, "merges", lambda *_: merged)
+    monkeypatch.setattr(run, "items", lambda *_: spark.createDataFrame([], "id string, reason string, payload string"))
+    s = run.run(spark, str(tmp_path / "v"), str(tmp_path / "o"))
+    text = (tmp_path / "o" / "runs" / s["run_id"] / "report.md").read_text()
+    assert [f"- a{i}.md, b{i}.md (0.9)" in text for i in range(25)] == [True] * 25
