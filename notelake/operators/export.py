@@ -41,19 +41,28 @@ def write_json(document: dict, path: str) -> None:
 
 
 _TEXT = {
-    "en": {"title": "Vault report", "notes": "Notes", "words": "Words", "links": "Links", "orphans": "Orphans", "tags": "Top tags", "hubs": "Hubs"},
-    "zh": {"title": "知识库报告", "notes": "笔记", "words": "字数", "links": "链接", "orphans": "孤立笔记", "tags": "常用标签", "hubs": "枢纽笔记"},
+    "en": {"title": "Vault report", "notes": "Notes", "words": "Words", "links": "Links", "orphans": "Orphans", "tags": "Top tags", "hubs": "Hubs", "popular": "Most linked", "orphan_list": "Orphans, last changed first", "more": "more", "time": "Changed within", "days": "days", "actions": "Actions", "link": "Link orphans to related notes", "tag": "Tag untagged notes"},
+    "zh": {"title": "知识库报告", "notes": "笔记", "words": "字数", "links": "链接", "orphans": "孤立笔记", "tags": "常用标签", "hubs": "枢纽笔记", "popular": "被引用最多的笔记", "orphan_list": "孤立笔记（按修改时间）", "more": "更多", "time": "时间分布", "days": "天", "actions": "建议操作", "link": "为孤立笔记添加链接", "tag": "为无标签笔记添加标签"},
 }
 
 
-def report(notes: DataFrame, as_of: str, lang: str = "en", top: int = 10) -> str:
-    """Markdown report from one-row totals and top lists; unknown languages fall back to English."""
+def report(notes: DataFrame, as_of: str, lang: str = "en", top: int = 10, orphans: int = 20) -> str:
+    """Markdown report from one-row totals and top lists, which say how many orphans they leave out; unknown languages fall back to English."""
     t = _TEXT.get(lang, _TEXT["en"])
     s = stats.vault_stats(notes, as_of).first()
     out = [f"# {t['title']}", "", f"- {t['notes']}: {s.total_notes:,}", f"- {t['words']}: {s.total_words:,}", f"- {t['links']}: {s.total_links:,}", f"- {t['orphans']}: {s.orphans:,}", "", f"## {t['tags']}"]
     out += [f"- #{r.tag} ({r.notes})" for r in stats.tag_frequency(notes).orderBy(F.desc("notes"), "tag").limit(top).collect()]
     out += ["", f"## {t['hubs']}"]
     out += [f"- [[{r.name}]] ({r.out_degree})" for r in graph.degrees(notes).orderBy(F.desc("out_degree"), "name").limit(top).collect()]
+    out += ["", f"## {t['popular']}"]
+    out += [f"- [[{r.name}]] ({r.in_degree})" for r in graph.degrees(notes).orderBy(F.desc("in_degree"), "name").limit(top).collect()]
+    out += ["", f"## {t['orphan_list']}"]
+    out += [f"- [[{r.name}]] ({r.word_count}), {(r.modified or '')[:10]}" for r in orphan_rows(notes).limit(orphans).collect()]
+    if s.orphans > orphans:
+        out.append(f"- {t['more']}: {s.orphans - orphans:,}")
+    out += ["", f"## {t['time']}"]
+    out += [f"- {k} {t['days']}: {s[f'within_{k}']:,} ({s[f'within_{k}'] * 100 / max(s.total_notes, 1):.1f}%)" for k in (7, 30, 90)]
+    out += ["", f"## {t['actions']}", f"- {t['link']}: {s.orphans:,}", f"- {t['tag']}: {s.untagged:,}"]
     return "\n".join(out) + "\n"
 
 

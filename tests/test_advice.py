@@ -5,8 +5,9 @@ from math import log, sqrt
 
 import pytest
 
-from notelake.operators import recommend, run, similarity
+from notelake.operators import export, parse, recommend, run, similarity
 from notelake.plans.queries import QUERIES
+from notelake.sources.vault import view
 from notelake.streaming import watch
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,9 @@ def test_report_lists_all_merges(spark, tmp_path, monkeypatch):
     s = run.run(spark, str(tmp_path / "v"), str(tmp_path / "o"))
     text = (tmp_path / "o" / "runs" / s["run_id"] / "report.md").read_text()
     assert [f"- a{i}.md, b{i}.md (0.9)" in text for i in range(25)] == [True] * 25
+
+
+def test_knowledge_report_sections(spark):
+    text = export.report(parse.parse_v1(view(spark, SF)).limit(40), "2024-06-30 00:00:00", orphans=1)
+    for head in ("Top tags", "Hubs", "Most linked", "Orphans, last changed first", "Changed within", "Actions"):
+        assert f"## {head}\n- " in text
