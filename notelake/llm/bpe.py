@@ -3,8 +3,10 @@
 A token sequence is the BPE encoding of its text exactly when every token encodes to itself and every two neighbours encode to
 themselves. So each prefix has one last token: the one that ends there and fits the last token of what precedes it.
 The encoder keeps those last tokens for the unsettled end of the input only. Once more symbols are pending than the merge
-list's sufficient lookahead, it emits the tokens that all live ends share. Decoding feeds token bytes into an incremental
-UTF-8 machine, or joins the vocabulary's own forms where the tokenizer file has no decoder.
+list's sufficient lookahead, it emits the tokens that all live ends share. A text is read in stretches that end at white space, where
+no word reaches over, and the tokens of a stretch go through the decoder at once: an incremental machine from token bytes to text that
+keeps an unfinished character only. Beside the text and its result memory is that of one stretch; words within the
+lookahead run through the same transducer without its emission step, as nothing is settled before their end.
 
 Defined results: null texts are empty; an empty text has no tokens and decodes to an empty text; special tokens inside a text
 are one token each, as in the tokenizers library. Other columns are ignored.
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_STRETCH = 1 << 16
+_GAP = re.compile("[\t-\r ]")
 _WHITE = "\t\n\x0b\x0c\r\x85 \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -81,6 +85,16 @@ class Codec:
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tables: dict[bool, list[bytes]] = {}
+
+    def bytes_of(self, forms: bool) -> list[bytes]:
+        """What each token adds to the decoded bytes."""
+        if forms not in self.tables:
+            back, cut = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}, len(self.suffix)
+            plain = lambda t: b"".join([back.get(c) or c.encode() for c in t])
+            end = lambda t: plain(t[:-cut]) + b" " if cut and t.endswith(self.suffix) else plain(t)
+            self.tables[forms] = [b" " + t.encode() if forms else t.encode() if t in self.special else end(t) for t in self.tokens]
+        return self.tables[forms]
 
     def merge(self, symbols: tuple[int, ...]) -> tuple[int, ...]:
         """Applies the merge list to a short sequence: the first merge of the lowest rank again and again."""
@@ -229,39 +243,61 @@ class Codec:
             self.young[word] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        out: list[bytes] = []
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text in stretches of about 64 K characters that end at white space, where no word reaches over."""
+        at = 0
+        while at < len(text):
+            end = at + _STRETCH
+            if end < len(text):
+                m = _GAP.search(text, end)
+                end = m.end() if m else len(text)
+            yield text[at:end] if at or end < len(text) else text
+            at = end
+
+    def encode_stream(self, text: str) -> Iterator[bytes]:
+        """Token ids (int32 bytes) of one stretch after another; nothing but the word cache is kept between them."""
         special = self.special
-        for k, part in enumerate(self.split.split(text) if special and "<|" in text else (text,)):
-            if k % 2:
-                out.append(np.int32(special[part]).tobytes())
-                continue
-            words = self.pieces(part)
-            get = self.young.get
-            out += [get(w) or self.__missing(w) for w in words]
-        return np.frombuffer(b"".join(out), np.int32)
+        get = self.young.get
+        for stretch in self.stretches(text):
+            out: list[bytes] = []
+            for k, part in enumerate(self.split.split(stretch) if special and "<|" in stretch else (stretch,)):
+                if k % 2:
+                    out.append(np.int32(special[part]).tobytes())
+                    continue
+                get = self.young.get
+                out += [get(w) or self.__missing(w) for w in self.pieces(part)]
+            yield b"".join(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.encode_stream(text)), np.int32)
 
     def decode(self, ids) -> str:
         """As the library does for a file without a decoder: the vocabulary's forms, joined by one space."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids])
-
-    def text_stream(self, ids) -> Iterator[str]:
-        """Readable text token by token: bytes go into an incremental UTF-8 machine, word ends become spaces."""
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            t = self.tokens[i]
-            if t in self.special:
-                yield machine.decode(b"", True) + t
-                machine.reset()
-                continue
-            end = bool(self.suffix) and t.endswith(self.suffix)
-            yield machine.decode(bytes(back[c] for c in (t[: -len(self.suffix)] if end else t)))
-            if end:
-                yield machine.decode(b"", True) + " "
-                machine.reset()
-        yield machine.decode(b"", True)
+        machine = Decoder(self)
+        return machine.feed(ids) + machine.finish()
+
+
+class Decoder:
+    """Incremental machine from tokens to text: the bytes of each token go into a UTF-8 decoder, which gives out the characters that
+    are complete and keeps the bytes of one that isn't. It holds nothing else, so its memory doesn't grow with the text.
+
+    forms=True gives the text of the library for a file without a decoder: the vocabulary's own forms, one space before each but the first. forms=False
+    turns byte symbols back into bytes and word ends into spaces."""
+
+    def __init__(self, codec: Codec, forms: bool = True):
+        self.table = codec.bytes_of(forms)
+        self.first = forms
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids) -> str:
+        table = self.table
+        data = b"".join([table[i] for i in ids])
+        if self.first and data:
+            data, self.first = data[1:], False
+        return self.utf8.decode(data)
+
+    def finish(self) -> str:
+        return self.utf8.decode(b"", True)
 
 
 _CODECS: dict[int, Codec] = {}
@@ -290,8 +326,13 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFra
                 ids, texts, total, start = [], [], 0, at
                 while at < len(col) and (not ids or total < 1 << 19):
                     t = (col[at].as_py() or b"").decode("utf-8", "replace")
-                    ids.append(codec.encode(t))
-                    texts.append(codec.decode(ids[-1].tolist()) if decode else None)
+                    parts, machine, out = [], Decoder(codec), []
+                    for x in codec.encode_stream(t):
+                        parts.append(x)
+                        if decode:
+                            out.append(machine.feed(np.frombuffer(x, np.int32).tolist()))
+                    ids.append(np.frombuffer(b"".join(parts), np.int32))
+                    texts.append("".join([*out, machine.finish()]) if decode else None)
                     total += len(t)
                     at += 1
                 part = batch.slice(start, at - start)

@@ -4,7 +4,6 @@ checkpoints and connected components."""
 from __future__ import annotations
 
 import math
-import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +24,10 @@ def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder below the warehouse, which all executors share as well."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -39,9 +37,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def parts_for(df: DataFrame, mb: float) -> int:
-    """How many parts of about mb MB the optimizer's size estimate of df gives, 1 at least."""
+    """How many parts of about mb MB df makes, 1 at least, by the optimizer's estimate; where that knows nothing (frames from
+    memory or checkpoints), by the bytes of its strings, counted."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(1 << 20, math.ceil(size / (mb * 1e6))))
+    if size >= 1 << 60:
+        strings = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+        size = sum(df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in strings]).first())
+    return max(1, math.ceil(size / (mb * 1e6)))
+
+
+def bucket_runs(u: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes dealt to equal ranges: the buckets that occur, and the bounds of their runs (one more). Buckets below 2**32."""
+    b = ((u >> U64(32)) * U64(buckets)) >> U64(32)
+    starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    return b[starts].astype(np.int64), np.append(starts, len(u))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

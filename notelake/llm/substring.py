@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_words, parts_for, planes, ranges, unplanes, window_hashes
+from .common import U64, bucket_runs, hash_words, parts_for, planes, ranges, unplanes, window_hashes
 
 _LAST = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text binary"
@@ -37,11 +37,6 @@ def _windows(table: pa.Table, k: int):
     return ids, texts, bounds, starts, w[starts] if len(starts) else np.zeros(0, U64), np.repeat(np.arange(len(ids)), counts), order
 
 
-def edges_of(buckets: int) -> np.ndarray:
-    """First hash of each of so many equal ranges."""
-    return np.array([(b << 64) // buckets for b in range(buckets)], U64)
-
-
 def remove_repeats(docs: DataFrame, window: int = 50, chunk_mb: float = 4.0) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word intervals, end exclusive) and kept_text of each row."""
     n = parts_for(docs, chunk_mb)
@@ -51,10 +46,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, chunk_mb: float = 4.0) ->
         ids, _, _, _, w, own, _ = _windows(table, window)
         u, first = np.unique(w, return_index=True)
         least = ids[own[first]]
-        at = np.append(np.searchsorted(u, edges_of(n)), len(u))
-        b = np.flatnonzero(np.diff(at))
+        b, at = bucket_runs(u, n)
         c = table.column("c")[0].as_py()
-        return pa.table({"b": pa.array(b, pa.int32()), "c": pa.array(np.full(len(b), c), pa.int32()), "h": pa.array([planes(u[at[i] : at[i + 1]]) for i in b], pa.binary()), "d": pa.array([planes(least[at[i] : at[i + 1]]) for i in b], pa.binary())})
+        return pa.table({"b": pa.array(b, pa.int32()), "c": pa.array(np.full(len(b), c), pa.int32()), "h": pa.array([planes(u[at[i] : at[i + 1]]) for i in range(len(b))], pa.binary()), "d": pa.array([planes(least[at[i] : at[i + 1]]) for i in range(len(b))], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         hs = [unplanes(x, U64) for x in table.column("h").to_pylist()]

@@ -4,18 +4,15 @@ import hashlib
 import math
 import random
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.llm import ann, bpe, chat, decontam, dedup, langid, lattice, pii, queries, substring, warc
+from notelake.llm import ann, bpe, chat, decontam, dedup, langid, pii, queries, substring, warc
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, ws string, score double, ids string"
 
@@ -147,45 +144,6 @@ def test_personal_data(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lattice_scores(docs, empty):
-    rows = [(r.doc_id, WORD.findall((r.text or "").encode().lower())) for r in docs.collect()]
-    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
-    c, n = Counter(), 0
-    for d, w in rows:
-        if not held(d):
-            c.update([*w, "end"])
-            n += len(w) + 1
-    got = lattice.score_documents(docs, MODEL, chunk_mb=0.002).collect()
-    want = sorted((str(d), held(d), len(w) + 1, sum(c[x] > 0 for x in [*w, "end"]), n, round(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in [*w, "end"]), 4)) for d, w in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    mean = lambda c: sum(r[c] for r in got if not r.held_out) / n
-    assert mean("score") > mean("base_score") - 0.2
-    assert lattice.score_documents(empty, MODEL).count() == 0
-
-
-def test_lattice_sums_all_segmentations():
-    strings = [b" ", b"a", b"b", b" a", b"ab", b" ab", *[bytes([i]) for i in range(256) if bytes([i]) not in (b" ", b"a", b"b")]]
-    p = lattice.Pieces(strings, np.log(np.random.default_rng(0).dirichlet(np.ones(len(strings)))))
-    w = dict(zip(strings, np.exp(p.logp), strict=True))
-
-    def total(s):
-        return 1.0 if not s else sum(w[s[:i]] * total(s[i:]) for i in range(1, len(s) + 1) if s[:i] in w)
-
-    words = [b" ab", b" aab", b" b", b" abab" * 3]
-    assert np.allclose(lattice.word_scores(p, words), [math.log(total(x)) for x in words])
-    assert np.isclose(lattice.expected_counts(p, [b" b"], np.array([2.0]))[strings.index(b"b")], 2.0)
-
-
-def test_word_arcs():
-    """Seen words weigh their count, new ones their pieces; the whole is a distribution, and nothing underflows."""
-    lp = np.log(np.array([0.5, 0.25, 0.25]))
-    got = np.exp(lattice.with_word_arc(lp, np.array([6, 0, 2]), 8, 2))
-    assert np.allclose(got, [(6 + 2 * 0.5) / 10, 2 * 0.25 / 10, (2 + 2 * 0.25) / 10]) and np.isclose(got.sum(), 1)
-    assert np.allclose(lattice.with_word_arc(np.array([-5000.0]), np.array([0]), 8, 2), [-5000 + math.log(2 / 10)])
-    assert np.allclose(lattice.with_word_arc(lp, np.zeros(3), 0, 0), lp)
-
-
 def test_bpe(docs, empty, spark):
     from tokenizers import Tokenizer
 
@@ -195,6 +153,7 @@ def test_bpe(docs, empty, spark):
     rnd = random.Random(3)
     parts = ["a", "th", "in", "é", "ß", "Σ", "İ", "中", "😀", "'s", "'", "<|endoftext|>", " ", "\n", "\x1c", "\x85", "　", "1", "!", "...", "é", "aaaa", " "]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + ["a" * 5000, "".join(rnd.choice("thinaer") for _ in range(9000))]
+    texts += [" ".join(rnd.choice(["the", "naïve", "中文", "İs", "a\u0301", "Σ", "x1!"]) for _ in range(30_000)), "z" * 70_000 + " \u0301é <|endoftext|> " + "ok " * 30_000]
     rows = docs.select("doc_id", "text", "ids").unionByName(spark.createDataFrame([(None, x, "") for x in texts], "doc_id long, text string, ids string"))
     for r in bpe.encode_documents(rows, TOKENIZER).collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
@@ -221,7 +180,14 @@ def test_bpe_streams_with_bounded_memory():
         done += len(c.parts[token])
         late = max(late, read - done)
     assert out == c.encode_word(word.decode()) and late <= c.lookahead + 2 * c.longest
-    assert "".join(c.text_stream(c.encode("Grüße, 中文!").tolist())) == "grüße , 中文 ! "
+    ids = c.encode("Grüße, 中文! <|endoftext|>x").tolist()
+    for forms, want in ((False, "grüße , 中文 ! <|endoftext|>x "), (True, c.decode(ids))):
+        for step in (1, 2, 5):  # the machine gives the same text however its tokens arrive
+            machine = bpe.Decoder(c, forms)
+            assert "".join([*(machine.feed(ids[i : i + step]) for i in range(0, len(ids), step)), machine.finish()]) == want
+    half = bpe.Decoder(c, False)
+    first, second = "é".encode()
+    assert half.feed([c.first[first]]) == "" and half.feed([c.last[second]]) == "é "
 
 
 def test_decontamination(docs, empty, spark):
