@@ -257,7 +257,6 @@ class Codec:
     def encode_stream(self, text: str) -> Iterator[bytes]:
         """Token ids (int32 bytes) of one stretch after another; nothing but the word cache is kept between them."""
         special = self.special
-        get = self.young.get
         for stretch in self.stretches(text):
             out: list[bytes] = []
             for k, part in enumerate(self.split.split(stretch) if special and "<|" in stretch else (stretch,)):

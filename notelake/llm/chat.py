@@ -1,12 +1,16 @@
 """Preference formatting of conversation pairs, in DataFrame operations only.
 
-Two conversations of a pair are joined turn by turn; the first turn that differs ends their longest common prefix. The prefix is
+The two sides of a pair are compared turn by turn; the first turn that differs ends their longest common prefix. The prefix is
 rendered once as the prompt (masked from the loss), the rest of either side as a completion in which only the assistant's
-words count. Output is one row for each rendered turn, so a conversation of any length never has to fit into one row or task; assemble()
-puts pairs of ordinary length together.
+words count. Pairs are two conversations each (sides_of), or a conversation and its own weaker answer (weakened): the same turns up to
+its last assistant turn, whose text is cut to the first half of its words.
 
-Defined results: repeated rows count once; turns of equal number are ordered by role, then text; a null turn comes first, null role and text are
-empty; null conv_ids and pairs whose conversations are missing give no rows for that side; pairs that are equal throughout have a prompt only.
+The turns of a conversation lie in blocks of 64 turn numbers, and a pair gives one row a block with prompt, chosen and rejected of
+that block: one row for pairs of ordinary length, and never more than a block in a task for a conversation of any length.
+
+Defined results: repeated rows count once; a null turn is -1, null role and text are empty; rows of one turn number are numbered by role, then text (k),
+and those beyond the 64th of a number stand after the rest of their block, 64 at a time; null conv_ids and pairs whose conversations are
+missing give nothing for that side; pairs that are equal throughout have a prompt only; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,49 +20,90 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|turn|>", "<|end|>"
+BLOCK = 64
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def header(role: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit("\n"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs each even conv_id (chosen) with the next odd one (rejected)."""
-    ids = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
-    return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"))
-
-
-def preference_format(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, part (prompt, chosen, rejected), turn, k, role, rendered, content_start, content_end, loss. The content of a turn is
-    rendered[content_start:content_end]; loss says whether it is trained on."""
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv, turn, k, role, text of distinct rows, nulls replaced."""
     t = turns.select(
-        F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).where("conv is not null").distinct()
-    t = t.withColumn("k", F.row_number().over(W.partitionBy("conv", "turn").orderBy("role", "text")))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("conv")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("conv")))).alias("s")).select("pair_id", "s.side", "s.conv")
-    rows = sides.join(t, "conv").select("pair_id", "side", "turn", "k", "role", "text")
-    # A turn is common if both sides have it alike; the first that is not ends the prefix.
-    cell = rows.groupBy("pair_id", "turn", "k", "role", "text").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    first = cell.where("lo = hi").groupBy("pair_id").agg(F.min(F.struct("turn", "k")).alias("first"))
-    at = F.struct("turn", "k")
-    parted = cell.join(first, "pair_id", "left").withColumn("common", F.col("first").isNull() | (at < F.col("first")))
-    side = F.when(F.col("common"), F.array(F.lit("prompt"))).otherwise(F.array_distinct(F.array("lo", "hi")))
-    head = header(F.col("role"))
-    return parted.select(
-        "pair_id", F.explode(side).alias("part"), "turn", "k", "role", F.concat(head, F.col("text"), F.lit(CLOSE + "\n")).alias("rendered"),
-        F.length(head).alias("content_start"), (F.length(head) + F.length("text") + len(CLOSE)).alias("content_end"), (~F.col("common") & (F.col("role") == "assistant")).alias("loss"),
+    return t.withColumn("k", F.row_number().over(W.partitionBy("conv", "turn").orderBy("role", "text")))
+
+
+def sides_of(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, side, turn, k, role, text of pairs (pair_id, chosen, rejected) of conversations."""
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("conv"))
+    s = pairs.select("pair_id", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select("pair_id", "s.side", "s.conv")
+    return s.join(_turns(turns), "conv").select("pair_id", "side", "turn", "k", "role", "text")
+
+
+def _place() -> Column:
+    """Order of turns: block of turn numbers, then of k, then turn and k."""
+    return F.struct(F.floor(F.col("turn") / BLOCK).alias("block"), F.floor((F.col("k") - 1) / BLOCK).alias("part"), F.col("turn"), F.col("k"))
+
+
+def weakened(turns: DataFrame) -> DataFrame:
+    """pair_id (the conversation), side, turn, k, role, text: each conversation, and itself up to its last assistant turn with
+    half of that answer. One without an assistant turn is equal on both sides."""
+    t = _turns(turns).withColumn("at", _place())
+    last = t.where("role = 'assistant'").groupBy(F.col("conv").alias("c2")).agg(F.max("at").alias("last"))
+    t = t.join(last, F.col("conv") == F.col("c2"), "left")
+    words = F.split("text", " ")
+    half = F.array_join(F.slice(words, F.lit(1), F.expr("size(split(text, ' ')) div 2").cast("int")), " ")
+    chosen = t.select(F.col("conv").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "k", "role", "text")
+    weak = t.where("last is null or at <= last").select(
+        F.col("conv").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "k", "role",
+        F.when(F.col("at") == F.col("last"), half).otherwise(F.col("text")).alias("text"),
     )
+    return chosen.unionByName(weak)
 
 
-def assemble(formatted: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected as whole strings, and the trained intervals of both completions."""
-    rows = formatted.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "k", "rendered", "content_start", "content_end", "loss"))).alias("t"))
-    text = F.array_join(F.transform("t", lambda x: x["rendered"]), "")
-    before = lambda i: F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["rendered"]))
-    spans = F.transform(F.filter(F.transform("t", lambda x, i: F.struct(x["loss"].alias("loss"), (before(i) + x["content_start"]).alias("start"), (before(i) + x["content_end"]).alias("end"))), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    flat = rows.select("pair_id", "part", text.alias("text"), spans.alias("spans"))
-    pick = lambda p, c: F.max(F.when(F.col("part") == p, F.col(c)))
-    return flat.groupBy("pair_id").agg(
-        F.coalesce(pick("prompt", "text"), F.lit("")).alias("prompt"), F.coalesce(pick("chosen", "text"), F.lit("")).alias("chosen"), F.coalesce(pick("rejected", "text"), F.lit("")).alias("rejected"),
-        pick("chosen", "spans").alias("chosen_spans"), pick("rejected", "spans").alias("rejected_spans"),
+def _rendered(x: Column) -> Column:
+    return F.concat(header(x["role"]), x["text"], F.lit(CLOSE + "\n"))
+
+
+def _joined(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, _rendered), "")
+
+
+def _masks(turns: Column) -> Column:
+    """Trained intervals of the joined text: the assistant's words with their end mark."""
+    state = f"struct<at:int,out:{_SPANS}>"
+    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out")).cast(state)
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(header(x["role"]))
+        span = F.struct(start.alias("start"), (start + F.length(x["text"]) + len(CLOSE)).alias("end"))
+        out = F.when(x["role"] == "assistant", F.concat(a["out"], F.array(span))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(_rendered(x))).alias("at"), out.alias("out")).cast(state)
+
+    return F.aggregate(turns, zero, step, lambda a: a["out"])
+
+
+def preference_format(sides: DataFrame) -> DataFrame:
+    """pair_id, block, part, n_prompt, n_chosen, n_rejected (turns), prompt, chosen, rejected, chosen_spans, rejected_spans. Spans are the
+    trained intervals of a completion; the prompt has none."""
+    said = F.struct("role", "text")
+    of = lambda side: F.max(F.when(F.col("side") == side, said)).alias(side)
+    cell = sides.groupBy("pair_id", "turn", "k").agg(of("chosen"), of("rejected")).withColumn("at", _place())
+    first = cell.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(F.col("pair_id").alias("p2")).agg(F.min("at").alias("first"))
+    parted = cell.join(first, F.col("pair_id") == F.col("p2"), "left").withColumn("common", F.col("first").isNull() | (F.col("at") < F.col("first")))
+    rows = parted.groupBy("pair_id", "at.block", "at.part").agg(F.array_sort(F.collect_list(F.struct("at", "common", "chosen", "rejected"))).alias("t"))
+    pick = lambda keep, side: F.transform(F.filter("t", keep), lambda x: x[side])
+    rows = rows.select(
+        "pair_id", "block", "part", pick(lambda x: x["common"], "chosen").alias("p"),
+        pick(lambda x: ~x["common"] & x["chosen"].isNotNull(), "chosen").alias("c"), pick(lambda x: ~x["common"] & x["rejected"].isNotNull(), "rejected").alias("r"),
+    )
+    n = lambda c: F.size(c).cast("long")
+    return rows.select(
+        "pair_id", "block", "part", n("p").alias("n_prompt"), n("c").alias("n_chosen"), n("r").alias("n_rejected"),
+        _joined(F.col("p")).alias("prompt"), _joined(F.col("c")).alias("chosen"), _joined(F.col("r")).alias("rejected"),
+        _masks(F.col("c")).alias("chosen_spans"), _masks(F.col("r")).alias("rejected_spans"),
     )

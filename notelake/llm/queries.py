@@ -48,9 +48,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(sf_dir, "conversations", spark)
-    out = chat.preference_format(turns, chat.neighbours(turns))
-    return out.select("pair_id", "part", "turn", "k", "role", F.sha2("rendered", 256).alias("rendered_sha256"), F.col("content_start").cast("long").alias("content_start"), F.col("content_end").cast("long").alias("content_end"), "loss")
+    """Each conversation against itself with a weaker last answer (conversations hold no rejected ones): whole pairs, texts as digests."""
+    out = chat.preference_format(chat.weakened(table(sf_dir, "conversations", spark)))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    spans = [F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(c) for c in ("chosen_spans", "rejected_spans")]
+    return out.select("pair_id", "block", "part", "n_prompt", "n_chosen", "n_rejected", *digests, *spans)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -59,27 +59,39 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 OP8 = """
-WITH t AS (
+WITH t0 AS (
   SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv, coalesce(CAST(turn AS BIGINT), -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ),
-r AS (
-  SELECT CAST(floor(conv / 2) AS BIGINT) AS pair_id, conv % 2 AS side, turn, CAST(row_number() OVER (PARTITION BY conv, turn ORDER BY role, text) AS INTEGER) AS k, role, text FROM t
+t1 AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY role, text) AS k FROM t0),
+t2 AS (SELECT *, CAST(floor(turn / 64) AS BIGINT) AS block, CAST(floor((k - 1) / 64) AS BIGINT) AS part FROM t1),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY block, part, turn, k) AS o FROM t2),
+ends AS (SELECT conv, max(o) AS o FROM t WHERE role = 'assistant' GROUP BY conv),
+both_sides AS (
+  SELECT t.*, e.o AS last, e.o IS NULL OR t.o <= e.o AS stays,
+    CASE WHEN t.o = e.o THEN array_to_string(list_slice(string_split(text, ' '), 1, len(string_split(text, ' ')) // 2), ' ') ELSE text END AS weak
+  FROM t LEFT JOIN ends e ON e.conv = t.conv
 ),
-cell AS (SELECT pair_id, turn, k, role, text, min(side) AS lo, max(side) AS hi FROM r GROUP BY ALL),
-odd AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, k) AS o FROM cell WHERE lo = hi),
-parted AS (
-  SELECT c.*, f.turn IS NULL OR c.turn < f.turn OR (c.turn = f.turn AND c.k < f.k) AS common
-  FROM cell c LEFT JOIN (SELECT pair_id, turn, k FROM odd WHERE o = 1) f ON f.pair_id = c.pair_id
+odd AS (SELECT conv, min(o) AS o FROM both_sides WHERE NOT stays OR weak <> text GROUP BY conv),
+parted AS (SELECT b.*, d.o IS NULL OR b.o < d.o AS common FROM both_sides b LEFT JOIN odd d ON d.conv = b.conv),
+said AS (
+  SELECT conv, block, part, o, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS side, role, text FROM parted
+  UNION ALL SELECT conv, block, part, o, 'rejected', role, weak FROM parted WHERE NOT common AND stays
 ),
-part AS (
-  SELECT 'prompt' AS part, * FROM parted WHERE common
-  UNION ALL SELECT CASE WHEN lo = 0 THEN 'chosen' ELSE 'rejected' END, * FROM parted WHERE NOT common
-  UNION ALL SELECT 'rejected', * FROM parted WHERE NOT common AND lo < hi
+put AS (
+  SELECT *, '<|turn|>' || role || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+    sum(length(role) + length(text) + 17) OVER (PARTITION BY conv, block, part, side ORDER BY o) - length(text) - 8 AS start FROM said
+),
+flat AS (
+  SELECT conv, block, part, side, count(*) AS n, string_agg(rendered, '' ORDER BY o) AS t,
+    string_agg(CASE WHEN role = 'assistant' THEN start || ':' || (start + length(text) + 7) END, ',' ORDER BY o) AS spans
+  FROM put GROUP BY ALL
 )
-SELECT pair_id, part, turn, k, role, sha256('<|turn|>' || role || chr(10) || text || '<|end|>' || chr(10)) AS rendered_sha256,
-  CAST(length(role) + 9 AS BIGINT) AS content_start, CAST(length(role) + 16 + length(text) AS BIGINT) AS content_end, NOT common AND role = 'assistant' AS loss
-FROM part
+SELECT conv AS pair_id, block, part, CAST(coalesce(sum(n) FILTER (side = 'prompt'), 0) AS BIGINT) AS n_prompt, CAST(coalesce(sum(n) FILTER (side = 'chosen'), 0) AS BIGINT) AS n_chosen,
+  CAST(coalesce(sum(n) FILTER (side = 'rejected'), 0) AS BIGINT) AS n_rejected, sha256(coalesce(max(t) FILTER (side = 'prompt'), '')) AS prompt_sha256,
+  sha256(coalesce(max(t) FILTER (side = 'chosen'), '')) AS chosen_sha256, sha256(coalesce(max(t) FILTER (side = 'rejected'), '')) AS rejected_sha256,
+  coalesce(max(spans) FILTER (side = 'chosen'), '') AS chosen_spans, coalesce(max(spans) FILTER (side = 'rejected'), '') AS rejected_spans
+FROM flat GROUP BY ALL
 """
 
 OP9 = r"""

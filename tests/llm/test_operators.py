@@ -262,17 +262,51 @@ def test_neighbours(spark):
 def test_chat(spark):
     t = [(0, 0, "system", "s"), (0, 1, "user", "q"), (0, 2, "assistant", "good"), (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "bad"), (1, 3, "user", "so"), (2, 0, "user", "x"), (4, 0, "user", "y"), (5, 0, "user", "y"), (0, 0, "system", "s"), (None, 0, "user", "n"), (6, None, None, None)]
     df = spark.createDataFrame([(*r, "pair") for r in t], "conv_id long, turn long, role string, text string, part string")
-    out = chat.preference_format(df, chat.neighbours(df))
-    a = {r.pair_id: r for r in chat.assemble(out).collect()}
+    pairs = spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i in range(4)], "pair_id long, chosen long, rejected long")
+    out = chat.preference_format(chat.sides_of(df, pairs))
+    a = {r.pair_id: r for r in out.collect()}
     one = a[0]
-    assert one.prompt == "<|turn|>system\ns<|end|>\n<|turn|>user\nq<|end|>\n"
+    assert one.prompt == "<|turn|>system\n<|end|>\n<|turn|>user\nq<|end|>\n".replace("system\n", "system\ns") and (one.n_prompt, one.n_chosen, one.n_rejected) == (2, 1, 2)
     assert [one.chosen[s.start : s.end] for s in one.chosen_spans] == ["good<|end|>"] and [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["bad<|end|>"]
     assert one.rejected.endswith("<|turn|>user\nso<|end|>\n")
-    assert a[2].prompt and not a[2].chosen and not a[2].rejected and a[1].chosen and not a[1].rejected
-    assert out.count() == 2 + 1 + 2 + 1 + 1 + 1 and chat.preference_format(df.limit(0), chat.neighbours(df.limit(0))).count() == 0
+    assert a[2].prompt and not a[2].chosen and not a[2].rejected and a[1].chosen and not a[1].rejected and a[3].n_chosen == 1
+    none = df.limit(0)
+    assert chat.preference_format(chat.sides_of(none, pairs)).count() == chat.preference_format(chat.weakened(none)).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_weaker_answers(spark):
+    """Against plain lists: blocks, prefixes, masks, crowded and null turns, conversations without an answer."""
+    rnd = random.Random(8)
+    rows = [(c, rnd.choice([None, *range(0, 150 if c == 3 else 8)]), rnd.choice(["user", "assistant", None]), rnd.choice(["a b c", "one", "", None, "x  y", f"w{i} z"])) for i in range(900) for c in [rnd.choice([0, 1, 2, 3, 3, -5])]]
+    rows += [(7, 0, "user", f"u{i:03}") for i in range(200)] + [(8, 0, "user", "alone"), (9, 0, "assistant", ""), (None, 0, "user", "x"), (8, 0, "user", "alone")]
+    rows += [(10, 0, "user", "q"), (10, 1, "assistant", "first answer"), (10, 2, "user", "more"), (10, 3, "assistant", "a last and longer answer"), (10, 4, "user", "bye")]
+    want = {}
+    for conv in {r[0] for r in rows} - {None}:
+        t = sorted({(-1 if n is None else n, role or "", text or "") for c, n, role, text in rows if c == conv})
+        k = {x: 1 + sum(y[0] == x[0] and y < x for y in t) for x in t}
+        t.sort(key=lambda x: (x[0] // 64, (k[x] - 1) // 64, x[0], k[x]))
+        block = [(x[0] // 64, (k[x] - 1) // 64) for x in t]
+        last = max((i for i, x in enumerate(t) if x[1] == "assistant"), default=None)
+        weak = [x[2] if i != last else " ".join(x[2].split(" ")[: len(x[2].split(" ")) // 2]) for i, x in enumerate(t)][: len(t) if last is None else last + 1]
+        cut = next((i for i, x in enumerate(t) if i >= len(weak) or weak[i] != x[2]), len(t))
+        for i, x in enumerate(t):
+            at = want.setdefault((conv, *block[i]), {"prompt": [], "chosen": [], "rejected": []})
+            at["prompt" if i < cut else "chosen"].append((x[1], x[2]))
+            if cut <= i < len(weak):
+                at["rejected"].append((x[1], weak[i]))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, block int")
+    got = chat.preference_format(chat.weakened(df)).collect()
+    assert len(got) == len(want) and any(r.part for r in got) and any(r.block > 1 for r in got)
+    for r in got:
+        for side, said in want[r.pair_id, r.block, r.part].items():
+            assert r[side] == "".join(f"<|turn|>{role}\n{text}<|end|>\n" for role, text in said) and r[f"n_{side}"] == len(said)
+            if side != "prompt":
+                assert [r[side][s.start : s.end] for s in r[f"{side}_spans"]] == [f"{text}<|end|>" for role, text in said if role == "assistant"]
+    ten = next(r for r in got if r.pair_id == 10)
+    assert ten.n_prompt == 3 and "a last<|end|>" in ten.rejected and ten.chosen.endswith("bye<|end|>\n") and ten.n_rejected == 1
+
+
 def test_warc_revisits(spark):
     rnd = random.Random(4)
     rows = []
