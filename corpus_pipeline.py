@@ -1,8 +1,9 @@
-"""The corpus pipeline: five stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
 
-from __future__ import annotations
+Every stage reads doc_id, text, lang, source and n_chars and ignores other columns; an empty table stays empty. Any column may be null and any
+doc_id may repeat: documents are rows, told apart by doc_id and text."""
 
-from functools import reduce
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects: no letters, or less sure than its calibrated threshold."""
+    """Drops documents that the language model rejects: no letters (null and empty texts too), or less sure than its calibrated threshold. Rows are
+    judged one by one, so repeated rows stay or go together."""
     return langid.identify(docs.select(*COLUMNS), langid.train(docs)).where("not rejected").select(*COLUMNS)
 
 
@@ -54,14 +56,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets."""
+    """Replaces personal data by its kind in brackets, and counts n_chars anew. All rows stay; a null text stays null, with null n_chars."""
     found = pii.find_personal(docs.select(*COLUMNS))
     text = pii.redact(F.coalesce("text", F.lit("")), F.concat("base", "added"))
     return found.withColumn("text", F.when(F.col("text").isNotNull(), text)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the length and digest of what they decode to."""
+    """Token ids of each row, with their number and the digest of what they decode to. All rows stay; a null text has no ids."""
     out = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -70,4 +72,8 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(lambda docs, stage: stage[1](spark, docs, sf_dir), STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All stages over the documents. What a stage keeps is written to the shared checkpoint folder once, as later stages read it several times."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
