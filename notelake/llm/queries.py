@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, dedup, langid, lattice, pii, substring, warc
-from .common import table
+from .common import checkpoint, table
 from .sql import SQL  # noqa: F401
 
 
@@ -56,27 +56,34 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """A crawl made of pages: each page is a response; two of three are asked for again later and answered by 304, every ninth
-    page with another validator. Times follow page_id, so revisits of one URL interleave with its other captures."""
-    p = pages.select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.length(F.coalesce("html", F.lit(""))).cast("long").alias("length")).where("page_id is not null")
-    text = lambda *c: F.concat(*c)
-    at = lambda s: F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60 + s)
-    tag = text(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
+    """A crawl made of pages, as records with payloads: each page is a response; two of three are asked for again later and answered by 304, every
+    ninth page with another validator. Times follow page_id, so revisits of one URL interleave with its other captures."""
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    p = pages.select("page_id", "url", html.alias("payload"), F.sha2(html, 256).alias("digest")).where("page_id is not null")
+    at = lambda s: (F.lit(1704067200) + F.col("page_id") * 60 + s).cast("long").alias("at")
+    name = lambda kind: F.concat(F.lit(f"{kind}-"), F.col("page_id").cast("string")).alias("record_id")
+    tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
+    head = lambda **k: F.create_map(*[x for n, v in k.items() for x in (F.lit(n.replace("_", "-")), v)]).alias("headers")
     full = p.select(
-        text(F.lit("page-"), F.col("page_id").cast("string")).alias("record_id"), F.lit("response").alias("type"), "url", at(0).alias("ts"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("length").cast("string"), F.lit("etag"), tag, F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
-        F.col("digest").alias("payload_digest"), F.col("length").alias("payload_length"),
+        name("page"), F.lit("response").alias("type"), "url", at(0),
+        head(content_type=F.lit("text/html"), content_length=F.octet_length("payload").cast("string"), etag=tag, cache_control=F.lit("max-age=60")), "payload",
     )
+    other = F.when(F.col("page_id") % 9 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
     again = p.where("page_id % 3 <> 0 or page_id % 9 = 0").select(
-        text(F.lit("revisit-"), F.col("page_id").cast("string")).alias("record_id"), F.lit("revisit").alias("type"), "url", at(600).alias("ts"),
-        F.create_map(F.lit("content-type"), F.lit("text/plain"), F.lit("etag"), F.when(F.col("page_id") % 9 == 0, F.lit('"changed"')).otherwise(text(F.lit("W/"), tag)), F.lit("cache-control"), F.lit("max-age=600"), F.lit("server"), F.lit("edge")).alias("headers"),
-        F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("long").alias("payload_length"),
+        name("revisit"), F.lit("revisit").alias("type"), "url", at(600),
+        head(content_type=F.lit("text/plain"), etag=other, cache_control=F.lit("max-age=600"), server=F.lit("edge")), F.lit(b"").alias("payload"),
     )
     return full.unionByName(again)
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.resolve_revisits(captures(table(sf_dir, "pages", spark)))
+    """The crawl is written as WARC bytes, read back record by record, and its revisits are resolved."""
+    read = warc.records_of(warc.to_warc(captures(table(sf_dir, "pages", spark))))
+    full = F.col("type") == "response"
+    records = read.select(
+        "record_id", "type", "url", "ts", "headers", F.when(full, F.sha2("payload", 256)).alias("payload_digest"), F.when(full, F.octet_length("payload")).cast("long").alias("payload_length")
+    )
+    out = warc.resolve_revisits(checkpoint(records))
     entries = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
     return out.select("record_id", "url", "status", "refers_to", entries.alias("headers"), "payload_digest", "payload_length")
 

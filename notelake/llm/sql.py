@@ -95,7 +95,7 @@ FROM flat GROUP BY ALL
 """
 
 OP9 = r"""
-WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, CAST(length(coalesce(html, '')) AS BIGINT) AS len FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS len FROM pages WHERE page_id IS NOT NULL),
 q AS (SELECT *, regexp_replace(trim(url, ' '), '#.*$', '') AS u FROM p),
 c AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^[^@]*@', ''), ':(?:80|443)$|^www\.', '', 'g') AS host,

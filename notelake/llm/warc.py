@@ -10,7 +10,7 @@ block; the last response of each block, one row a block, is carried over. So one
 
 Defined results: records without a URL or time are orphans; of responses at one time the one with the largest record_id counts, and a response is earlier
 only by a smaller time; wholly equal rows count once, and rows that share a record_id (or have none) but differ are records of their own; status is
-resolved, mismatch or orphan. read_warc() skips broken records and broken gzip members, and goes on at the next WARC/ line or member.
+resolved, mismatch or orphan; an empty table gives no rows, other columns are ignored. read_warc() skips broken records and broken gzip members, and goes on at the next WARC/ line or member.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ import gzip
 import io
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+_SEGMENT = 1 << 20
 #: Headers that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-RECORD = "record_id string, type string, url string, ts timestamp, headers map<string,string>, refers_to string, payload binary"
 
 
 def canonical(url: Column) -> Column:
@@ -95,17 +96,17 @@ def reduce_sum(parts: list[Column]) -> Column:
     return out
 
 
-def encode_record(record_id: str, kind: str, url: str, date: str, headers: dict[str, str], payload: bytes, refers_to: str | None = None, compress: bool = True) -> bytes:
+def encode_record(record_id: str, kind: str, url: str | None, date: str, headers: dict[str, str], payload: bytes, refers_to: str | None = None, compress: bool = True) -> bytes:
     """One WARC/1.1 record with an HTTP block, as a gzip member of its own if compress is set."""
     status = "HTTP/1.1 304 Not Modified" if kind == "revisit" else "HTTP/1.1 200 OK"
     block = "\r\n".join([status, *(f"{k}: {v}" for k, v in sorted(headers.items())), "", ""]).encode() + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}", "Content-Type: application/http"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", *([] if url is None else [f"WARC-Target-URI: {url}"]), f"WARC-Date: {date}", "Content-Type: application/http"]
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified")
     if refers_to:
         lines.append(f"WARC-Refers-To: <{refers_to}>")
     data = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
-    return gzip.compress(data, mtime=0) if compress else data
+    return gzip.compress(data, 3, mtime=0) if compress else data
 
 
 def _members(data: bytes) -> Iterator[bytes]:
@@ -115,11 +116,11 @@ def _members(data: bytes) -> Iterator[bytes]:
         return
     at = 0
     while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
-        z, out, to = zlib.decompressobj(31), [], at
+        z, out, to, step = zlib.decompressobj(31), [], at, 1 << 12
         try:
-            while to < len(data) and not z.eof:
-                out.append(z.decompress(data[to : to + (1 << 16)]))
-                to += 1 << 16
+            while to < len(data) and not z.eof:  # small steps first, as what follows a member is copied
+                out.append(z.decompress(data[to : to + step]))
+                to, step = to + step, min(2 * step, 1 << 18)
         except zlib.error:
             pass
         if z.eof:
@@ -157,18 +158,58 @@ def _headers(f) -> dict[str, str]:
     return out
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files below path, read through Spark."""
+_READ = "record_id string, type string, url string, date string, headers map<string,string>, refers_to string, payload binary"
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    text = lambda k: pa.array([r[k] for r in rows], pa.string())
+    headers = pa.array([list(r["headers"].items()) for r in rows], pa.map_(pa.string(), pa.string()))
+    return pa.RecordBatch.from_arrays(
+        [text("record_id"), text("type"), text("url"), text("date"), headers, text("refers_to"), pa.array([r["payload"] for r in rows], pa.binary())],
+        names=["record_id", "type", "url", "date", "headers", "refers_to", "payload"],
+    )
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """record_id, type, url, headers, refers_to, payload, ts of the records in the bytes of `content`, each row a file or a part of one
+    that holds whole records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                for r in decode_records(x.as_py()):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["record_id"]]), pa.array([r["type"]], pa.string()), pa.array([r["url"]], pa.string()), pa.array([r["date"]], pa.string()),
-                         pa.array([list(r["headers"].items())], pa.map_(pa.string(), pa.string())), pa.array([r["refers_to"]], pa.string()), pa.array([r["payload"]], pa.binary())],
-                        names=["record_id", "type", "url", "date", "headers", "refers_to", "payload"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, type string, url string, date string, headers map<string,string>, refers_to string, payload binary").withColumn("ts", F.to_timestamp("date")).drop("date")
+                rows, size = [], 0
+                for r in decode_records(x.as_py() or b""):
+                    rows.append(r)
+                    size += len(r["payload"])
+                    if size > _SEGMENT or len(rows) == 1000:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    return files.select("content").mapInArrow(run, _READ).withColumn("ts", F.to_timestamp("date")).drop("date")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files below path, read through Spark. A file is one row, which Spark holds to 2 GB (crawlers cut files at 1 GB)."""
+    return records_of(spark.read.format("binaryFile").load(path))
+
+
+def to_warc(records: DataFrame, compress: bool = True) -> DataFrame:
+    """content: WARC bytes of about 1 MB a row. records: record_id, type, url, at (seconds since 1970), headers, payload. White space around a URL
+    or header value doesn't survive, as in any WARC file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size = [], 0
+            for record_id, kind, url, at, headers, payload in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                date = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=at)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                held.append(encode_record(record_id, kind, url, date, dict(headers or ()), payload or b"", compress=compress))
+                size += len(held[-1])
+                if size > _SEGMENT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
+
+    return records.select("record_id", "type", "url", "at", "headers", "payload").mapInArrow(run, "content binary")

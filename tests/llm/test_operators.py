@@ -266,7 +266,7 @@ def test_chat(spark):
     out = chat.preference_format(chat.sides_of(df, pairs))
     a = {r.pair_id: r for r in out.collect()}
     one = a[0]
-    assert one.prompt == "<|turn|>system\n<|end|>\n<|turn|>user\nq<|end|>\n".replace("system\n", "system\ns") and (one.n_prompt, one.n_chosen, one.n_rejected) == (2, 1, 2)
+    assert one.prompt == "<|turn|>system\ns<|end|>\n<|turn|>user\nq<|end|>\n" and (one.n_prompt, one.n_chosen, one.n_rejected) == (2, 1, 2)
     assert [one.chosen[s.start : s.end] for s in one.chosen_spans] == ["good<|end|>"] and [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["bad<|end|>"]
     assert one.rejected.endswith("<|turn|>user\nso<|end|>\n")
     assert a[2].prompt and not a[2].chosen and not a[2].rejected and a[1].chosen and not a[1].rejected and a[3].n_chosen == 1
@@ -347,6 +347,16 @@ def test_warc_files(spark, tmp_path):
     assert rows[0].payload == b"<p>\r\n\r\nx</p>" and rows[0].headers == head and rows[2].refers_to == "urn:1" and rows[2].type == "revisit"
 
 
+def test_records_survive_their_bytes(spark):
+    big = bytes(range(256)) * 20_000
+    rows = [(f"r{i}", "response" if i % 2 else "revisit", None if i == 3 else f"http://a.com/{i}?x=é", 60 * i, {"a": "b c", "etag": '"x: y"'} if i % 3 else {}, big if i == 5 else f"{i}\r\n\r\n".encode() if i % 2 else b"") for i in range(40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "record_id string, type string, url string, at long, headers map<string,string>, payload binary, content string")
+    for z in (True, False):
+        got = warc.records_of(warc.to_warc(df, compress=z)).selectExpr("record_id", "type", "url", "unix_seconds(ts)", "headers", "payload").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+    assert warc.records_of(warc.to_warc(df.limit(0))).count() == 0
+
+
 def test_digest_columns(spark):
     """The thin queries on the smallest tables: shapes, and digests that follow from the operators' outputs."""
     sf = "/root/testdata/sf0.001"
