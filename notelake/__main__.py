@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from notelake.operators import control, export, graph, quality, similarity, stats
+from notelake.operators import control, edits, export, graph, quality, similarity, stats
 from notelake.operators.edits import Vault
 from notelake.operators.parse import parse_v1
 from notelake.operators.run import doctor, run
@@ -28,12 +28,15 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--config", default="notelake.toml")
         s.add_argument("--out", default="reports")
         s.add_argument("--lang")
-        s.add_argument("--top", type=int, default=10)
+        s.add_argument("--top", type=int)
         s.add_argument("--as-of", default=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
         s.add_argument("--run-id")
         if name == "watch":
             s.add_argument("--interval", type=float, default=5)
             s.add_argument("--once", action="store_true")
+        if name == "apply":
+            s.add_argument("--yes", action="store_true", help="don't ask")
+            s.add_argument("--append-only", action="store_true", help="related sections only")
         if name == "rollback":
             s.add_argument("--item")
             s.add_argument("--file")
@@ -45,30 +48,41 @@ def parser() -> argparse.ArgumentParser:
         if name == "quality":
             s.add_argument("--worst", action="store_true")
             s.add_argument("--grade", help="kept after the limit")
+            s.add_argument("--note", help="exact name, else part of one")
+            s.add_argument("--issues", action="store_true", help="the weakest notes and what to mend")
         if name == "similar":
             s.add_argument("what", choices=["find", "duplicates", "unlinked", "merge", "all"])
             s.add_argument("--note")
+            s.add_argument("--threshold", type=float)
     sub.add_parser("init-config").add_argument("path", nargs="?", default="notelake.toml")
     return p
 
 
 def _apply(a, config: dict) -> tuple[int, dict]:
-    """Codes: 0 done, 2 conflicts, 10 dirty tree, 11 no quiet window, 12 lease held by another, 20 stash failed."""
+    """Codes: 0 done, 2 conflicts, 10 dirty tree, 11 no quiet window, 12 lease held by another, 20 stash failed. Where the vault never gets quiet,
+    related sections alone can still be applied: at once with --yes, else as answered."""
     root, run_id = a.vault[0], a.run_id
     vault, policy = Vault(root), control.GitPolicy(root, control.setting(config, "apply.git", "policy"), control.setting(config, "apply.git", "auto_commit"))
     if code := policy.before():
         return code, {"error": "working tree not clean"}
     try:
+        append_only = a.append_only
         if not control.wait_quiet(root, most=control.setting(config, "apply", "max_wait_sec")):
-            return 11, {"error": "vault is busy"}
+            choice = "append" if a.yes else edits.starved()
+            if choice == "abort":
+                return 11, {"error": "vault is busy"}
+            append_only = append_only or choice == "append"
+        doc = json.loads((Path(a.out) / "runs" / run_id / "action-items.json").read_text(encoding="utf-8"))
+        chosen = vault.chosen(doc["items"], append_only)
+        if not a.yes and not edits.confirm(chosen):
+            return 0, {"applied": 0, "conflicts": []}
         if not vault.acquire(f"apply-{run_id}"):
             return 12, {"error": "lease held"}
         marker = Path(root) / control.setting(config, "apply", "offline_lock_marker")
         made = not marker.exists()
         marker.touch()
         try:
-            doc = json.loads((Path(a.out) / "runs" / run_id / "action-items.json").read_text(encoding="utf-8"))
-            log = vault.apply(doc["items"], run_id)
+            log = vault.apply(chosen, run_id, append_only)
         finally:
             vault.release(f"apply-{run_id}")
             if made and control.setting(config, "apply", "offline_lock_cleanup"):
@@ -86,7 +100,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "init-config":
         say({"path": a.path, "created": control.write_template(a.path)})
         return 0
-    config, root = control.load_config(a.config), a.vault[0]
+    config, root = control.load_config(a.config, a.vault[0]), a.vault[0]
     if a.command in ("apply", "rollback") and not a.run_id or a.command == "rollback" and a.item and a.file:
         say({"error": "name a run, and an item or a file, not both"})
         return 2
@@ -112,26 +126,41 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
+#: Rows shown where --top isn't given.
+LIMITS = {"find": 5, "duplicates": 20, "unlinked": 20, "merge": 10, "all": 20}
+
+
 def _analyse(a, spark: SparkSession, say) -> None:
-    n = parse_v1(exclude(notes_of(scan(spark, *a.vault)).withColumn("modified", F.col("modified").cast("timestamp_ntz"))))
-    rows = lambda d: say([r.asDict(True) for r in d.limit(a.top).collect()])
+    env = control.load_env("notelake.env.sh")
+    listed = lambda key, default: [x.strip() for x in env.get(key, default).split(",") if x.strip()]
+    notes = notes_of(scan(spark, *a.vault)).withColumn("modified", F.col("modified").cast("timestamp_ntz"))
+    n = parse_v1(exclude(notes, listed("EXCLUDE_FOLDERS", ".obsidian,.trash"), listed("EXCLUDE_NOTES", "")))
+    top = a.top or LIMITS.get(getattr(a, "what", ""), 10)
+    rows = lambda d: say([r.asDict(True) for r in d.limit(top).collect()])
     if a.command == "stats":
         say({"all": stats.vault_stats(n, a.as_of).first().asDict(), "vaults": [r.asDict() for r in stats.rollup(n).collect()]})
     elif a.command == "search":
-        rows(stats.search(n, a.keyword, [t for t in a.tags.split(",") if t], a.min_links, a.max_links).select("name", "rel_path", "word_count").orderBy("name"))
+        found = stats.search(n, a.keyword, [t for t in a.tags.split(",") if t], a.min_links, a.max_links)
+        rows(found.select("vault", "name", "rel_path", "word_count").orderBy("vault", "name"))
     elif a.command in ("orphans", "hubs", "popular"):
-        d = graph.degrees(n).join(n.select("name", "modified"), "name")
-        rows(d.where("total = 0").orderBy(F.desc("modified"), "name") if a.command == "orphans" else d.orderBy(F.desc("out_degree" if a.command == "hubs" else "in_degree"), "name"))
+        d = graph.degrees(n).join(n.select("vault", "name", "modified"), ["vault", "name"])
+        best = {"orphans": "modified", "hubs": "out_degree", "popular": "in_degree"}[a.command]
+        rows((d.where("total = 0") if a.command == "orphans" else d).orderBy(F.desc(best), "name", "vault"))
     elif a.command == "quality":
         s = quality.scores(n, a.as_of)
-        best = s.orderBy(F.col("total").asc() if a.worst else F.col("total").desc(), "name").limit(a.top)
+        if a.note:
+            return rows(quality.find_notes(s, a.note))
+        if a.issues:
+            return rows(quality.top_issues(s, top))
+        best = s.orderBy(F.col("total").asc() if a.worst else F.col("total").desc(), "name", "vault").limit(top)
         say({"summary": quality.summary(s).first().asDict(), "notes": [r.asDict() for r in best.collect() if not a.grade or r.grade == a.grade]})
     elif a.command == "similar":
         if a.what == "find":
-            return rows(similarity.to_note(n, a.note, top=a.top))
-        p = similarity.similar_pairs(n)
-        d = {"all": p, "duplicates": p.where("similarity >= 0.7"), "unlinked": similarity.linked_flag(p, n).where("not linked"), "merge": similarity.merge_suggestions(p, n)}[a.what]
-        rows(d.orderBy(F.desc("similarity")))
+            return rows(similarity.to_note(n, a.note, a.threshold or 0.3, top=top))
+        least = a.threshold or {"duplicates": 0.7, "merge": 0.6}.get(a.what, 0.3)
+        p = similarity.similar_pairs(n, least)
+        d = similarity.linked_flag(p, n).where("not linked") if a.what == "unlinked" else similarity.merge_suggestions(p, n, least) if a.what == "merge" else p
+        rows(d.orderBy(F.desc("similarity"), "vault", "l", "r"))
     else:
         export.export_all(n, a.out, a.as_of, a.lang or "en")
         say({"out": a.out})

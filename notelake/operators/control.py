@@ -22,7 +22,7 @@ TEMPLATE = {
     "apply": {"max_wait_sec": 30, "offline_lock_marker": ".nosync", "offline_lock_cleanup": True},
     "apply.git": {"policy": "require_clean", "auto_commit": False},
     "performance": {"max_mem_mb": 0, "top_terms": 30, "fast_path_max_age_sec": 10},
-    "scan": {"max_file_mb": 5},
+    "scan": {"max_file_mb": 5, "sleep_ms": 0, "max_files_per_sec": 0},
     "scoring": {"model": "quantile", "clamp_min": 0.0, "clamp_max": 1.0, "w_content": 0.6, "w_title": 0.3, "w_link": 0.1, "min_related_confidence": 0.3, "merge_confidence": 0.85, "low_confidence": 0.45},
     "filters": {"path_penalty": 0.9},
 }
@@ -37,17 +37,45 @@ def write_template(path: str) -> bool:
     return True
 
 
-def load_config(path: str | None) -> dict:
-    """The TOML file, {} where there is none."""
-    return tomllib.loads(Path(path).read_text(encoding="utf-8")) if path and Path(path).exists() else {}
+def load_config(path: str | None, root: str | None = None) -> dict:
+    """The first of the vault's own file (the name of `path` below root) and the file at path that exists, whole; {} where there is none."""
+    places = [Path(root) / Path(path).name] if path and root else []
+    for p in [*places, *([Path(path)] if path else [])]:
+        if p.is_file():
+            return tomllib.loads(p.read_text(encoding="utf-8"))
+    return {}
+
+
+def load_env(path: str) -> dict[str, str]:
+    """KEY=VALUE of the export lines of a shell file, quotes removed; {} where there is none."""
+    out, p = {}, Path(path)
+    for line in p.read_text(encoding="utf-8").splitlines() if p.is_file() else []:
+        head, eq, value = line.strip().removeprefix("export ").partition("=")
+        if line.strip().startswith("export ") and eq:
+            out[head.strip()] = value.strip().strip('"').strip("'")
+    return out
+
+
+def typed(value, default):
+    """value as the type of the default, which stands in where it can't be read: true, yes, on and 1 are true."""
+    if isinstance(default, bool):
+        return value if isinstance(value, bool) else value.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, str) else bool(value) if isinstance(value, int | float) else default
+    if isinstance(default, int | float):
+        try:
+            number = float(value)
+        except (TypeError, ValueError):
+            return default
+        return int(number) if isinstance(default, int) and number == int(number) else number
+    return default if value is None else str(value)
 
 
 def setting(config: dict, part: str, key: str):
-    """A key of the configuration (parts may be dotted), or its default."""
+    """A key of the configuration (parts may be dotted), of the default's type, or the default."""
     at = config
     for name in part.split("."):
         at = at.get(name, {}) if isinstance(at, dict) else {}
-    return at.get(key, TEMPLATE[part][key]) if isinstance(at, dict) else TEMPLATE[part][key]
+    default = TEMPLATE[part][key]
+    return typed(at.get(key, default), default) if isinstance(at, dict) else default
 
 
 def scoring_of(config: dict) -> Scoring:

@@ -16,9 +16,9 @@ from .edits import write_atomic
 
 
 def notes_rows(notes: DataFrame) -> DataFrame:
-    d = notes.join(graph.degrees(notes), "name")
+    d = notes.join(graph.degrees(notes), ["vault", "name"])
     return d.select(
-        "name", "rel_path", "word_count", "out_degree", "in_degree", F.col("total").alias("total_links"), F.array_join(F.array_sort("tags"), ", ").alias("tags"),
+        "vault", "name", "rel_path", "word_count", "out_degree", "in_degree", F.col("total").alias("total_links"), F.array_join(F.array_sort("tags"), ", ").alias("tags"),
         F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), F.when(F.col("total") == 0, "Yes").otherwise("No").alias("orphan"),
     )
 
@@ -106,7 +106,7 @@ def write_csv_file(rows: DataFrame, path: str) -> int:
 def analysis(notes: DataFrame, as_of: str, top: int = 20, tags: int = 50) -> dict:
     """The statistics part of the analysis document; lists are top-k reports."""
     s = stats.vault_stats(notes, as_of).first().asDict()
-    d = graph.degrees(notes).join(notes.select("name", "word_count"), "name")
+    d = graph.degrees(notes).join(notes.select("vault", "name", "word_count"), ["vault", "name"])
     best = lambda by: [r.asDict() for r in d.orderBy(F.desc(by), "name").limit(top).collect()]
     return {
         "statistics": s, "top_notes": {"most_outgoing": best("out_degree"), "most_incoming": best("in_degree")},

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +35,25 @@ def health(parsed: DataFrame) -> DataFrame:
 
 
 def edges_v1(notes: DataFrame) -> DataFrame:
-    """Distinct edges between notes that exist, self-links included."""
-    out = notes.select(F.col("name").alias("src"), F.explode("outgoing").alias("dst"))
-    return out.join(notes.select(F.col("name").alias("dst")), "dst").select("src", "dst")
+    """vault, src, dst: distinct edges between notes of one vault that exist, self-links included. A target that very many notes
+    link to makes one side of the join uneven, which adaptive execution splits, as names are unique on the other."""
+    out = notes.select("vault", F.col("name").alias("src"), F.explode("outgoing").alias("dst"))
+    return out.join(notes.select("vault", F.col("name").alias("dst")), ["vault", "dst"]).select("vault", "src", "dst")
 
 
 def degrees(notes: DataFrame) -> DataFrame:
-    """name, out_degree (unresolved links count), in_degree, total."""
-    into = edges_v1(notes).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("in_degree"))
-    d = notes.select("name", F.size("outgoing").cast("long").alias("out_degree")).join(into, "name", "left").fillna(0, ["in_degree"])
+    """vault, name, out_degree (unresolved links count), in_degree, total."""
+    into = edges_v1(notes).groupBy("vault", F.col("dst").alias("name")).agg(F.count("*").alias("in_degree"))
+    d = notes.select("vault", "name", F.size("outgoing").cast("long").alias("out_degree")).join(into, ["vault", "name"], "left").fillna(0, ["in_degree"])
     return d.withColumn("total", F.col("out_degree") + F.col("in_degree"))
 
 
 def labelled_edges(notes: DataFrame) -> DataFrame:
     """Edges with `Bidirectional` or `Unidirectional`."""
     e = edges_v1(notes)
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"))
-    return e.join(back, ["src", "dst"], "left").select("src", "dst", F.when(F.col("back"), "Bidirectional").otherwise("Unidirectional").alias("kind"))
+    back = e.select("vault", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"))
+    kind = F.when(F.col("back"), "Bidirectional").otherwise("Unidirectional")
+    return e.join(back, ["vault", "src", "dst"], "left").select("vault", "src", "dst", kind.alias("kind"))
 
 
 def reciprocal_pairs(notes: DataFrame) -> DataFrame:
@@ -62,10 +62,10 @@ def reciprocal_pairs(notes: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, or a temporary folder where that is unset, and read from there."""
+    """df written to spark.checkpoint.dir and read from there. Where that is unset, a folder below the warehouse serves, which executors share too."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 

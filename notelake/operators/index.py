@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 SCHEMA_VERSION = 1
 
 
@@ -26,34 +29,56 @@ def counts(changes: DataFrame) -> DataFrame:
 
 
 class Snapshot:
-    """A directory of numbered snapshots and a pointer to the current one; a new one is written whole, then pointed to."""
+    """A directory of numbered snapshots and numbered pointers. A new snapshot is written whole, then a pointer to it appears by one
+    rename; the highest pointer counts, so a crash between the two steps leaves the former index. Of the older ones the last is kept for readers."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _meta(self) -> DataFrame | None:
-        p = f"{self.root}/current"
-        return self.spark.read.json(p) if self._fs.exists(self._path(p)) else None
+    def _numbers(self, kind: str) -> list[int]:
+        root = self._path(self.root)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n.removeprefix(f"{kind}-")) for n in names if n.startswith(f"{kind}-") and n.removeprefix(f"{kind}-").isdigit())
 
     def meta(self) -> dict | None:
-        m = self._meta()
-        return m.first().asDict() if m is not None else None
+        """version, data, last_updated and pending of the current snapshot."""
+        known = self._numbers("pointer")
+        if not known:
+            return None
+        f = self._fs.open(self._path(f"{self.root}/pointer-{known[-1]}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
+        finally:
+            f.close()
 
     def read(self) -> DataFrame | None:
         m = self.meta()
         return None if m is None or m["version"] != SCHEMA_VERSION else self.spark.read.parquet(f"{self.root}/{m['data']}")
 
+    def get(self, path: str) -> dict | None:
+        """The row of one note; the filter reaches the files' statistics."""
+        d = self.read()
+        row = d.where(F.col("rel_path") == path).first() if d is not None else None
+        return row.asDict(True) if row else None
+
     def write(self, notes: DataFrame, now: float | None = None, pending: int = 0) -> None:
         stamp = time.time() if now is None else now
-        data = f"snapshot-{int(stamp * 1000)}"
-        notes.write.mode("overwrite").parquet(f"{self.root}/{data}")
-        row = [(SCHEMA_VERSION, data, float(stamp), pending)]
-        self.spark.createDataFrame(row, "version int, data string, last_updated double, pending int").coalesce(1).write.mode("overwrite").json(f"{self.root}/next")
-        self._fs.delete(self._path(f"{self.root}/current"), True)
-        self._fs.rename(self._path(f"{self.root}/next"), self._path(f"{self.root}/current"))
+        n = max([0, *self._numbers("pointer"), *self._numbers("snapshot")]) + 1
+        notes.write.parquet(f"{self.root}/snapshot-{n}")
+        self._point(n, {"version": SCHEMA_VERSION, "data": f"snapshot-{n}", "last_updated": float(stamp), "pending": pending})
+        for kind in ("pointer", "snapshot"):
+            for old in [k for k in self._numbers(kind) if k < n][:-1]:
+                self._fs.delete(self._path(f"{self.root}/{kind}-{old}"), True)
+
+    def _point(self, n: int, meta: dict) -> None:
+        tmp = self._path(f"{self.root}/next-{n}")
+        f = self._fs.create(tmp, True)
+        f.write(json.dumps(meta).encode())
+        f.close()
+        self._fs.rename(tmp, self._path(f"{self.root}/pointer-{n}"))
 
     def fresh(self, max_age: float, now: float | None = None) -> bool:
         """Whether the index is young enough to skip the scan, with nothing pending."""
@@ -61,17 +86,15 @@ class Snapshot:
         return m is not None and not m["pending"] and (time.time() if now is None else now) - m["last_updated"] <= max_age
 
 
-def update(snapshot: Snapshot, scanned: DataFrame, parse, now: float | None = None) -> dict:
-    """Parses only changed notes, keeps the rest of the snapshot, and returns the counts."""
-    old = snapshot.read()
+def update(snapshot: Snapshot, files: DataFrame, parse, now: float | None = None) -> dict:
+    """Compares a listing (rel_path, mtime, length) with the snapshot, parses what changed (parse: listed files to note rows), keeps the rest,
+    and returns the counts. Files that didn't change aren't opened."""
+    listed, old = files.withColumn("size", F.col("length")), snapshot.read()
     if old is None:
-        fresh = parse(scanned)
-        n = scanned.count()
-        snapshot.write(fresh, now)
+        snapshot.write(parse(files), now)
+        n = snapshot.read().count()
         return {"total": n, "unchanged": 0, "updated": n, "removed": 0, "hit_rate": 0.0}
-    changes = diff(old, scanned)
-    changed = changes.where("change = 'updated'").select("rel_path")
-    keep = old.join(changes.where("change = 'unchanged'").select("rel_path"), "rel_path", "left_semi")
-    out = counts(changes).first().asDict()
-    snapshot.write(keep.unionByName(parse(scanned.join(changed, "rel_path", "left_semi"))), now)
-    return out
+    changes = saved(diff(old, listed.where("skipped is null")))
+    only = lambda d, kind: d.join(changes.where(F.col("change") == kind).select("rel_path"), "rel_path", "left_semi")
+    snapshot.write(only(old, "unchanged").unionByName(parse(only(files, "updated"))), now)
+    return counts(changes).first().asDict()

@@ -67,12 +67,15 @@ def links_v1(content: Column) -> Column:
 
 
 def parse_v1(notes: DataFrame) -> DataFrame:
-    """One row a title (the largest path wins): outgoing, tags, word_count, modified, content."""
-    last = notes.groupBy("title").agg(F.max_by(F.struct(*[c for c in notes.columns if c != "title"]), "rel_path").alias("x")).select(F.col("title").alias("name"), "x.*")
-    return last.withColumns({
-        "outgoing": links_v1(F.col("content")), "tags": F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)#([\w\-/]+)"), F.lit(1))),
+    """One row a title of a vault (of equal titles the largest path wins): vault, name, outgoing, tags, word_count and the other columns. Texts are
+    parsed before the rows of a title meet, so only the columns that are asked for are shuffled, and one row a title and task."""
+    n = notes.withColumnRenamed("title", "name").withColumns({
+        "vault": F.coalesce("vault", F.lit("")), "outgoing": links_v1(F.col("content")),
+        "tags": F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)#([\w\-/]+)"), F.lit(1))),
         "word_count": F.size(words(F.regexp_replace("content", FENCE, ""))).cast("long"),
     })
+    last = W.partitionBy("vault", "name").orderBy(F.desc("rel_path"))
+    return n.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
 def path_penalty(left: Column, right: Column, penalty: float = 0.9) -> Column:

@@ -31,11 +31,11 @@ def _ramp(x: Column, low: int, ideal: int) -> Column:
 
 
 def scores(notes: DataFrame, as_of: str, s: Standards = Standards()) -> DataFrame:  # noqa: B008
-    d = notes.join(graph.degrees(notes), "name")
+    d = notes.join(graph.degrees(notes), ["vault", "name"])
     age, t = age_days(as_of), s.fresh_days
     fresh = F.when(age <= 7, 100.0).when(age <= 30, 90.0).when(age <= t, 70.0).when(age <= 2 * t, 50.0).otherwise(30.0)
     d = d.select(
-        "name", "word_count", "out_degree", "in_degree", F.size("tags").cast("long").alias("n_tags"), _ramp(F.col("word_count"), s.min_words, s.ideal_words).alias("words"),
+        "vault", "name", "word_count", "out_degree", "in_degree", F.size("tags").cast("long").alias("n_tags"), _ramp(F.col("word_count"), s.min_words, s.ideal_words).alias("words"),
         F.when(F.col("total") == 0, 0.0).otherwise(_ramp(F.col("total"), s.min_links, s.ideal_links)).alias("links"),
         F.when(F.size("tags") == 0, 0.0).otherwise(_ramp(F.size("tags"), s.min_tags, s.ideal_tags)).alias("tags"), fresh.alias("freshness"),
     )
@@ -66,3 +66,15 @@ def _running():
     from pyspark.sql import Window as W
 
     return W.orderBy("total").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def top_issues(scored: DataFrame, limit: int = 10) -> DataFrame:
+    """The weakest notes that have something to mend, worst first."""
+    return scored.where(F.size("hints") > 0).orderBy("total", "name", "vault").limit(limit)
+
+
+def find_notes(scored: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    """The note of that exact name (one a vault), else up to ten whose name holds it, case-folded."""
+    exact = scored.where(F.col("name") == name)
+    some = scored.where(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("name", "vault").limit(limit)
+    return exact if not exact.select("name").isEmpty() else some

@@ -3,7 +3,8 @@
 The confidence of a pair needs the quantile of its content similarity among all n(n-1)/2 pairs, most of which share
 nothing. Only pairs that share a term, a link or a rare title word are made, by equi-joins over inverted lists; similarities are
 ratios of small integers, so a histogram of their few distinct values gives every quantile, zero pairs included. Pairs
-left out are those whose confidence provably stays below the threshold; where that can't be shown, all pairs are made.
+left out are those whose confidence provably stays below the threshold. All pairs are made only where all of them reach it: at a
+threshold that a pair with nothing in common meets, which the default never is for three notes or more.
 """
 
 from __future__ import annotations
@@ -85,10 +86,11 @@ def pairs(parsed: DataFrame, c: Scoring = Scoring(), common: int = 100) -> DataF
     raw = saved(content_pairs(parsed))
     q = quantiles(raw, n)
     q0 = (q.where("raw = 0").select("q").first() or [0.0])[0] if c.norm == "quantile" else 0.0
+    factor, least = max(1.0, c.penalty), min(c.min_related, c.merge)
     rare, bound = _titles(parsed, common)
-    factor = max(1.0, c.penalty)
-    silent = max(c.clamp_min, (c.w_content * q0 + c.w_title * bound) * factor)
-    if n < 3 or silent >= min(c.min_related, c.merge):
+    if (c.w_content * q0 + c.w_title * bound) * factor >= least:  # pairs that share common title words only can reach the threshold
+        rare, bound = parsed.select(F.col("rel_path").alias("id"), F.col("title_tokens").alias("items")), 0.0
+    if n < 3 or max(c.clamp_min, c.w_content * q0 * factor) >= least:  # every pair of notes is in the result
         ids = notes.select(F.col("rel_path").alias("l"))
         found = ids.join(ids.withColumnRenamed("l", "r"), F.col("l") < F.col("r"))
     else:
@@ -160,14 +162,27 @@ def merges(p: DataFrame, c: Scoring = Scoring()) -> DataFrame:  # noqa: B008
     return members.join(mean, "component").select("component", "candidates", round_half_even(F.col("m")).alias("average_confidence"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with number (from 1) in the given order: a range sort, and the count of the partitions before each one."""
+    placed = saved(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    start = placed.groupBy("_p").agg(F.count("*").alias("n")).select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # The lower 33 bits of the id count the rows of a partition in their order.
+    at = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(start), "_p").withColumn("number", F.col("start") + at + 1).drop("_p", "_i", "start")
+
+
 def plan(broken: DataFrame, rel: DataFrame, meta: DataFrame, merged: DataFrame, with_key: bool = False) -> DataFrame:
-    """Numbered actions: at most five stubs by target, related sections, metadata, merge previews. The number of actions of a vault
-    is numbered in one ordered window over narrow rows."""
-    stub = broken.orderBy("target").limit(5).select(F.lit(1).alias("part"), F.col("target").alias("key"), F.lit("create_stub_note").alias("type"), F.lit("A").alias("risk_class"), F.when(F.lower("target").endswith(".md"), F.col("target")).otherwise(F.concat("target", F.lit(".md"))).alias("target_path"), F.lit(0.2).alias("confidence"))
-    rows = lambda d, part, key, kind, risk, path, conf: d.select(F.lit(part).alias("part"), F.col(key).alias("key"), F.lit(kind).alias("type"), F.lit(risk).alias("risk_class"), path.alias("target_path"), F.col(conf).alias("confidence"))
+    """Numbered actions: at most five stubs by target, related sections, metadata, merge previews. with_key: with key and number."""
+    stub_path = F.when(F.lower("target").endswith(".md"), F.col("target")).otherwise(F.concat("target", F.lit(".md")))
+    row = lambda d, part, key, kind, risk, path, conf: d.select(
+        F.lit(part).alias("part"), F.col(key).alias("key"), F.lit(kind).alias("type"), F.lit(risk).alias("risk_class"), path.alias("target_path"), conf.alias("confidence")
+    )
     items = (
-        stub.unionByName(rows(related_blocks(rel), 2, "rel_path", "append_related_links_section", "A", F.col("rel_path"), "confidence"))
-        .unionByName(rows(meta, 3, "rel_path", "add_frontmatter_fields", "read-only", F.col("rel_path"), "confidence"))
-        .unionByName(rows(merged, 4, "component", "merge_preview", "read-only", F.lit("merge-preview"), "average_confidence"))
+        row(broken.orderBy("target").limit(5), 1, "target", "create_stub_note", "A", stub_path, F.lit(0.2))
+        .unionByName(row(related_blocks(rel), 2, "rel_path", "append_related_links_section", "A", F.col("rel_path"), F.col("confidence")))
+        .unionByName(row(meta, 3, "rel_path", "add_frontmatter_fields", "read-only", F.col("rel_path"), F.col("confidence")))
+        .unionByName(row(merged, 4, "component", "merge_preview", "read-only", F.lit("merge-preview"), F.col("average_confidence")))
     )
-    return items.withColumn("id", F.format_string("act_%04d", F.row_number().over(W.orderBy("part", "key")))).select("id", "type", "risk_class", "target_path", "confidence", *(["key"] if with_key else []))
+    out = numbered(items, "part", "key").withColumn("id", F.format_string("act_%04d", "number"))
+    return out.select("id", "type", "risk_class", "target_path", "confidence", *(["key", "number"] if with_key else []))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import round_half_even
-from notelake.sources.vault import notes_of, scan, skip_counts
+from notelake.sources.vault import contents, notes_of, scan, skip_counts
 
 from . import control, graph, recommend
 from .edits import ANCHOR
@@ -61,7 +61,7 @@ def write_items(rows: DataFrame, head: dict, path: str) -> int:
     tmp, n = Path(f"{path}.{uuid.uuid4().hex[:6]}"), 0
     with open(tmp, "w", encoding="utf-8", newline="\n") as f:
         f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "items": [')
-        for r in rows.orderBy("id").toLocalIterator():
+        for r in rows.orderBy("number").drop("number").toLocalIterator():
             row = r.asDict() | {"reason": json.loads(r.reason), "payload": json.loads(r.payload), "dependencies": []}
             f.write(("," if n else "") + "\n  " + json.dumps(row, ensure_ascii=False))
             n += 1
@@ -105,11 +105,11 @@ def run(spark: SparkSession, root: str, out: str, config: dict | None = None, la
         changes = {"total": n, "unchanged": n, "updated": 0, "removed": 0, "hit_rate": 1.0 if n else 0.0}
         at = clock("scan", at)
     else:
-        files = scan(spark, root, max_file_mb=control.setting(config, "scan", "max_file_mb"))
+        files = scan(spark, root, **{k: control.setting(config, "scan", k) for k in ("max_file_mb", "sleep_ms", "max_files_per_sec")})
         skipped = skip_counts(files).first().asDict()
         at = clock("scan", at)
         terms = control.setting(config, "performance", "top_terms")
-        changes = update(snapshot, notes_of(files), lambda d: parse_v2(d, terms))
+        changes = update(snapshot, files, lambda d: parse_v2(notes_of(d), terms))
     notes = snapshot.read()
     at = clock("parse", at)
     h = graph.health(notes).first()
@@ -146,7 +146,7 @@ def run(spark: SparkSession, root: str, out: str, config: dict | None = None, la
 def doctor(spark: SparkSession, root: str, locks: list[str] = (), max_file_mb: float = 5) -> dict:
     """Files, skips, encodings, line ends and lock files of a vault."""
     files = scan(spark, root, max_file_mb=max_file_mb)
-    e = encoding(files.where("skipped is null")).first()
+    e = encoding(contents(files)).first()
     return {
         "vault": root, "notes": files.where("skipped is null").count(), "skipped": skip_counts(files).first().asDict(), "encoding": {"utf8_bom": e.bom, "non_utf8": e.non_utf8},
         "line_endings": {k: e[f"eol_{k}"] for k in ("lf", "crlf", "mixed", "none")}, "locks": [control.check_lock(p) for p in locks],

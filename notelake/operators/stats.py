@@ -24,7 +24,7 @@ def tag_frequency(notes: DataFrame) -> DataFrame:
 
 def vault_stats(notes: DataFrame, as_of: str) -> DataFrame:
     """One row of totals; the average word count is rounded down, 0 for no notes. The narrow columns are saved once, as five parts read them."""
-    notes = graph.saved(notes.select("name", "outgoing", "tags", "word_count", "modified"))
+    notes = graph.saved(notes.select("vault", "name", "outgoing", "tags", "word_count", "modified"))
     n = notes.agg(
         F.count("*").alias("total_notes"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("total_words"), F.coalesce(F.sum(F.size("outgoing")), F.lit(0)).cast("long").alias("total_links"),
         F.count_if(F.size("tags") == 0).alias("untagged"), F.coalesce(F.expr("sum(word_count) div nullif(count(*), 0)"), F.lit(0)).alias("avg_word_count"),
@@ -45,11 +45,18 @@ def search(notes: DataFrame, keyword: str | None = None, tags: list[str] = (), m
     if tags:
         out = out.where(F.size(F.array_except(F.array(*map(F.lit, tags)), "tags")) == 0)
     if min_links is not None or max_links is not None:
-        d = graph.degrees(notes).where(F.col("total").between(min_links or 0, max_links if max_links is not None else (1 << 62))).select("name")
-        out = out.join(d, "name", "left_semi")
+        d = graph.degrees(notes).where(F.col("total").between(min_links or 0, max_links if max_links is not None else (1 << 62))).select("vault", "name")
+        out = out.join(d, ["vault", "name"], "left_semi")
     return out
 
 
 def rollup(notes: DataFrame) -> DataFrame:
-    """Notes, words and links of each vault, and of all (vault null)."""
-    return notes.rollup("vault").agg(F.count("*").alias("notes"), F.sum("word_count").alias("words"), F.sum(F.size("outgoing")).cast("long").alias("links"))
+    """Notes, words, links, orphans and distinct tags of each vault, and of all (vault null)."""
+    n = graph.saved(notes.select("vault", "name", "outgoing", "tags", "word_count"))
+    lone = graph.degrees(n).where("total = 0").select("vault", "name", F.lit(1).alias("lone"))
+    n = n.join(lone, ["vault", "name"], "left")
+    sums = [F.count("*").alias("notes"), F.sum("word_count").alias("words"), F.sum(F.size("outgoing")).cast("long").alias("links"), F.count("lone").alias("orphans")]
+    tags = n.select("vault", F.explode("tags").alias("tag")).rollup("vault").agg(F.countDistinct("tag").alias("unique_tags")).withColumnRenamed("vault", "v2")
+    out = n.rollup("vault").agg(*sums)
+    # A handful of vaults, one row each.
+    return out.join(F.broadcast(tags), F.col("vault").eqNullSafe(F.col("v2")), "left").drop("v2").fillna(0, ["unique_tags"])

@@ -135,7 +135,8 @@ def _links(spark, sf):
 
 
 def _v1(spark, sf):
-    return parse.parse_v1(view(spark, sf))
+    """The view as one vault."""
+    return parse.parse_v1(view(spark, sf).withColumn("vault", F.lit("notes")))
 
 
 @query("select (select count(*) from v2)::bigint notes, (select count(*) from v2 where has_fm)::bigint frontmatter_notes, (select count(*) from links2)::bigint total_links, (select count(*) from res)::bigint resolved_links, (select count(distinct target) from links2 where target not in (select title from v2))::bigint broken_targets, (select count(*) from v2 where rel_path not in (select rel_path from links2) and title not in (select target from res))::bigint orphans")
@@ -161,7 +162,15 @@ def orphans_v2(spark, sf):
 @query("select deg.name, strftime(modified, '%Y-%m-%d') as modified from deg join v1 on v1.name = deg.name where total = 0")
 def orphans_v1(spark, sf):
     n = _v1(spark, sf)
-    return graph.degrees(n).where("total = 0").join(n, "name").select("name", F.date_format("modified", "yyyy-MM-dd").alias("modified"))
+    return graph.degrees(n).where("total = 0").drop("vault").join(n, "name").select("name", F.date_format("modified", "yyyy-MM-dd").alias("modified"))
+
+
+@query("select row_number() over (order by modified desc, deg.name)::bigint as place, deg.name from deg join v1 on v1.name = deg.name where total = 0 order by 1 limit 20")
+def orphans_listed(spark, sf):
+    """The first 20 orphans, last changed first, with their place."""
+    n = _v1(spark, sf)
+    d = graph.degrees(n).where("total = 0").join(n.select("vault", "name", "modified"), ["vault", "name"])
+    return recommend.numbered(d.orderBy(F.desc("modified"), "name").limit(20).withColumn("m", -F.unix_micros(F.col("modified").cast("timestamp"))), "m", "name").select(F.col("number").alias("place"), "name")
 
 
 @query("select dst as name, count(*)::bigint k, string_agg(src, ',' order by src) as sources from edge group by 1")
@@ -171,7 +180,7 @@ def backlinks(spark, sf):
 
 @query("select * from deg")
 def degree(spark, sf):
-    return graph.degrees(_v1(spark, sf))
+    return graph.degrees(_v1(spark, sf)).drop("vault")
 
 
 @query("select name, out_degree from deg order by out_degree desc, name limit 10")
@@ -191,7 +200,7 @@ def reciprocal_edges(spark, sf):
 
 @query("select a.src, a.dst, case when b.src is null then 'Unidirectional' else 'Bidirectional' end as kind from edge a left join edge b on a.src = b.dst and a.dst = b.src")
 def link_type_export(spark, sf):
-    return graph.labelled_edges(_v1(spark, sf))
+    return graph.labelled_edges(_v1(spark, sf)).drop("vault")
 
 
 @query("select tag, count(*)::bigint notes from (select unnest(tags) as tag from v1) group by 1")
@@ -214,9 +223,48 @@ def vault_stats(spark, sf):
     return stats.vault_stats(_v1(spark, sf), AS_OF)
 
 
-@query("select vault, count(*)::bigint notes, sum(wc)::bigint words, sum(len(og))::bigint links from v1 group by rollup(vault)")
+_CLASH = r""",
+k0 as (select * replace (concat('note-', (doc_id % (1 + (select c from n) // 3))::bigint) as title) from notes),
+k1 as materialized (select title as name, * exclude (title), list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), lambda x: trim(split_part(split_part(x,'|',1),'#',1)))) as og,
+  list_distinct(regexp_extract_all(content, '#([\p{L}\p{M}\p{N}_\-/]+)', 1)) as tags,
+  len(list_filter(regexp_split_to_array(regexp_replace(content, '(?s)```.*?```', '', 'g'), '\s+'), lambda x: x <> ''))::bigint as wc
+  from (select *, row_number() over (partition by vault, title order by rel_path desc) as o from k0) where o = 1),
+kedge as materialized (select e.vault, e.name as src, e.d as dst from (select vault, name, unnest(og) as d from k1) e join k1 t on t.vault = e.vault and t.name = e.d),
+kdeg as materialized (select k1.vault, k1.name, len(og)::bigint as out_degree, coalesce(i.k, 0)::bigint as in_degree from k1 left join (select vault, dst, count(*) k from kedge group by all) i on i.vault = k1.vault and i.dst = k1.name)
+"""
+
+
+def _clash(spark, sf):
+    """A vault a language, in which titles occur in several vaults and more than once in one."""
+    n = view(spark, sf)
+    third = F.lit(1 + n.count() // 3)
+    return parse.parse_v1(n.withColumn("title", F.concat(F.lit("note-"), (F.col("doc_id") % third).cast("string"))))
+
+
+@query(
+    "select vault, count(*)::bigint notes, sum(wc)::bigint words, sum(len(og))::bigint links, count(*) filter (out_degree + in_degree = 0)::bigint orphans, "
+    "(select count(distinct t) from (select vault v, unnest(tags) t from k1) u where u.v = x.vault or x.vault is null)::bigint unique_tags "
+    "from (select k1.*, out_degree, in_degree from k1 join kdeg using (vault, name)) x group by rollup(vault)",
+    _CLASH,
+)
 def multi_vault_rollup(spark, sf):
-    return stats.rollup(_v1(spark, sf))
+    return stats.rollup(_clash(spark, sf))
+
+
+@query("select * from kdeg", _CLASH)
+def multi_vault_degree(spark, sf):
+    return graph.degrees(_clash(spark, sf)).drop("total")
+
+
+@query("select vault, name, rel_path from k1 where contains(lower(name), 'then') or contains(lower(content), 'then')", _CLASH)
+def multi_vault_search(spark, sf):
+    return stats.search(_clash(spark, sf), keyword="Then").select("vault", "name", "rel_path")
+
+
+@query("select vault, name, wc as word_count from k1 join kdeg using (vault, name) where out_degree + in_degree = 0", _CLASH)
+def multi_vault_orphans(spark, sf):
+    n = _clash(spark, sf)
+    return graph.degrees(n).where("total = 0").join(n, ["vault", "name"]).select("vault", "name", "word_count")
 
 
 @query("select name from v1 where contains(lower(name), 'then') or contains(lower(content), 'then')")
@@ -244,10 +292,19 @@ def frontmatter_presence(spark, sf):
     return _links(spark, sf).groupBy("has_frontmatter").agg(F.count("*").alias("notes"))
 
 
-@query("select rel_path, case when has_fm then replace(regexp_extract(block[1], '\\[(.*)\\]', 1), ', ', ',') end as keywords, null::varchar as aliases from v2")
+@query(
+    "select rel_path, case when doc_id%3=0 then concat(lang, ',', source) end as keywords, case when doc_id%2=0 then concat('alias ', doc_id, ',b') end as aliases, "
+    "case when doc_id%5=0 then concat('note-', doc_id+1) end as related from (select n.*, d.lang, d.source from notes n join documents d using (doc_id))"
+)
 def frontmatter_fields(spark, sf):
-    fm = parse.split_frontmatter(view(spark, sf)).select("rel_path", parse.frontmatter(F.col("block")).alias("f"))
-    return fm.select("rel_path", F.array_join("f.keywords", ",").alias("keywords"), F.array_join("f.aliases", ",").alias("aliases"))
+    """Lists in brackets, items on lines of their own, single values, unknown keys and repeated values."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
+        "doc_id", "concat(source, '/note-', doc_id, '.md') as rel_path",
+        """concat('---\n', case when doc_id%3=0 then concat('keywords: [', lang, ', ', source, ', ', lang, ']\n') else '' end, 'title: x\n- lost\n',
+        case when doc_id%2=0 then concat('aliases:\n  - alias ', doc_id, '\n  -  b\n  - b\n') else '' end, case when doc_id%5=0 then concat('related:  note-', doc_id+1, '\n') else 'related: []\n' end, '---\n', coalesce(text, '')) as content""",
+    )
+    fm = parse.split_frontmatter(d).select("rel_path", parse.frontmatter(F.col("block")).alias("f"))
+    return fm.select("rel_path", *[F.array_join(f"f.{k}", ",").alias(k) for k in ("keywords", "aliases", "related")])
 
 
 @query("select rel_path, array_to_string(terms, ' ') as terms from tl", _TERMS)
@@ -307,27 +364,52 @@ me as (select l, r, conf from p where conf >= 0.6),
 adj as (select l a, r b from me union select r, l from me),
 reach(a, b) as (select a, a from adj union select reach.a, adj.b from reach join adj on adj.a = reach.b),
 comp as materialized (select a as node, min(b) as component from reach group by 1),
-clus as (select component, string_agg(node, ',' order by node) as candidates from comp group by 1)
+mean as (select component, round_even(cast(avg(conf) as decimal(38,18)), 3)::double as average from me join comp on node = l group by 1),
+clus as (select component, string_agg(node, ',' order by node) as candidates, any_value(average) as average from comp join mean using (component) group by 1)
 """
 
 
-@query("select component, candidates from clus", _PAIRS.replace("materialized", "materialized") + _COMP)
+@query(f"select component, candidates, {_m('average')} average_confidence from clus", _PAIRS + _COMP)
 def merge_components(spark, sf):
-    return recommend.merges(recommend.pairs(_v2(spark, sf), SCORING), SCORING).select("component", F.array_join("candidates", ",").alias("candidates"))
+    """Clusters and the mean of their edges. The merge threshold is 0.6, as few pairs of these tables reach the default."""
+    m = recommend.merges(recommend.pairs(_v2(spark, sf), SCORING), SCORING)
+    return m.select("component", F.array_join("candidates", ",").alias("candidates"), "average_confidence")
 
 
-@query(
-    f"""select format('act_{{:04d}}', row_number() over (order by part, key)) as id, type, risk_class, target_path, confidence from (
-select 1 part, target as key, 'create_stub_note' as type, 'A' as risk_class, concat(target, '.md') as target_path, 200000::bigint as confidence from (select distinct target from links2 where target not in (select title from v2) order by 1 limit 5)
-union all select 2, rel_path, 'append_related_links_section', 'A', rel_path, {_m("max(conf)")} from rel group by rel_path
-union all select 3, rel_path, 'add_frontmatter_fields', 'read-only', rel_path, {_m("conf")} from meta)""",
-    _META,
+_PLAN = (
+    _META
+    + _COMP
+    + r""",
+act as (select row_number() over (order by part, key) as number, * from (
+  select 1 part, target as key, 'create_stub_note' as type, 'A' as risk_class, concat(target, '.md') as target_path, 0.2::double as conf
+    from (select distinct target from links2 where target not in (select title from v2) order by 1 limit 5)
+  union all select 2, rel_path, 'append_related_links_section', 'A', rel_path, max(conf) from rel group by rel_path
+  union all select 3, rel_path, 'add_frontmatter_fields', 'read-only', rel_path, conf from meta
+  union all select 4, component, 'merge_preview', 'read-only', 'merge-preview', average from clus))
+"""
 )
+
+
+def _plan(spark, sf):
+    n = graph.saved(_v2(spark, sf))
+    p = recommend.pairs(n, SCORING)
+    rel = graph.saved(recommend.related(p, SCORING))
+    return recommend.plan(graph.broken(n), rel, recommend.metadata(n, rel), recommend.merges(p, SCORING))
+
+
+@query(f"select format('act_{{:04d}}', number) as id, type, risk_class, target_path, {_m('conf')} confidence from act", _PLAN)
 def plan_items(spark, sf):
-    n = _v2(spark, sf)
-    p = recommend.pairs(n)
-    rel = recommend.related(p)
-    return recommend.plan(graph.broken(n), rel, recommend.metadata(n, rel), recommend.merges(p))
+    return _plan(spark, sf)
+
+
+@query("select target_path, count(*)::bigint actions from act group by 1 order by 2 desc, min(number) limit 5", _PLAN)
+def action_top_files(spark, sf):
+    return edits.top_files(_plan(spark, sf))
+
+
+@query("select count(*)::bigint actions, count(distinct target_path)::bigint files from act where risk_class = 'A' and type in ('append_related_links_section', 'add_frontmatter_fields')", _PLAN)
+def action_summary(spark, sf):
+    return edits.action_summary(edits.applicable(_plan(spark, sf)))
 
 
 @query(f"select name, {_m('words')} words, {_m('links')} links, {_m('tagscore')} tags, {_m('freshness')} freshness, {_m('total')} total, grade from qs", _QUAL)
@@ -351,6 +433,36 @@ def quality_needs_improvement(spark, sf):
     return quality.scores(_v1(spark, sf), AS_OF).where("total < 70").select("name", "grade")
 
 
+_HINTS = """array_to_string(list_filter([case when wc < 350 then 'words' end, case when links < 50 then 'links' end, case when n_tags = 0 then 'no_tags' end, case when n_tags > 6 then 'many_tags' end,
+  case when freshness <= 50 then 'stale' end], lambda x: x is not null), ',')"""
+
+
+@query(f"select name, {_HINTS} as hints from qs", _QUAL)
+def quality_hints(spark, sf):
+    return quality.scores(_v1(spark, sf), AS_OF).select("name", F.array_join("hints", ",").alias("hints"))
+
+
+@query(f"select name, {_m('total')} total, {_HINTS} as hints from qs where {_HINTS} <> '' order by qs.total, name limit 10", _QUAL)
+def quality_top_issues(spark, sf):
+    return quality.top_issues(quality.scores(_v1(spark, sf), AS_OF)).select("name", "total", F.array_join("hints", ",").alias("hints"))
+
+
+@query("select name, grade from qs where total >= 90", _QUAL)
+def quality_excellent(spark, sf):
+    return quality.scores(_v1(spark, sf), AS_OF).where("total >= 90").select("name", "grade")
+
+
+@query("select name, grade from qs where contains(name, 'note-9') order by name limit 10", _QUAL)
+def quality_find_part(spark, sf):
+    """No note has this name, so those that hold it are meant."""
+    return quality.find_notes(quality.scores(_v1(spark, sf), AS_OF), "NOTE-9").select("name", "grade")
+
+
+@query("select name, grade from qs where name = 'note-9'", _QUAL)
+def quality_find_exact(spark, sf):
+    return quality.find_notes(quality.scores(_v1(spark, sf), AS_OF), "note-9").select("name", "grade")
+
+
 @query("select name, grade from (select * from qs order by total, name limit 20) where grade = 'F'", _QUAL)
 def quality_list_limit_then_grade(spark, sf):
     return quality.scores(_v1(spark, sf), AS_OF).orderBy("total", "name").limit(20).where("grade = 'F'").select("name", "grade")
@@ -358,7 +470,7 @@ def quality_list_limit_then_grade(spark, sf):
 
 @query(f"select name, word, {_m('weight')} weight from vec", _TFIDF)
 def tfidf_vectors(spark, sf):
-    return similarity.vectors(_v1(spark, sf))
+    return similarity.vectors(_v1(spark, sf)).select("name", "word", "weight")
 
 
 @query(f"select l, r, {_m('sim')} similarity, reason from sp where sim >= 0.5", _TFIDF)
@@ -404,27 +516,67 @@ def related_unlinked_all(spark, sf):
 @query(f"select l, r, {_m('sim')} similarity, case when wl < 200 and wr < 200 then 'short' when reason = 'title' then 'similar_title' else 'similar' end as cause from sp where sim >= 0.6 and ((wl < 200 and wr < 200) or sim > 0.8)", _TFIDF)
 def merge_suggestions(spark, sf):
     n = _v1(spark, sf)
-    return similarity.merge_suggestions(similarity.similar_pairs(n, 0.6), n)
+    return similarity.merge_suggestions(similarity.similar_pairs(n, 0.6), n).drop("vault")
+
+
+@query("select l, r, rank::bigint as rank, word from (select l, r, a.word, row_number() over (partition by l, r order by a.weight + b.weight desc, a.word) as rank from sp join vec a on a.name = l join vec b on b.name = r and b.word = a.word where sim >= 0.7) where rank <= 10", _TFIDF)
+def pair_common_words(spark, sf):
+    n = _v1(spark, sf)
+    return similarity.common_words(n, similarity.similar_pairs(n, 0.7)).drop("vault")
 
 
 @query(f"select case when l = 'note-99' then r else l end as other, {_m('sim')} similarity from sp where sim >= 0.3 and (l = 'note-99' or r = 'note-99') order by sim desc, 1 limit 5", _TFIDF)
 def similar_to_note(spark, sf):
-    return similarity.to_note(_v1(spark, sf), "note-99")
+    return similarity.to_note(_v1(spark, sf), "note-99").drop("vault")
 
 
-@query("select rel_path, case when doc_id%7=0 then 'removed' when doc_id%5=0 or doc_id%11=0 then 'updated' else 'unchanged' end as change from notes")
-def index_diff(spark, sf):
+def _diff(spark, sf):
     n = view(spark, sf).select("doc_id", "rel_path", (F.col("doc_id") * 1.0).cast("double").alias("mtime"), F.length("content").alias("size"))
     new = n.where("doc_id % 7 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
     return index.diff(n.where("doc_id % 11 <> 0 or doc_id % 7 = 0"), new)
 
 
-@query("select 0::bigint bom, 0::bigint non_utf8, 0::bigint eol_none, 0::bigint eol_mixed, 0::bigint eol_crlf, count(*)::bigint eol_lf from notes where contains(content, chr(10))")
+_CHANGE = "case when doc_id%7=0 then 'removed' when doc_id%5=0 or doc_id%11=0 then 'updated' else 'unchanged' end"
+
+
+@query(f"select rel_path, {_CHANGE} as change from notes")
+def index_diff(spark, sf):
+    return _diff(spark, sf)
+
+
+@query(
+    f"select *, {_m('round_even(unchanged / total::double, 3)')} hit_rate from (select count(*) filter (c <> 'removed')::bigint total, count(*) filter (c = 'unchanged')::bigint unchanged, "
+    f"count(*) filter (c = 'updated')::bigint updated, count(*) filter (c = 'removed')::bigint removed from (select {_CHANGE} as c from notes))"
+)
+def index_counts(spark, sf):
+    return index.counts(_diff(spark, sf))
+
+
+#: Content with other line ends and marks: an initial byte order mark, CRLF throughout or once, one line; bytes that aren't UTF-8 are added by the query alone.
+_FORMS = """select doc_id, concat(case when doc_id%5=0 then chr(65279) else '' end, case when doc_id%7=1 then replace(content, chr(10), concat(chr(13), chr(10)))
+  when doc_id%7=2 then concat('first', chr(13), chr(10), content) when doc_id%7=3 then replace(content, chr(10), ' ') else content end) as t"""
+
+
+@query(
+    f"""forms as ({_FORMS} from notes), ends as (select doc_id, starts_with(t, chr(65279)) as bom, (len(t) - len(replace(t, concat(chr(13), chr(10)), ''))) // 2 as crlf,
+  len(t) - len(replace(t, chr(10), '')) as every from forms)
+select count(*) filter (bom)::bigint bom, count(*) filter (doc_id%11=0)::bigint non_utf8, count(*) filter (every = 0)::bigint eol_none, count(*) filter (crlf > 0 and every > crlf)::bigint eol_mixed,
+  count(*) filter (crlf > 0 and every = crlf)::bigint eol_crlf, count(*) filter (crlf = 0 and every > 0)::bigint eol_lf from ends""",
+    ",",
+)
 def eol_encoding(spark, sf):
-    return parse.encoding(view(spark, sf).select(F.col("content").cast("binary").alias("content")))
+    forms = view(spark, sf).selectExpr(_FORMS.removeprefix("select doc_id, ").replace("chr(65279)", "decode(X'EFBBBF', 'utf-8')").removesuffix(" as t") + " as t", "doc_id")
+    odd = F.when(F.col("doc_id") % 11 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    return parse.encoding(forms.select(F.concat(F.col("t").cast("binary"), odd).alias("content")))
+
+
+@query("with s as (select o_orderkey::bigint run_id, epoch(o_orderdate)::bigint mtime, o_custkey::bigint as size from orders) select run_id, mtime, size, (select max(mtime) from s) - mtime <= 86400 * 365 as keep from s")
+def retention_by_age(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.col("o_custkey").alias("size"))
+    return runs.retention(o, o.agg(F.max("mtime")).first()[0], 86400 * 365)
 
 
-@query(f"select a.rel_path l, b.rel_path r, {_m('case when a.vault <> b.vault then 1 else 1 end * case when split_part(a.rel_path, chr(47), 1) <> split_part(b.rel_path, chr(47), 1) then 0.9 else 1.0 end')} factor from notes a join notes b on b.doc_id = (a.doc_id*7+3) % (select c from n)")
+@query(f"select a.rel_path l, b.rel_path r, {_m('case when split_part(a.rel_path, chr(47), 1) <> split_part(b.rel_path, chr(47), 1) then 0.9 else 1.0 end')} factor from notes a join notes b on b.doc_id = (a.doc_id*7+3) % (select c from n)")
 def path_penalty(spark, sf):
     a = view(spark, sf)
     n = a.count()
@@ -440,7 +592,7 @@ def retention_running_size(spark, sf):
 
 @query("select v1.name, rel_path, wc as word_count, out_degree, in_degree, total as total_links, array_to_string(list_sort(tags), ', ') as tags, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified, case when total = 0 then 'Yes' else 'No' end as orphan from v1 join deg on deg.name = v1.name")
 def notes_csv(spark, sf):
-    return export.notes_rows(_v1(spark, sf))
+    return export.notes_rows(_v1(spark, sf)).drop("vault")
 
 
 @query("select tag, count(*)::bigint notes, printf('%.1f%%', count(*)*100.0/(select count(*) from v1)) as share from (select unnest(tags) as tag from v1) group by 1")
@@ -453,15 +605,69 @@ def watch_latest_state(spark, sf):
     return latest_state(spark.read.parquet(f"{sf}/events.parquet")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("select rel_path, sha256(case when contains(content, 'oka_related_v1') then content else concat(content, case when ends_with(content, concat(chr(10), chr(10))) then '' when ends_with(content, chr(10)) then chr(10) else concat(chr(10), chr(10)) end, '<!-- oka_related_v1 -->', chr(10)) end) as digest from notes")
+_BLOCK = f"## Related\n<!-- {edits.ANCHOR} -->\n- [[note-1]] (0.50)\n"
+_SQL_BLOCK = "'" + _BLOCK.replace("\n", "' || chr(10) || '") + "'"
+_SQL_WITH = f"case when contains(content, '{edits.ANCHOR}') then content else concat(content, case when ends_with(content, chr(10)) then '' else chr(10) end, {_SQL_BLOCK}) end"
+
+
+@query(f"select rel_path, sha256({_SQL_WITH}) as digest from notes")
 def apply_related_block(spark, sf):
-    v = view(spark, sf)
-    return v.select("rel_path", F.sha2(edits.append_block(F.col("content"), F.lit(edits.ANCHOR), F.lit(f"<!-- {edits.ANCHOR} -->\n")), 256).alias("digest"))
+    return view(spark, sf).select("rel_path", F.sha2(edits.append_block(F.col("content"), F.lit(edits.ANCHOR), F.lit(_BLOCK)), 256).alias("digest"))
+
+
+@query("select rel_path, sha256(case when ends_with(content, chr(10)) then content else concat(content, chr(10)) end) as digest from notes")
+def rollback_related_block(spark, sf):
+    """The block is appended, a line follows it, and the block is removed again."""
+    put = edits.append_block(F.col("content"), F.lit(edits.ANCHOR), F.lit(_BLOCK))
+    return view(spark, sf).select("rel_path", F.sha2(edits.remove_block(put), 256).alias("digest"))
+
+
+_SQL_ADDED = """case when has_fm then array_to_string(list_concat(['---'], block, ['aliases:', concat('  - n ', doc_id), concat('  - "a:', doc_id, '"'), '---'], case when body = '' then [] else [body] end), chr(10))
+  else concat('---', chr(10), 'keywords:', chr(10), '  - k', chr(10), 'aliases:', chr(10), concat('  - n ', doc_id), chr(10), concat('  - "a:', doc_id, '"'), chr(10), '---', chr(10), content) end"""
+
+
+@query(f"select rel_path, sha256({_SQL_ADDED}) as digest from v2")
+def apply_frontmatter_fields(spark, sf):
+    """Keywords are there in every third note and stay; aliases are new, one of them quoted."""
+    i = F.col("doc_id").cast("string")
+    fields = {"keywords": F.array(F.lit("k")), "aliases": F.array(F.concat(F.lit("n "), i), F.concat(F.lit("a:"), i)), "related": F.expr("cast(array() as array<string>)")}
+    return view(spark, sf).select("rel_path", F.sha2(edits.add_fields(F.col("content"), fields), 256).alias("digest"))
+
+
+@query("select rel_path, sha256(case when has_fm then concat('---', chr(10), '---', chr(10), body) else concat('---', chr(10), 'keywords:', chr(10), '  - k', chr(10), '---', chr(10), content) end) as digest from v2")
+def rollback_frontmatter_keys(spark, sf):
+    """Keys are added, then aliases removed, and keywords too where they were there before."""
+    i = F.col("doc_id").cast("string")
+    put = edits.add_fields(F.col("content"), {"keywords": F.array(F.lit("k")), "aliases": F.array(F.concat(F.lit("n "), i), F.lit("x"))})
+    v = view(spark, sf).withColumn("content", put)
+    bare = F.when(F.col("doc_id") % 3 == 0, edits.remove_keys(F.col("content"), ["aliases", "keywords"])).otherwise(edits.remove_keys(F.col("content"), ["aliases"]))
+    return v.select("rel_path", F.sha2(bare, 256).alias("digest"))
 
 
 @query("select rel_path, sha256(replace(content, '[[note-13]]', '[[renamed]]')) as digest from (select rel_path, replace(content, '[[note-13|', '[[renamed|') as content from notes)")
 def rename_links(spark, sf):
-    return view(spark, sf).select("rel_path", F.sha2(edits.rename_links(F.col("content"), F.lit("note-13"), F.lit("renamed")), 256).alias("digest"))
+    one = F.create_map(F.lit("note-13"), F.lit("renamed"))
+    return view(spark, sf).select("rel_path", F.sha2(edits.rename_links(F.col("content"), one), 256).alias("digest"))
+
+
+@query(
+    "select vault, rel_path, sha256(replace(replace(content, concat('[[note-', a, ']]'), concat('[[', case when a%10=0 then 'new ' else 'note-' end, a, ']]')), concat('[[note-', b, '|'), concat('[[', case when b%10=0 then 'new ' else 'note-' end, b, '|'))) as digest "
+    "from (select *, (doc_id*7+3)%(select c from n) as a, (doc_id*13+5)%(2*(select c from n)) as b from notes) where doc_id%5<>0 and (a%10=0 or b%10=0)"
+)
+def rename_map_all(spark, sf):
+    """Every tenth title, also of notes that don't exist, gets a new name in one pass over all notes."""
+    v = view(spark, sf)
+    number = v.select("vault").distinct().select("vault", F.explode(F.sequence(F.lit(0), F.lit(2 * v.count() - 1), F.lit(10))).alias("i"))
+    renames = number.select("vault", F.concat(F.lit("note-"), F.col("i").cast("string")).alias("old"), F.concat(F.lit("new "), F.col("i").cast("string")).alias("new"))
+    return edits.rename_all(v, renames).select("vault", "rel_path", F.sha2("content", 256).alias("digest"))
+
+
+@query("select distinct concat('act-', (doc_id*7+3)%(2*(select c from n))) as dependency from notes where doc_id%5<>0 and (doc_id*7+3)%(2*(select c from n)) not in (select doc_id from notes)")
+def missing_dependencies(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    name = lambda c: F.concat(F.lit("act-"), c.cast("string"))
+    needs = F.when(F.col("doc_id") % 5 != 0, F.array(name((F.col("doc_id") * 7 + 3) % (2 * d.count())))).otherwise(F.expr("cast(array() as array<string>)"))
+    return edits.missing_dependencies(d.select(name(F.col("doc_id")).alias("id"), needs.alias("dependencies")))
 
 
 @query("with x as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select page_id, count(*)::bigint links, count(distinct href)::bigint distinct_links from x group by 1")
@@ -469,5 +675,3 @@ def page_links(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     x = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     return x.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"))
-
-

@@ -1,53 +1,76 @@
-"""Vaults of Markdown notes: a Python data source over a directory tree, and a note view over document tables."""
+"""Vaults of Markdown notes: a Python data source that lists a directory tree, the contents of listed notes, and a note view over document tables."""
 
 from __future__ import annotations
 
 import os
+import time
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-FILES = "vault string, rel_path string, mtime double, length long, readable boolean, content binary"
+FILES = "vault string, root string, rel_path string, mtime double, length long, readable boolean"
+_BATCH = 1 << 23
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, paths: list[str], cap: int):
-        self.root, self.paths, self.cap = root, paths, cap
+    def __init__(self, folder: str, deep: bool, share: int):
+        self.folder, self.deep, self.share = folder, deep, share
 
 
 class _Reader(DataSourceReader):
+    """The driver lists the folders of the two upper levels only. A task walks one folder, and stats its share of the files there."""
+
     def __init__(self, options: dict):
         self.root = options["path"]
         self.pruned = set(filter(None, options.get("pruned", ".obsidian").split(",")))
-        self.cap = int(float(options.get("maxfilemb", "5")) * 1024 * 1024)
-        self.size = int(options.get("filespertask", "2000"))
+        self.shares = int(options.get("shares", "4"))
+        self.pause, self.rate = float(options.get("sleepms", "0")) / 1000, float(options.get("maxfilespersec", "0"))
+
+    def _folders(self, folder: str) -> list[str]:
+        try:
+            return sorted(e.path for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False) and e.name not in self.pruned)
+        except OSError:
+            return []
 
     def partitions(self) -> list[_Part]:
-        found = []
-        for top, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if d not in self.pruned)
-            found += [os.path.relpath(os.path.join(top, n), self.root) for n in sorted(names)]
-        return [_Part(self.root, found[i : i + self.size], self.cap) for i in range(0, len(found), self.size)] or [_Part(self.root, [], self.cap)]
+        flat, deep = [self.root], []
+        for top in self._folders(self.root):
+            flat.append(top)
+            deep += self._folders(top)
+        return [_Part(f, d, k) for d, folders in ((False, flat), (True, deep)) for f in folders for k in range(self.shares)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        vault = os.path.basename(os.path.abspath(part.root))
-        for rel in part.paths:
-            try:
-                st = os.stat(path := os.path.join(part.root, rel))
-                data = None
-                if rel.lower().endswith(".md") and st.st_size <= part.cap:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                yield vault, rel.replace(os.sep, "/"), float(st.st_mtime), st.st_size, True, data
-            except OSError:
-                yield vault, rel.replace(os.sep, "/"), None, None, False, None
+        vault, began, done = os.path.basename(os.path.abspath(self.root)), time.monotonic(), 0
+        for top, dirs, names in os.walk(part.folder):
+            dirs[:] = sorted(d for d in dirs if d not in self.pruned) if part.deep else []
+            for n in sorted(names):
+                if zlib.crc32(n.encode("utf-8", "surrogateescape")) % self.shares != part.share:
+                    continue
+                path = os.path.join(top, n)
+                rel = os.path.relpath(path, self.root).replace(os.sep, "/")
+                try:
+                    st = os.stat(path)
+                    yield vault, self.root, rel, float(st.st_mtime), st.st_size, True
+                except OSError:
+                    yield vault, self.root, rel, None, None, False
+                done += 1
+                self._throttle(done, began)
+
+    def _throttle(self, done: int, began: float) -> None:
+        """Waits after each file: a fixed pause, or until the task is no faster than its rate."""
+        if self.pause > 0:
+            time.sleep(self.pause)
+        elif self.rate > 0 and (ahead := done / self.rate - (time.monotonic() - began)) > 0:
+            time.sleep(ahead)
 
 
 class VaultSource(DataSource):
-    """format("vault"): options path, pruned (directory names), maxFileMb, filesPerTask. Hidden names other than pruned ones are
-    listed, which Spark's file sources leave out. Only notes within the cap carry content."""
+    """format("vault"): options path, pruned (directory names), shares (tasks a folder), sleepMs and maxFilesPerSec (of a task). Hidden names other
+    than pruned ones are listed, which Spark's file sources leave out. Nothing is opened."""
 
     @classmethod
     def name(cls) -> str:
@@ -60,12 +83,12 @@ class VaultSource(DataSource):
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, *roots: str, max_file_mb: float = 5, pruned: str = ".obsidian") -> DataFrame:
-    """All files of one or more vaults, with the reason why a file is skipped (null for notes)."""
+def scan(spark: SparkSession, *roots: str, max_file_mb: float = 5, pruned: str = ".obsidian", sleep_ms: float = 0, max_files_per_sec: float = 0) -> DataFrame:
+    """All files of one or more vaults, with the reason why a file is skipped (null for notes). Names, sizes and times only."""
     spark.dataSource.register(VaultSource)
     out = None
     for root in roots:
-        one = spark.read.format("vault").option("path", root).option("maxFileMb", max_file_mb).option("pruned", pruned).load()
+        one = spark.read.format("vault").option("path", root).option("pruned", pruned).option("sleepMs", sleep_ms).option("maxFilesPerSec", max_files_per_sec).load()
         out = one if out is None else out.unionByName(one)
     reason = F.when(~F.col("readable"), "no_permission").when(~F.lower("rel_path").endswith(".md"), "non_md").when(F.col("length") > int(max_file_mb * 1024 * 1024), "too_large")
     return out.withColumn("skipped", reason)
@@ -76,10 +99,41 @@ def skip_counts(files: DataFrame) -> DataFrame:
     return files.agg(*[F.count_if(F.col("skipped") == k).alias(k) for k in ("non_md", "too_large", "no_permission")])
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """Listed notes that aren't skipped, with their bytes. A file that has gone or can't be read since is left out. Only these files are opened, a few MB
+    of them at a time."""
+    listed = files.where("skipped is null").select("vault", "root", "rel_path", "mtime", "length")
+    names = [*listed.columns, "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, data, size = [], [], 0
+            for i, (root, rel) in enumerate(zip(b.column("root").to_pylist(), b.column("rel_path").to_pylist(), strict=True)):
+                try:
+                    with open(os.path.join(root, rel), "rb") as f:
+                        data.append(f.read())
+                except OSError:
+                    continue
+                at.append(i)
+                size += len(data[-1])
+                if size > _BATCH:
+                    yield _rows(b, at, data, names)
+                    at, data, size = [], [], 0
+            if at:
+                yield _rows(b, at, data, names)
+
+    return listed.mapInArrow(run, "vault string, root string, rel_path string, mtime double, length long, content binary")
+
+
+def _rows(b: pa.RecordBatch, at: list[int], data: list[bytes], names: list[str]) -> pa.RecordBatch:
+    part = b.take(pa.array(at, pa.int64()))
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=names)
+
+
 def notes_of(files: DataFrame) -> DataFrame:
     """Notes with decoded content (malformed UTF-8 replaced), title, digest and times."""
     name = F.element_at(F.split("rel_path", "/"), -1)
-    return files.where("skipped is null").select(
+    return contents(files).select(
         "vault", "rel_path", F.regexp_replace(name, r"(?i)\.md$", "").alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("mtime"), F.timestamp_micros((F.col("mtime") * 1000000).cast("long")).alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
     )

@@ -14,7 +14,7 @@ from notelake.sources.vault import notes_of, scan
 
 def update_once(spark: SparkSession, root: str, index: str) -> dict:
     """Scans the vault, refreshes its index, and returns the counts of changes."""
-    return update(Snapshot(spark, index), notes_of(scan(spark, root)), parse_v2)
+    return update(Snapshot(spark, index), scan(spark, root), lambda files: parse_v2(notes_of(files)))
 
 
 def watch(spark: SparkSession, root: str, index: str, interval: float = 5, once: bool = False, report: Callable[[dict], None] = print) -> None:

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,5 +15,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     yield s
     s.stop()

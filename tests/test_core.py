@@ -50,7 +50,7 @@ def test_vault_source(spark, tmp_path):
     assert vault.skip_counts(files).first().asDict() == {"non_md": 1, "too_large": 1, "no_permission": 0}
     got = {r.title: r for r in vault.notes_of(files).collect()}
     assert set(got) == {"note", "_x"} and got["_x"].content == "﻿ab�\r\nc"
-    e = parse.encoding(files.where("skipped is null")).first()
+    e = parse.encoding(vault.contents(files)).first()
     assert (e.bom, e.non_utf8, e.eol_crlf, e.eol_none) == (1, 1, 1, 1)
     assert vault.exclude(vault.notes_of(files), [], ["no*"]).count() == 1
 
@@ -104,13 +104,13 @@ def test_apply_and_rollback(tmp_path):
     v = edits.Vault(str(tmp_path))
     assert v.acquire("me", 0) and not v.acquire("you", 30) and v.acquire("you", 100)
     items = [
-        {"id": "1", "type": "append_related_links_section", "target_path": "a.md", "markdown_block": "## Related\n<!-- oka_related_v1 -->\n- [[b]]\n"},
+        {"id": "1", "type": "append_related_links_section", "target_path": "a.md", "markdown_block": "## Related\n<!-- " + edits.ANCHOR + " -->\n- [[b]]\n"},
         {"id": "2", "type": "add_frontmatter_fields", "target_path": "old.md", "fields": {"keywords": ["z"], "aliases": ["o"]}},
         {"id": "3", "type": "append_related_links_section", "target_path": "none.md", "markdown_block": ""},
     ]
     log = v.apply(items, "run1")
     assert len(log["changes"]) == 2 and [c["reason"] for c in log["conflicts"]] == ["missing"]
-    assert "aliases: [o]" in (tmp_path / "old.md").read_text() and "[z]" not in (tmp_path / "old.md").read_text()
+    assert "aliases:\n  - o\n---" in (tmp_path / "old.md").read_text() and "z" not in (tmp_path / "old.md").read_text()
     assert not v.apply(items[:1], "run2")["changes"]
     (tmp_path / "old.md").write_text("edited")
     back = v.rollback("run1")

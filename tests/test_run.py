@@ -47,7 +47,7 @@ def test_run_apply_rollback(spark, root, tmp_path, capsys):
     assert not slow["fast_path"] and slow["incremental"]["hit_rate"] == 1.0
     before = {p.name: p.read_bytes() for p in root.glob("*.md")}
     args = ["--vault", str(root), "--out", str(out), "--run-id", first["run_id"], "--config", str(tmp_path / "none")]
-    assert main(["apply", *args]) == 0
+    assert main(["apply", *args, "--yes"]) == 0
     assert edits.ANCHOR in (root / "alpha-note.md").read_text() and not (root / ".nosync").exists() and not (root / ".notelake" / "lease.json").exists()
     assert main(["rollback", *args]) == 0 and {p.name: p.read_bytes() for p in root.glob("*.md")} == before
     assert main(["rollback", *args, "--item", "a", "--file", "b"]) == 2
