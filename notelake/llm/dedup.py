@@ -107,6 +107,8 @@ def plausible(plus, minus, equal, nu, nv, threshold: float, margin: float = 28.0
     return (most >= threshold - 1e-9) & (2 * (best - there) <= margin)
 
 
+#: Partners that meet one text in a task; members, and shingles, that a block of a bucket holds about.
+_PARTNERS, _BLOCK, _WEIGHT = 64, 256, 400_000
 _SIG = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, bands array<long>"
 
 
@@ -146,9 +148,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b) those whose full sets have num * union <= den * intersection. The text of a is sent once to each block
-    of 512 partners, and partners stream past its set, so that no task holds more than one text and one batch."""
+    of 64 partners, and partners stream past its set, so that no task holds more than one text and one batch."""
     num, den = threshold
-    k = pairs.groupBy(F.col("a").alias("ka")).agg(F.ceil(F.count("*") / 512).cast("int").alias("k"))
+    k = pairs.groupBy(F.col("a").alias("ka")).agg(F.ceil(F.count("*") / _PARTNERS).cast("int").alias("k"))
     salted = pairs.join(k, F.col("a") == F.col("ka")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).alias("salt"))
     need = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role")).unionByName(
         salted.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role")).distinct()
@@ -191,27 +193,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, i
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id").mapInArrow(run, "u long, v long").distinct()
 
 
-_BLOCK = 256
-
-
 class _Block:
-    """Documents of two blocks of one bucket: registers, sizes, components."""
+    """Documents of two blocks of one bucket: side (0 left, 1 right), registers, sizes, components."""
 
     def __init__(self, key: tuple, rows: list[tuple], threshold: float):
-        self.key, self.threshold = key, threshold
-        self.doc, self.comp, self.blk, sk, n = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
-        self.reg = np.frombuffer(b"".join(sk.tolist()), np.uint16).reshape(len(rows), -1).astype(np.int32)
-        self.n = n.astype(np.float64)
+        self.threshold = threshold
+        columns = list(zip(*rows, strict=True))
+        self.doc, self.comp, self.side, self.spare = (np.array(x) for x in columns[:4])
+        self.reg = np.frombuffer(b"".join(columns[4]), np.uint16).reshape(len(rows), -1).astype(np.int32)
+        self.n = np.array(columns[5], np.float64)
         self.bands = band_keys(self.reg)
         self.band = int(np.flatnonzero(self.bands[0] == key[0])[0])
 
     def partners(self):
         """(row, rows) of another component that share this band first and that the registers don't refute."""
-        left, right = np.flatnonzero(self.blk == self.key[1]), np.flatnonzero(self.blk == self.key[2])
-        for i in left:
+        right = np.flatnonzero(self.side == 1)
+        for i in np.flatnonzero(self.side == 0):
             r = right[self.comp[right] != self.comp[i]]
-            if self.key[1] == self.key[2]:
-                r = r[self.doc[r] > self.doc[i]]
+            r = r[~self.spare[r] | (self.doc[r] > self.doc[i])]  # two spare documents meet twice, as left and right
             if self.band and len(r):
                 r = r[~(self.bands[r, : self.band] == self.bands[i, : self.band]).any(axis=1)]
             if not len(r):
@@ -242,15 +241,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tup
 
 
 def _open_links(docs: DataFrame, members: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links (u, v) between different components within buckets. members: key, doc, comp, size, sketch, n_shingles.
+    """Links (u, v) between different components within buckets. members: key, doc, comp, sketch, n_shingles.
 
-    A bucket is dealt over pairs of blocks of about 256 members. A first pass over registers finds the documents of a block
+    Members of a bucket's largest component need not meet each other, so only the rest of it (spare) meets all members: spare documents
+    are dealt to blocks on the left, all to blocks on the right, by number and by shingles. A group of near copies that the first round linked
+    has few spare ones, so its members are sent on about once. A first pass over registers finds the documents of a block
     pair that have a plausible partner there; only their texts are sent, and the pairs are confirmed on full sets where
     they meet. Pairs never become rows, and a block reports a spanning forest of its links."""
     num, den = threshold
-    keys, rest = ("key", "bi", "bj"), ("doc", "comp", "blk", "sketch", "n_shingles")
-    blocks = members.withColumn("n", F.ceil(F.col("size") / _BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), *rest[:1], "comp", "blk", "sketch", "n_shingles")
+    keys, rest = ("key", "bi", "bj"), ("doc", "comp", "side", "spare", "sketch", "n_shingles")
+    blocks_of = lambda rows, shingles: F.greatest(F.ceil(rows / _BLOCK), F.ceil(shingles / _WEIGHT)).cast("int")
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    most = parts.groupBy("key").agg(
+        F.max(F.struct("rows", "comp", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
+    ).where("rows > top.rows").select(
+        "key", F.col("top.comp").alias("base"), blocks_of(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles")).alias("ni"),
+        blocks_of(F.col("rows"), F.col("shingles")).alias("nj"),
+    )
+    dealt = members.join(most, "key").withColumn("spare", F.col("comp") != F.col("base"))
+    at = F.xxhash64("doc")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = dealt.where("spare").select("key", F.pmod(at, F.col("ni")).cast("int").alias("bi"), every("nj").alias("bj"), "doc", "comp", F.lit(0).alias("side"), *rest[3:])
+    right = dealt.select("key", every("ni").alias("bi"), F.pmod(at, F.col("nj")).cast("int").alias("bj"), "doc", "comp", F.lit(1).alias("side"), *rest[3:])
+    dealt = left.unionByName(right)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, keys, rest):
@@ -260,16 +273,16 @@ def _open_links(docs: DataFrame, members: DataFrame, n: int, threshold: tuple[in
                 if some:
                     yield pa.RecordBatch.from_pylist([dict(zip((*keys, *rest), (*key, *rows[x]), strict=True)) for x in some], schema=arrow)
 
-    arrow = pa.schema([("key", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("doc", pa.int64()), ("comp", pa.int64()), ("blk", pa.int32()), ("sketch", pa.binary()), ("n_shingles", pa.int64())])
-    schema = "key long, bi int, bj int, doc long, comp long, blk int, sketch binary, n_shingles long"
-    picked = checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(pick, schema))
+    arrow = pa.schema([("key", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("doc", pa.int64()), ("comp", pa.int64()), ("side", pa.int32()), ("spare", pa.bool_()), ("sketch", pa.binary()), ("n_shingles", pa.int64())])
+    schema = "key long, bi int, bj int, doc long, comp long, side int, spare boolean, sketch binary, n_shingles long"
+    picked = checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").mapInArrow(pick, schema))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sent = texts.join(picked.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select(*keys, *rest, "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, keys, (*rest, "text")):
             b = _Block(key, rows, num / den)
-            sets, bounds = shingle_sets([r[5] or b"" for r in rows], n)
+            sets, bounds = shingle_sets([r[6] or b"" for r in rows], n)
             size = np.diff(bounds)
             root = {c: c for c in b.comp.tolist()}
 
@@ -298,7 +311,7 @@ def _open_links(docs: DataFrame, members: DataFrame, n: int, threshold: tuple[in
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return sent.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(confirm, "u long, v long")
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").mapInArrow(confirm, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -316,13 +329,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     reps = full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").select("rep", "n_shingles", "sketch", "bands").dropDuplicates(["rep", "n_shingles", "sketch"])
     reps = checkpoint(reps)
     keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"))
-    buckets = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last"), F.count("*").alias("size")).where("pivot < last").select("key", "pivot", "size")
+    buckets = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("key", "pivot")
     members = checkpoint(keyed.join(buckets, "key"))
     votes = members.where("doc > pivot").groupBy(F.col("doc").alias("b"), F.col("pivot").alias("a")).count()
     best = votes.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     links = checkpoint(_verified(docs, best, n, threshold))
     comp = connected_components(links)
-    labelled = members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+    labelled = members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     sk = reps.select(F.col("rep").alias("doc"), "sketch", "n_shingles")
     more = checkpoint(_open_links(docs, labelled.join(mixed, "key").join(sk, "doc"), n, threshold))

@@ -77,6 +77,15 @@ def test_near_duplicates(docs, empty):
     assert dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_many_blocks(docs, monkeypatch):
+    """Small blocks of members, shingles and partners give the same components."""
+    want = sorted(map(repr, dedup.near_duplicates(docs, 4).collect()))
+    monkeypatch.setattr(dedup, "_BLOCK", 2)
+    monkeypatch.setattr(dedup, "_WEIGHT", 150)
+    monkeypatch.setattr(dedup, "_PARTNERS", 2)
+    assert sorted(map(repr, dedup.near_duplicates(docs, 4).collect())) == want
+
+
 def test_registers_are_mergeable_and_locality_sensitive():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 2000).astype(np.uint64)
@@ -89,8 +98,8 @@ def test_registers_are_mergeable_and_locality_sensitive():
     assert not dedup.plausible(np.array(60), np.array(60), np.array(8), 1800.0, 1800.0, 0.8)
 
 
-@pytest.mark.parametrize("chunk", [4.0, 0.002])
-def test_repeats(docs, empty, chunk):
+@pytest.mark.parametrize(("chunk", "fan"), [(4.0, 1024), (0.02, 1024), (0.02, 4), (0.02, 2)])
+def test_repeats(docs, empty, chunk, fan):
     rows = docs.collect()
     order = lambda d: math.inf if d is None else d
     first = {}
@@ -107,7 +116,7 @@ def test_repeats(docs, empty, chunk):
             if first[tuple(w[i : i + 50])] < order(r.doc_id):
                 gone[i : i + 50] = [True] * 50
         want.append((str(r.doc_id), len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
-    got = substring.remove_repeats(docs, 50, chunk_mb=chunk).collect()
+    got = substring.remove_repeats(docs, 50, chunk_mb=chunk, fan=fan).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
     assert any(r.n_removed for r in got) and substring.remove_repeats(empty).count() == 0
