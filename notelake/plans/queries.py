@@ -81,10 +81,10 @@ vec as materialized (select tf.name, tf.word, (c / s::double) * ln((select count
 nrm as (select name, sqrt(sum(weight*weight)) nn from vec group by 1),
 unit as materialized (select vec.name, word, weight / nn as u from vec join nrm on nrm.name = vec.name where weight <> 0),
 dots as materialized (select a.name l, b.name r, sum(a.u*b.u) c from unit a join unit b on a.word = b.word and a.name < b.name group by 1, 2),
-sp0 as (select a.name l, b.name r, coalesce(dots.c, 0) content, case when len(a.tw) = 0 or len(b.tw) = 0 then 0 else len(list_intersect(a.tw, b.tw)) / len(list_distinct(list_concat(a.tw, b.tw))) end as title,
+sp0 as (select a.name l, b.name r, round(coalesce(dots.c, 0), 9) content, case when len(a.tw) = 0 or len(b.tw) = 0 then 0 else len(list_intersect(a.tw, b.tw)) / len(list_distinct(list_concat(a.tw, b.tw))) end as title,
   case when len(a.tags) = 0 or len(b.tags) = 0 then 0 else len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) end as tag, list_contains(a.og, b.name) or list_contains(b.og, a.name) as linked, a.wc wl, b.wc wr
   from cw a join cw b on a.name < b.name left join dots on dots.l = a.name and dots.r = b.name),
-sp as materialized (select *, content*0.6 + title*0.2 + tag*0.2 as sim, case when content > 0.5 then 'content' when title > 0.3 then 'title' when tag > 0.3 then 'tags' else 'mixed' end as reason from sp0)
+sp as materialized (select *, round(content*0.6::double + title*0.2::double + tag*0.2::double, 9) as sim, case when content > 0.5 then 'content' when title > 0.3 then 'title' when tag > 0.3 then 'tags' else 'mixed' end as reason from sp0)
 """
 _QUAL = r""",
 qs0 as (select age.name, wc, out_degree, in_degree, len(tags)::bigint n_tags, total t,

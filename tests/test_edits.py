@@ -178,6 +178,6 @@ def test_similar_pairs_lose_none(spark, minimum):
     n = parse.parse_v1(spark.createDataFrame(rows, "vault string, rel_path string, title string, content string"))
     full = similarity._both(n.select("vault", F.col("name").alias("l")).join(n.select("vault", F.col("name").alias("r")), "vault").where("l < r"), similarity._sets(n))
     full = full.join(similarity.cosine_pairs(n), ["vault", "l", "r"], "left").fillna(0.0, ["content"])
-    score = F.col("content") * 0.6 + F.col("title") * 0.2 + F.col("tags") * 0.2
+    score = F.round(F.round("content", 9) * 0.6 + F.col("title") * 0.2 + F.col("tags") * 0.2, 9)
     want = {(r.vault, r.l, r.r): round(r.s, 9) for r in full.select("vault", "l", "r", score.alias("s")).where(F.col("s") >= minimum).collect()}
     assert want and {(r.vault, r.l, r.r): round(r.similarity, 9) for r in similarity.similar_pairs(n, minimum).collect()} == want
