@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_similar_pairs_from_default_minimum(spark):
     texts = {"red apple": "alpha beta gamma", "red pear": "alpha beta delta", "red plum": "omega psi", "red fig": "", "blue sky": "alpha chi", "blue sea": "omega psi chi"}
     tags = {"red apple": ["x"], "red pear": ["x", "y"], "red plum": ["x"], "red fig": ["x"], "blue sky": [], "blue sea": ["y"]}
-    df = spark.createDataFrame([(k, v, tags[k]) for k, v in texts.items()], "name string, content string, tags array<string>")
+    df = spark.createDataFrame([("v", k, v, tags[k]) for k, v in texts.items()], "vault string, name string, content string, tags array<string>")
     words = {k: v.split() for k, v in texts.items()}
     weight = {k: {w: 1 / len(ws) * log(len(words) / sum(w in x for x in words.values())) for w in ws} for k, ws in words.items()}
     share = lambda a, b: len(set(a) & set(b)) / len({*a, *b}) if a and b else 0
@@ -61,7 +61,7 @@ def test_report_lists_all_merges(spark, tmp_path, monkeypatch):
     (tmp_path / "v" / "n.md").write_text("note")
     merged = spark.createDataFrame([(f"c{i:02}", [f"a{i}.md", f"b{i}.md"], 0.9) for i in range(25)], "component string, candidates array<string>, average_confidence double")
     monkeypatch.setattr(recommend, "merges", lambda *_: merged)
-    monkeypatch.setattr(run, "items", lambda *_: spark.createDataFrame([], "id string, reason string, payload string"))
+    monkeypatch.setattr(run, "items", lambda *_: spark.createDataFrame([], "id string, number long, reason string, payload string"))
     s = run.run(spark, str(tmp_path / "v"), str(tmp_path / "o"))
     text = (tmp_path / "o" / "runs" / s["run_id"] / "report.md").read_text()
     assert [f"- a{i}.md, b{i}.md (0.9)" in text for i in range(25)] == [True] * 25
