@@ -318,8 +318,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept for each row of docs.
 
     1. Exact copies (equal sets) become one class with the smallest doc_id for its representative.
-    2. Representatives are put into buckets by bands. Each is verified against the bucket minimum that it meets in most
-       bands; the confirmed links give components.
+    2. Representatives are put into buckets by bands. The pivot of a bucket is the member whose buckets hold most documents
+       (ties: the smallest id), so that a group of near copies meets the text it comes from, whatever its id. Each
+       representative is verified against the pivot that it meets in most bands; the confirmed links give components.
     3. In buckets that still hold several components, pairs across components that the likelihood doesn't refute are
        verified too, block by block: nothing is capped, and pairs never become rows.
     """
@@ -329,9 +330,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     reps = full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").select("rep", "n_shingles", "sketch", "bands").dropDuplicates(["rep", "n_shingles", "sketch"])
     reps = checkpoint(reps)
     keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"))
-    buckets = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("key", "pivot")
-    members = checkpoint(keyed.join(buckets, "key"))
-    votes = members.where("doc > pivot").groupBy(F.col("doc").alias("b"), F.col("pivot").alias("a")).count()
+    shared = checkpoint(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    weighed = shared.join(shared.groupBy("doc").agg(F.sum("size").alias("weight")), "doc")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", -F.col("doc"))).alias("x")).select("key", (-F.col("x.col2")).alias("pivot"))
+    members = checkpoint(shared.select("key", "doc").join(pivots, "key"))
+    votes = members.where("doc <> pivot").groupBy(F.col("doc").alias("b"), F.col("pivot").alias("a")).count()
     best = votes.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     links = checkpoint(_verified(docs, best, n, threshold))
     comp = connected_components(links)
