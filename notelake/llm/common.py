@@ -36,6 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_and_release(df: DataFrame) -> DataFrame:
+    """checkpoint(), after which shuffle files that no frame refers to are deleted. Spark deletes them only when the driver's JVM collects
+    garbage, which a driver with memory to spare puts off while the executors' disks fill up."""
+    out = checkpoint(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def parts_for(df: DataFrame, mb: float) -> int:
     """How many parts of about mb MB df makes, 1 at least, by the optimizer's estimate; where that knows nothing (frames from
     memory or checkpoints), by the bytes of its strings, counted."""
@@ -172,7 +180,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     cut by a checkpoint. Nodes without a link don't appear. Null ends are dropped. Only two scalars a round reach
     the driver."""
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = checkpoint(e)
+    e = checkpoint_and_release(e)
     before = None
     while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -180,7 +188,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = sym.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = checkpoint(small)
+        e = checkpoint_and_release(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
