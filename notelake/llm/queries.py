@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, dedup, langid, lattice, pii, substring, warc
+from . import align, ann, bpe, chat, decontam, dedup, langid, lattice, manifest, pii, substring, suffix, warc
 from .common import checkpoint, table
+from .decontam import _UPPER
 from .sql import SQL  # noqa: F401
 
 
@@ -93,6 +94,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), langid.train(docs), columns=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeated_bytes(table(sf_dir, "documents", spark))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tampered_manifest(docs: DataFrame, **how) -> DataFrame:
+    """The manifest of docs, and what verification says where a fifth of the texts were changed to lower case."""
+    d = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, manifest.digest(*d, F.translate("text", _UPPER, _UPPER.lower())))
+    out = manifest.manifest(docs.select("source", "doc_id", manifest.digest(*d, F.col("text")).alias("leaf"), changed.alias("tampered")), **how)
+    folded = manifest.fold(F.col("levels"), F.coalesce("tampered", "leaf"))
+    out = out.select("doc_id", "leaf", "subroot", "root", manifest.proof_of(F.col("levels")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(sf_dir, "documents", spark))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(sf_dir, "documents", spark)
+    return align.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,5 +126,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_nearest_neighbours, op3_repeated_passages, op4_personal_data, op5_language_model, op6_bpe, op7_decontamination, op8_preference_format, op9_warc_revisits, op10_language, pipeline)
+    for f in (op1_near_duplicates, op2_nearest_neighbours, op3_repeated_passages, op4_personal_data, op5_language_model, op6_bpe, op7_decontamination, op8_preference_format, op9_warc_revisits, op10_language, op11_suffix_dedup, op12_merkle_manifest, op13_tokenizer_alignment, pipeline)
 }

@@ -119,4 +119,88 @@ SELECT 'revisit-' || page_id AS record_id, url, status, CASE WHEN status = 'reso
 FROM m
 """
 
-SQL: dict[str, str] = {"op1_near_duplicates": OP1, "op3_repeated_passages": OP3, "op7_decontamination": OP7, "op8_preference_format": OP8, "op9_warc_revisits": OP9}
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (
+  SELECT r, i, md5(array_slice(x, i, i + 199)) AS h
+  FROM (SELECT r, x, unnest(generate_series(1, octet_length(x) - 199)) AS i FROM d WHERE octet_length(x) >= 200)
+),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w SEMI JOIN twice USING (h)),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+gone AS (SELECT r, run, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY r, run),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM gone),
+kept AS (
+  SELECT r, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(CASE WHEN a > e + 1 THEN hex(array_slice(x, e + 1, a - 1)) ELSE '' END, '' ORDER BY a) AS head
+  FROM cut JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN last IS NULL THEN sha256(x)
+    ELSE sha256(unhex(head || CASE WHEN last < octet_length(x) THEN hex(array_slice(x, last + 1, octet_length(x))) ELSE '' END)) END AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+
+
+_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of the decimal digits, bit by bit.
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP12 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, source, sha256({_FIELDS} || {_field("text")}) AS d,
+    CASE WHEN {_CRC} % 5 = 0 THEN sha256({_FIELDS} || {_field(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")}) END AS t
+  FROM documents
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS r, count(*) OVER (PARTITION BY source) AS total FROM leaf
+),
+node(source, k, r, total, d) AS (
+  SELECT source, 0, r, total, d FROM numbered
+  UNION ALL
+  SELECT source, k + 1, r // 16, (any_value(total) + 15) // 16, sha256(string_agg(d, '' ORDER BY r)) FROM node WHERE total > 1 GROUP BY source, k, r // 16
+),
+top AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS total FROM node WHERE total = 1),
+high(k, r, total, d) AS (
+  SELECT 0, r, total, d FROM top
+  UNION ALL
+  SELECT k + 1, r // 16, (any_value(total) + 15) // 16, sha256(string_agg(d, '' ORDER BY r)) FROM high WHERE total > 1 GROUP BY k, r // 16
+),
+root AS (SELECT d FROM high WHERE total = 1),
+-- Each node with its siblings to the left and to the right.
+side AS (
+  SELECT source, k, r, total, coalesce(string_agg(d, '') OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(d, '') OVER (l ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+  FROM node WHERE total > 1 WINDOW l AS (PARTITION BY source, k, r // 16 ORDER BY r)
+),
+high_side AS (
+  SELECT k, r, total, coalesce(string_agg(d, '') OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(d, '') OVER (l ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+  FROM high WHERE total > 1 WINDOW l AS (PARTITION BY k, r // 16 ORDER BY r)
+),
+path(source, r0, k, r, proof, f) AS (
+  SELECT source, r, 0, r, '', coalesce(t, d) FROM numbered
+  UNION ALL
+  SELECT p.source, p.r0, p.k + 1, p.r // 16, p.proof || s.a || s.z, sha256(s.a || p.f || s.z)
+  FROM path p JOIN side s ON s.source IS NOT DISTINCT FROM p.source AND s.k = p.k AND s.r = p.r
+),
+under AS (SELECT source, r0, proof, f FROM path QUALIFY k = max(k) OVER (PARTITION BY source, r0)),
+over_path(source, r0, k, r, proof, f) AS (
+  SELECT u.source, r0, 0, t.r, proof, f FROM under u JOIN top t ON t.source IS NOT DISTINCT FROM u.source
+  UNION ALL
+  SELECT p.source, p.r0, p.k + 1, p.r // 16, p.proof || s.a || s.z, sha256(s.a || p.f || s.z) FROM over_path p JOIN high_side s ON s.k = p.k AND s.r = p.r
+),
+whole AS (SELECT source, r0, proof, f FROM over_path QUALIFY k = max(k) OVER (PARTITION BY source, r0))
+SELECT n.doc_id, n.d AS leaf, t.d AS subroot, root.d AS root, sha256(w.proof) AS proof_sha256, w.f AS folded_root, w.f = root.d AS verified
+FROM numbered n JOIN whole w ON w.source IS NOT DISTINCT FROM n.source AND w.r0 = n.r JOIN top t ON t.source IS NOT DISTINCT FROM n.source CROSS JOIN root
+"""
+
+SQL: dict[str, str] = {
+    "op1_near_duplicates": OP1, "op3_repeated_passages": OP3, "op7_decontamination": OP7, "op8_preference_format": OP8, "op9_warc_revisits": OP9,
+    "op11_suffix_dedup": OP11, "op12_merkle_manifest": OP12,
+}
