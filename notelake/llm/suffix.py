@@ -35,14 +35,14 @@ from .substring import _hashes, _column, _levels, _pack48, _unpack48  # isort: s
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 _SEEN, _SEEN_BACK = "c int, b long, k binary, n binary", "c int, b long, k binary, hot binary"
 _PIECES, _BACK = "c int, b long, k binary, h binary, left binary, size binary, many binary, body binary", "c int, b long, h binary, n binary, bits binary"
-_BASE, _SLICE = 0xA0761D6478BD642F | 1, 1 << 20
+_BASE, _SLICE = 0xA0761D6478BD642F | 1, 1 << 18
 #: No byte of UTF-8 text.
 _OUT = 255
 
 
 @dataclass
 class _Pieces:
-    """Pieces of a chunk: anchor hash, content hash, first window, bytes before the anchor, windows."""
+    """Pieces of a chunk: anchor hash (mixed once more, as anchors have small hashes), content hash, first window, bytes before the anchor, windows."""
 
     k: np.ndarray
     h: np.ndarray
@@ -69,7 +69,7 @@ class _Chunk:
         return pre, down
 
     def slices(self):
-        """(a, b, valid windows from a on) in steps whose positions fit in 20 bits."""
+        """(a, b, valid windows from a on) in steps whose positions fit in 18 bits."""
         step = _SLICE - self.window
         for a in range(0, max(0, len(self.buf) - self.window + 1), step):
             b = min(len(self.buf), a + step + self.window - 1)
@@ -91,7 +91,7 @@ class _Chunk:
             n = np.diff(np.append(first, len(anchor)))
             some = anchor[first] >= 0
             first, n, at = first[some], n[some], anchor[first[some]]
-            parts.append(_Pieces(grams[at] >> U64(16), self._identity(pre, down, first, n + w - 1, at - first), first + a, at - first, n))
+            parts.append(_Pieces(mix64(grams[at]) >> U64(16), self._identity(pre, down, first, n + w - 1, at - first), first + a, at - first, n))
         none = _Pieces(*[np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64)])
         return _Pieces(*[np.concatenate([getattr(p, f) for p in [none, *parts]]) for f in ("k", "h", "start", "left", "n")])
 
