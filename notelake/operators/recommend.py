@@ -1,16 +1,18 @@
 """Related notes, metadata and merge suggestions over parsed (v2) notes.
 
-The confidence of a pair needs the quantile of its content similarity among all n(n-1)/2 pairs, most of which share
-nothing. Only pairs that share a term, a link or a rare title word are made, by equi-joins over inverted lists; similarities are
-ratios of small integers, so a histogram of their few distinct values gives every quantile, zero pairs included. Pairs
-left out are those whose confidence provably stays below the threshold. All pairs are made only where all of them reach it: at a
-threshold that a pair with nothing in common meets, which the default never is for three notes or more.
+The confidence of a pair needs the quantile of its content similarity among all n(n-1)/2 pairs. All pairs are judged in tiles (see
+tiles.py), so none of them becomes a row: a first pass counts, in each task, how many pairs have which number of common terms and which sizes,
+integers of which there are a few hundred combinations; their quantiles are known to the second pass, which returns the best suggestions of
+each note, or the pairs at a threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from notelake.functions.text import jaccard, round_half_even
 
 from .edits import ANCHOR
 from .graph import components, saved
-from .parse import path_penalty
+from .tiles import Sets, blocks, over_units, overlap, ratio, tiles
 
 
 @dataclass(frozen=True)
@@ -36,26 +38,11 @@ class Scoring:
     norm: str = "quantile"
 
 
-def pair_counts(lists: DataFrame) -> DataFrame:
-    """(l, r, both): number of shared elements of pairs l < r. lists: id, items."""
-    x = lists.select("id", F.explode("items").alias("t")).select("id", F.xxhash64("t").alias("t"))
-    a, b = x.select(F.col("id").alias("l"), "t"), x.select(F.col("id").alias("r"), "t")
-    return a.join(b, "t").where("l < r").groupBy("l", "r").agg(F.count("*").alias("both"))
-
-
-def content_pairs(parsed: DataFrame) -> DataFrame:
-    """(l, r, raw) of pairs that share a top term."""
-    size = parsed.select("rel_path", F.size("top_terms").alias("n"))
-    c = pair_counts(parsed.select(F.col("rel_path").alias("id"), F.col("top_terms").alias("items")))
-    c = c.join(size.select(F.col("rel_path").alias("l"), F.col("n").alias("nl")), "l").join(size.select(F.col("rel_path").alias("r"), F.col("n").alias("nr")), "r")
-    return c.select("l", "r", (F.col("both") / (F.col("nl") + F.col("nr") - F.col("both"))).alias("raw"))
-
-
 def quantiles(raw: DataFrame, n: int) -> DataFrame:
-    """raw, pairs, q of every distinct similarity over all pairs of n notes, 0 included. One row a distinct value, so the
-    window is over a few hundred rows."""
+    """raw, pairs, q of every distinct similarity over all pairs of n notes, 0 included. raw: one row a pair, or rows that count pairs. One
+    row a distinct value is left, so the window is over a few hundred rows."""
     total = n * (n - 1) // 2
-    hist = raw.groupBy("raw").agg(F.count("*").alias("pairs"))
+    hist = raw.groupBy("raw").agg((F.sum("pairs") if "pairs" in raw.columns else F.count("*")).alias("pairs"))
     zero = hist.agg(F.lit(0.0).alias("raw"), (F.lit(total) - F.coalesce(F.sum("pairs"), F.lit(0))).cast("long").alias("pairs"))
     h = hist.unionByName(zero).where("pairs > 0")
     before = F.sum("pairs").over(W.orderBy("raw").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("pairs")
@@ -63,49 +50,173 @@ def quantiles(raw: DataFrame, n: int) -> DataFrame:
     return h.select("raw", "pairs", q.alias("q"))
 
 
-def confidence(content: Column, title: Column, link: Column, factor: Column, c: Scoring) -> Column:
-    return F.least(F.greatest((content * c.w_content + title * c.w_title + link * c.w_link) * factor, F.lit(c.clamp_min)), F.lit(c.clamp_max))
-
-
-def _titles(parsed: DataFrame, common: int) -> tuple[DataFrame, float]:
-    """Title words with more than `common` notes dropped, and the largest title similarity that dropped words alone can make."""
-    t = parsed.select("rel_path", F.explode("title_tokens").alias("w"))
-    df = t.groupBy("w").agg(F.count("*").alias("df"))
-    tagged = t.join(df, "w").select("rel_path", F.when(F.col("df") <= common, F.col("w")).alias("rare"))
-    per = tagged.groupBy("rel_path").agg(F.count("*").alias("s"), F.collect_list("rare").alias("items"))
-    h = F.col("s") - F.size("items")
-    bound = per.agg(F.max(h / (2 * F.col("s") - h))).first()[0] or 0.0
-    return per.select(F.col("rel_path").alias("id"), "items"), bound
-
-
-def pairs(parsed: DataFrame, c: Scoring = Scoring(), common: int = 100) -> DataFrame:  # noqa: B008
-    """l, r, raw, content_sim, title_sim, link_overlap, factor, confidence of all pairs that reach a threshold."""
-    parsed = saved(parsed.select("rel_path", "title", "title_tokens", "link_set", "top_terms"))
-    notes = parsed.drop("top_terms")
-    n = notes.count()
-    raw = saved(content_pairs(parsed))
-    q = quantiles(raw, n)
-    q0 = (q.where("raw = 0").select("q").first() or [0.0])[0] if c.norm == "quantile" else 0.0
-    factor, least = max(1.0, c.penalty), min(c.min_related, c.merge)
-    rare, bound = _titles(parsed, common)
-    if (c.w_content * q0 + c.w_title * bound) * factor >= least:  # pairs that share common title words only can reach the threshold
-        rare, bound = parsed.select(F.col("rel_path").alias("id"), F.col("title_tokens").alias("items")), 0.0
-    if n < 3 or max(c.clamp_min, c.w_content * q0 * factor) >= least:  # every pair of notes is in the result
-        ids = notes.select(F.col("rel_path").alias("l"))
-        found = ids.join(ids.withColumnRenamed("l", "r"), F.col("l") < F.col("r"))
-    else:
-        more = [pair_counts(rare), pair_counts(parsed.select(F.col("rel_path").alias("id"), F.col("link_set").alias("items")))]
-        found = raw.select("l", "r").unionByName(more[0].select("l", "r")).unionByName(more[1].select("l", "r")).distinct()
-    found = found.join(raw, ["l", "r"], "left").fillna(0.0, ["raw"])
-    found = found.join(F.broadcast(q.select("raw", "q")), "raw", "left")  # at most a few hundred distinct ratios
-    side = lambda s: notes.select(F.col("rel_path").alias(s), F.col("title").alias(f"{s}_title"), F.col("title_tokens").alias(f"{s}_tt"), F.col("link_set").alias(f"{s}_ls"))
-    d = found.join(side("l"), "l").join(side("r"), "r")
-    d = d.select(
-        "l", "r", "l_title", "r_title", "raw", (F.col("q") if c.norm == "quantile" else F.col("raw")).alias("content_sim"),
-        jaccard(F.col("l_tt"), F.col("r_tt")).alias("title_sim"), jaccard(F.col("l_ls"), F.col("r_ls")).alias("link_overlap"), path_penalty(F.col("l"), F.col("r"), c.penalty).alias("factor"),
-    )
-    d = d.withColumn("confidence", confidence(F.col("content_sim"), F.col("title_sim"), F.col("link_overlap"), F.col("factor"), c))
-    return saved(d.where(F.col("confidence") >= min(c.min_related, c.merge)))
+_PARTS = "raw double, content_sim double, title_sim double, link_overlap double, factor double, confidence double"
+
+
+class _Notes:
+    """A block of notes: paths, top folders, and the sets that pairs are judged by."""
+
+    def __init__(self, t: pa.Table):
+        self.path = t.column("path").to_numpy(zero_copy_only=False)
+        self.folder = t.column("folder").to_numpy()
+        self.terms, self.title, self.links = (Sets.of(t.column(c)) for c in ("terms", "title", "links"))
+
+
+class AllPairs:
+    """All pairs of parsed notes under one scoring; rel_path is their key."""
+
+    def __init__(self, parsed: DataFrame, c: Scoring = Scoring(), size: int = 2000):  # noqa: B008
+        ids = lambda col: F.array_distinct(F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x: F.xxhash64(x)))
+        self.c, self.titles = c, parsed.select(F.col("rel_path").alias("r"), F.col("title").alias("r_title"))
+        folder = F.xxhash64(F.split_part("rel_path", F.lit("/"), F.lit(1)))
+        rows = parsed.select(
+            F.lit("").alias("part"), F.col("rel_path").alias("path"), folder.alias("folder"), ids(F.col("top_terms")).alias("terms"), ids(F.col("title_tokens")).alias("title"), ids(F.col("link_set")).alias("links")
+        )
+        self.blocks, self._hist, self._table = blocks(rows, "path", lambda t: t, size), None, None
+
+    def histogram(self) -> DataFrame:
+        """both, size, pairs: how many pairs have so many common terms, and terms in the two notes together."""
+        if self._hist is None:
+
+            def count(lefts, rights):
+                lefts, rights = ([(b, _Notes(t)) for b, t in x] for x in (lefts, rights))
+                found: dict[tuple[int, int], int] = {}
+                for i, j in tiles(lefts, rights):
+                    (a, x), (b, y) = lefts[i], rights[j]
+                    both = overlap(x.terms, y.terms)
+                    size = x.terms.n[:, None] + y.terms.n[None, :]
+                    width = int(size.max(initial=0)) + 1
+                    code = size if both is None else both.astype(np.int64) * width + size
+                    n = np.bincount((code[np.triu_indices(len(x.path), 1)] if a == b else code).ravel())
+                    for v in np.flatnonzero(n).tolist():
+                        key = divmod(v, width)
+                        found[key] = found.get(key, 0) + int(n[v])
+                both, size = zip(*found, strict=True) if found else ((), ())
+                return pa.table({"both": pa.array(both, pa.int64()), "size": pa.array(size, pa.int64()), "pairs": pa.array(found.values(), pa.int64())})
+
+            rows = over_units(self.blocks, count, "both long, size long, pairs long")
+            self._hist = saved(rows.groupBy("both", "size").agg(F.sum("pairs").alias("pairs")))
+        union = F.col("size") - F.col("both")
+        return self._hist.withColumn("raw", F.when(union > 0, F.col("both") / F.nullif(union, F.lit(0))).otherwise(F.lit(0.0)))
+
+    def quantiles(self) -> DataFrame:
+        """raw, pairs, q of every distinct similarity."""
+        hist = self.histogram()
+        total = hist.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        return quantiles(hist.select("raw", "pairs"), round((1 + (1 + 8 * total) ** 0.5) / 2))
+
+    def _content(self) -> np.ndarray | None:
+        """Quantile by common terms and terms together, a few hundred numbers; None where raw similarities count."""
+        if self.c.norm != "quantile":
+            return None
+        if self._table is None:
+            rows = self.histogram().join(self.quantiles().select("raw", "q"), "raw").select("both", "size", "q").collect()
+            self._table = np.zeros((max((r.both for r in rows), default=0) + 1, max((r["size"] for r in rows), default=0) + 1))
+            for r in rows:
+                self._table[r.both, r["size"]] = r.q
+        return self._table
+
+    def _judge(self):
+        """Function of two blocks: the parts of the confidence of each pair, and the confidence."""
+        c, content = self.c, self._content()
+
+        def judge(x: _Notes, y: _Notes):
+            both = overlap(x.terms, y.terms)
+            raw = ratio(both, x.terms, y.terms)
+            if content is None:
+                sim = raw
+            else:
+                sizes = np.minimum(x.terms.n[:, None] + y.terms.n[None, :], content.shape[1] - 1)
+                sim = content[0 if both is None else np.minimum(both.astype(np.int64), content.shape[0] - 1), sizes]
+            title, link = (ratio(overlap(a, b), a, b) for a, b in ((x.title, y.title), (x.links, y.links)))
+            factor = np.where(x.folder[:, None] != y.folder[None, :], c.penalty, 1.0)
+            confidence = np.minimum(np.maximum((sim * c.w_content + title * c.w_title + link * c.w_link) * factor, c.clamp_min), c.clamp_max)
+            return [raw, sim, title, link, factor, confidence]
+
+        return judge
+
+    def pairs(self, least: float | None = None) -> DataFrame:
+        """l, r, l_title, r_title, raw, content_sim, title_sim, link_overlap, factor, confidence of pairs (l < r) of a confidence of `least` or more;
+        by default of the smaller threshold of the scoring."""
+        least = min(self.c.min_related, self.c.merge) if least is None else least
+        judge = self._judge()
+
+        def keep(lefts, rights):
+            lefts, rights = ([(b, _Notes(t)) for b, t in x] for x in (lefts, rights))
+            out = [_rows([], [], [])]
+            for i, j in tiles(lefts, rights):
+                (a, x), (b, y) = lefts[i], rights[j]
+                parts = judge(x, y)
+                rows, cols = np.nonzero(np.triu(parts[-1] >= least, 1) if a == b else parts[-1] >= least)
+                u, v = x.path[rows], y.path[cols]
+                swap = u > v
+                out.append(_rows(np.where(swap, v, u), np.where(swap, u, v), _at(parts, rows, cols)))
+            return pa.concat_tables(out)
+
+        found = over_units(self.blocks, keep, f"l string, r string, {_PARTS}")
+        left = self.titles.select(F.col("r").alias("l"), F.col("r_title").alias("l_title"))
+        return found.join(left, "l").join(self.titles, "r").select("l", "r", "l_title", "r_title", *found.columns[2:])
+
+    def suggestions(self, top: int = 3) -> DataFrame:
+        """As related(): the best suggestions of each note. A unit returns the best of each of its notes, whose bar rises from tile to
+        tile, so rows are notes times units in a line, whatever number of pairs reaches the threshold."""
+        judge, least = self._judge(), self.c.min_related
+
+        def best(lefts, rights):
+            rights = [(b, _Notes(t)) for b, t in rights]
+            out = [_rows([], [], [])]
+            for a, t in lefts:
+                x = _Notes(t)
+                bar = np.full(len(x.path), least)
+                own = [_rows([], [], [])]
+                for b, y in rights:
+                    parts = judge(x, y)
+                    score = np.where(parts[-1] >= bar[:, None], parts[-1], -1.0)
+                    if a == b:
+                        np.fill_diagonal(score, -1.0)
+                    kept = []
+                    for _ in range(min(top, score.shape[1])):  # columns are in the order of paths, so the first of equals is the one
+                        col = score.argmax(1)
+                        rows = np.flatnonzero(score[np.arange(len(col)), col] >= 0)
+                        kept.append((rows, col[rows]))
+                        score[rows, col[rows]] = -1.0
+                    if len(kept) == top:
+                        rows, col = kept[-1]
+                        bar[rows] = np.maximum(bar[rows], parts[-1][rows, col])
+                    rows, cols = (np.concatenate([k[i] for k in kept]) if kept else np.zeros(0, np.int64) for i in (0, 1))
+                    own.append(_rows(x.path[rows], y.path[cols], _at(parts, rows, cols)))
+                out.append(_best(pa.concat_tables(own), top))
+            return pa.concat_tables(out)
+
+        found = over_units(self.blocks, best, f"l string, r string, {_PARTS}", upper=False)
+        rank = F.row_number().over(W.partitionBy("l").orderBy(F.desc("confidence"), "r"))
+        rows = found.withColumn("rank", rank).where(F.col("rank") <= top).join(self.titles, "r")
+        why = ["raw", "content_sim", "title_sim", "link_overlap", "factor"]
+        return rows.select(F.col("l").alias("rel_path"), F.col("r").alias("target_path"), F.col("r_title").alias("target_title"), "confidence", *why, "rank")
+
+
+def _at(parts: list, rows: np.ndarray, cols: np.ndarray) -> list[np.ndarray]:
+    return [p[rows, cols] if isinstance(p, np.ndarray) else np.full(len(rows), p) for p in parts]
+
+
+def _rows(left, right, parts) -> pa.Table:
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    values = parts or [[]] * len(names)
+    return pa.table({"l": pa.array(left, pa.string()), "r": pa.array(right, pa.string()), **{n: pa.array(v, pa.float64()) for n, v in zip(names, values, strict=True)}})
+
+
+def _best(t: pa.Table, top: int) -> pa.Table:
+    """The best rows of each l, ties to the smaller r."""
+    t = t.sort_by([("l", "ascending"), ("confidence", "descending"), ("r", "ascending")])
+    code = t.column("l").combine_chunks().dictionary_encode().indices.to_numpy() if t.num_rows else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, np.diff(code) != 0)[: len(code)])
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return t.filter(pc.less(pa.array(place), top))
+
+
+def pairs(parsed: DataFrame, c: Scoring = Scoring(), least: float | None = None) -> DataFrame:  # noqa: B008
+    """AllPairs.pairs(), written once."""
+    return saved(AllPairs(parsed, c).pairs(least))
 
 
 def related(p: DataFrame, c: Scoring = Scoring(), top: int = 3) -> DataFrame:  # noqa: B008

@@ -118,12 +118,12 @@ def run(spark: SparkSession, root: str, out: str, config: dict | None = None, la
     downs, limit = [], control.setting(config, "performance", "max_mem_mb")
     if limit and (notes.agg(F.sum(F.size("top_terms"))).first()[0] or 0) * 16 > limit * 1024 * 1024:
         downs.append("recommend_skipped_mem_limit")
-        pairs = recommend.pairs(notes.limit(0), c)
+        pairs = recommend.AllPairs(notes.limit(0), c)
     else:
-        pairs = recommend.pairs(notes, c)
-    rel = graph.saved(recommend.related(pairs, c))
+        pairs = recommend.AllPairs(notes, c)
+    rel = graph.saved(pairs.suggestions())
     skip = bool(downs)
-    meta, merged = recommend.metadata(notes.limit(0) if skip else notes, rel, c), recommend.merges(pairs, c)
+    meta, merged = recommend.metadata(notes.limit(0) if skip else notes, rel, c), recommend.merges(graph.saved(pairs.pairs(c.merge)), c)
     low = recommend.low_confidence(meta, rel, c).first()[0]
     at = clock("recommend", at)
     actions = write_items(items(graph.broken(notes), rel, meta, merged, c), {"version": "1", "vault": root, "generated_at": made}, str(folder / "action-items.json"))

@@ -319,43 +319,41 @@ def title_words(spark, sf):
 
 @query(f"select {_m('raw')} raw, m::bigint pairs from q where m > 0", _PAIRS)
 def jaccard_pairs_hist(spark, sf):
-    n = _v2(spark, sf)
-    return recommend.quantiles(recommend.content_pairs(n), n.count()).select("raw", "pairs")
+    return recommend.AllPairs(_v2(spark, sf)).quantiles().select("raw", "pairs")
 
 
 @query(f"select {_m('raw')} raw, {_m('q')} q from q", _PAIRS)
 def quantile_norm(spark, sf):
-    n = _v2(spark, sf)
-    return recommend.quantiles(recommend.content_pairs(n), n.count()).select("raw", "q")
+    return recommend.AllPairs(_v2(spark, sf)).quantiles().select("raw", "q")
 
 
 @query(f"select l, r, {_m('conf')} confidence from p where conf >= 0.5", _PAIRS)
 def confidence_pairs(spark, sf):
-    return recommend.pairs(_v2(spark, sf)).where("confidence >= 0.5").select("l", "r", "confidence")
+    return recommend.AllPairs(_v2(spark, sf)).pairs(0.5).select("l", "r", "confidence")
 
 
 @query(f"select l, r, {_m('conf')} confidence from p where conf >= 0.3", _PAIRS)
 def confidence_pairs_all(spark, sf):
     """All pairs from the default minimum of recommendations on."""
-    return recommend.pairs(_v2(spark, sf)).select("l", "r", "confidence")
+    return recommend.AllPairs(_v2(spark, sf)).pairs().select("l", "r", "confidence")
 
 
 @query(f"select rel_path, rank::bigint as rank, target_path, {_m('conf')} confidence from rel", _PAIRS)
 def related_top3(spark, sf):
-    return recommend.related(recommend.pairs(_v2(spark, sf))).select("rel_path", "rank", "target_path", "confidence")
+    return recommend.AllPairs(_v2(spark, sf)).suggestions().select("rel_path", "rank", "target_path", "confidence")
 
 
 @query(f"select rel_path, keywords, aliases, related, {_m('conf')} confidence from meta", _META)
 def metadata_suggestions(spark, sf):
     n = _v2(spark, sf)
-    m = recommend.metadata(n, recommend.related(recommend.pairs(n)))
+    m = recommend.metadata(n, recommend.AllPairs(n).suggestions())
     return m.select("rel_path", F.array_join("keywords", ",").alias("keywords"), F.array_join("aliases", ",").alias("aliases"), F.array_join("related", ",").alias("related"), "confidence")
 
 
 @query("select ((select count(*) from meta where conf < 0.45) + (select count(*) from rel where conf < 0.45))::bigint as low_confidence", _META)
 def low_confidence_count(spark, sf):
     n = _v2(spark, sf)
-    rel = recommend.related(recommend.pairs(n))
+    rel = graph.saved(recommend.AllPairs(n).suggestions())
     return recommend.low_confidence(recommend.metadata(n, rel), rel)
 
 
@@ -372,7 +370,7 @@ clus as (select component, string_agg(node, ',' order by node) as candidates, an
 @query(f"select component, candidates, {_m('average')} average_confidence from clus", _PAIRS + _COMP)
 def merge_components(spark, sf):
     """Clusters and the mean of their edges. The merge threshold is 0.6, as few pairs of these tables reach the default."""
-    m = recommend.merges(recommend.pairs(_v2(spark, sf), SCORING), SCORING)
+    m = recommend.merges(recommend.AllPairs(_v2(spark, sf), SCORING).pairs(SCORING.merge), SCORING)
     return m.select("component", F.array_join("candidates", ",").alias("candidates"), "average_confidence")
 
 
@@ -392,9 +390,9 @@ act as (select row_number() over (order by part, key) as number, * from (
 
 def _plan(spark, sf):
     n = graph.saved(_v2(spark, sf))
-    p = recommend.pairs(n, SCORING)
-    rel = graph.saved(recommend.related(p, SCORING))
-    return recommend.plan(graph.broken(n), rel, recommend.metadata(n, rel), recommend.merges(p, SCORING))
+    p = recommend.AllPairs(n, SCORING)
+    rel = graph.saved(p.suggestions())
+    return recommend.plan(graph.broken(n), rel, recommend.metadata(n, rel), recommend.merges(p.pairs(SCORING.merge), SCORING))
 
 
 @query(f"select format('act_{{:04d}}', number) as id, type, risk_class, target_path, {_m('conf')} confidence from act", _PLAN)
@@ -486,13 +484,13 @@ def similar_pairs_all(spark, sf):
 
 @query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.45", _TFIDF)
 def similar_stats(spark, sf):
-    return similarity.stats(similarity.similar_pairs(_v1(spark, sf), 0.45))
+    return similarity.similar_stats(_v1(spark, sf), 0.45)
 
 
 @query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.3", _TFIDF)
 def similar_stats_all(spark, sf):
     """Statistics of all pairs from the default minimum of 0.3 on."""
-    return similarity.stats(similarity.similar_pairs(_v1(spark, sf)))
+    return similarity.similar_stats(_v1(spark, sf))
 
 
 @query("select l, r from sp where sim >= 0.7", _TFIDF)
