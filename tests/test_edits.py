@@ -1,6 +1,8 @@
 """Edits of notes: columns against the plain functions, inverse edits, renames together, the ways of apply, and what a rerun opens."""
 
+import itertools
 import json
+import math
 import os
 
 import pytest
@@ -127,7 +129,7 @@ def test_a_crash_keeps_the_index(spark, tmp_path):
     s._point = keep
     for n in (3, 4):
         s.write(rows(n))
-    assert s.read().count() == 4 and len([x for x in os.listdir(tmp_path / "index") if x.startswith("snapshot")]) == 2
+    assert s.read().count() == 4 and len([x for x in os.listdir(tmp_path / "index") if x.startswith("base-")]) == 2
 
 
 def test_scan_throttle(monkeypatch, tmp_path):
@@ -176,8 +178,22 @@ def test_similar_pairs_lose_none(spark, minimum):
     w = ["red", "fox", "blue", "sea", "hill", "boat", "tree", "sun"]
     rows = [(rnd.choice("AB"), f"{i}.md", " ".join(rnd.sample(w, 2)) + f" {i}", " ".join(rnd.choice(w) + rnd.choice(["", "x", "y"]) for _ in range(rnd.choice([0, 1, 3, 9]))) + "".join(f" #t{k}" for k in rnd.sample(range(4), rnd.randint(0, 3)))) for i in range(60)]
     n = parse.parse_v1(spark.createDataFrame(rows, "vault string, rel_path string, title string, content string"))
-    full = similarity._both(n.select("vault", F.col("name").alias("l")).join(n.select("vault", F.col("name").alias("r")), "vault").where("l < r"), similarity._sets(n))
-    full = full.join(similarity.cosine_pairs(n), ["vault", "l", "r"], "left").fillna(0.0, ["content"])
-    score = F.round(F.round("content", 9) * 0.6 + F.col("title") * 0.2 + F.col("tags") * 0.2, 9)
-    want = {(r.vault, r.l, r.r): round(r.s, 9) for r in full.select("vault", "l", "r", score.alias("s")).where(F.col("s") >= minimum).collect()}
+    weight, sets = {}, {(r.vault, r.name): (set(r.tw), set(r.tg)) for r in similarity._sets(n).collect()}
+    for r in similarity.vectors(n).collect():
+        weight.setdefault((r.vault, r.name), {})[r.word] = r.weight
+    share = lambda a, b: len(a & b) / len(a | b) if a and b else 0
+    unit = {k: {w: x / math.hypot(*v.values()) for w, x in v.items() if x} for k, v in weight.items()}
+    want = {}
+    for (v, a), (u, b) in itertools.combinations(sorted(sets), 2):
+        if u == v:
+            x, y = unit.get((v, a), {}), unit.get((v, b), {})
+            cosine = round(sum(x[w] * y[w] for w in x if w in y), 9)
+            score = round(cosine * 0.6 + share(sets[v, a][0], sets[v, b][0]) * 0.2 + share(sets[v, a][1], sets[v, b][1]) * 0.2, 9)
+            if score >= minimum:
+                want[v, a, b] = score
     assert want and {(r.vault, r.l, r.r): round(r.similarity, 9) for r in similarity.similar_pairs(n, minimum).collect()} == want
+    # The same in many small blocks, and as sums.
+    small = similarity.AllPairs(n, size=7)
+    assert {(r.part, r.l, r.r): round(r.similarity, 9) for r in small.pairs(minimum).collect()} == want
+    s, all_rows = small.stats(minimum).first(), similarity.stats(similarity.similar_pairs(n, minimum)).first()
+    assert [round(x, 9) for x in s] == [round(x, 9) for x in all_rows] and s.pairs == len(want)
