@@ -1,16 +1,16 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 A text is the average of the embeddings of its hashed byte 2-, 3- and 4-grams inside words (case of A-Z folded, other non-letters of
-ASCII read as blanks). Embeddings and the softmax are trained together by stochastic gradient descent in numpy on a
-bounded sample of labelled rows; a temperature and a rejection threshold are calibrated on a fifth of the sample that training
-does not see. As the model is linear after the average, prediction adds up one row of a (buckets x languages) table for
-each gram of the whole text, slice by slice.
+ASCII read as blanks). Embeddings and the softmax are trained together by stochastic gradient descent in numpy, in steps that can't
+overshoot on short texts, on a bounded sample of labelled rows; a temperature and a rejection threshold are calibrated on a fifth of the sample that training
+does not see. As the model is linear after the average, prediction adds up one row of a table for each gram of the whole text, slice by slice.
 
 The sample has at most per_lang rows of each language, picked by a hash of doc_id among
 rows with a label and crc32(doc_id) mod 4 other than 2; only their gram counts reach the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; with nothing to learn from, every text is `und`;
-rows with a null doc_id are never learned from and count as held out. Other columns are ignored.
+of equally likely languages the first by name is predicted; rows with a null doc_id are never learned from and count as held out; rows are judged one
+by one, repeated ones alike; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +54,9 @@ def grams(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes with two blanks between texts, and the start of each text (and the end)."""
-    buf = np.frombuffer(b"  ".join([*texts, b""]).translate(_FOLD_BYTES), np.uint8)
+    """Folded bytes with a blank before and after each text, and the start of each such stretch (and the end). No gram reaches from one into the next,
+    as it would hold both blanks."""
+    buf = np.frombuffer(b"".join([b" " + t + b" " for t in texts]).translate(_FOLD_BYTES), np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     return buf, np.concatenate(([0], np.cumsum(lens)))
 
@@ -84,11 +85,20 @@ def has_letter(text: bytes) -> bool:
 
 @dataclass
 class Model:
+    """table: for each bucket its embedding times the weights or, beyond DIM languages, the embedding alone, so that tasks hold 1 MB and DIM
+    numbers a language (head) at most."""
+
     langs: list[str]
-    table: np.ndarray  # (buckets, languages), embedding times weights
+    table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    head: np.ndarray | None = None
+
+    def probabilities(self, averages: np.ndarray) -> np.ndarray:
+        """Of each language, from averages of rows of the table."""
+        z = averages if self.head is None else averages @ self.head
+        return _softmax((z + self.bias) / self.temperature)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -96,7 +106,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], epochs: int = 10, rate: float = 0.5, seed: int = 7) -> Model:
     """bags: bucket ids and counts of each text; y: index of its language."""
     rng = np.random.default_rng(seed)
     k, n = len(langs), len(bags)
@@ -120,20 +130,28 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[st
             g = _softmax(x @ w + bias)
             g[np.arange(len(part)), y[part]] -= 1
             gx = g @ w.T
+            # Steps that can't overshoot: what a text's average, or its scores, move by is bounded, however short it is and however many texts of the
+            # batch share a gram, and however far the embeddings or the weights have grown.
             lr = rate * (1 - epoch / epochs)
-            w -= lr * x.T @ g
+            w -= lr / max(1.0, float((x * x).sum(1).max())) * x.T @ g
             bias -= 0.05 * lr * g.sum(0)
             lens = np.diff(np.append(cuts, len(ids)))
-            np.subtract.at(emb, ids, 30 * lr * np.repeat(gx, lens, 0) * share[:, None])
-    table = (emb @ w).astype(np.float32)
-    z = np.array([(table[i] * (c / max(1, c.sum()))[:, None]).sum(0) + bias for i, c in (bags[j] for j in back)])
+            step = np.minimum(30 * lr, lr / np.add.reduceat(share * share, cuts)) / max(1.0, float((w * w).sum(0).max()))
+            _, at_gram, texts = np.unique(ids, return_inverse=True, return_counts=True)
+            move = np.repeat(gx * step[:, None], lens, 0) * (share / np.sqrt(texts[at_gram]))[:, None]
+            np.subtract.at(emb, ids, move)
+    if not (np.isfinite(emb).all() and np.isfinite(w).all()):
+        raise FloatingPointError("training didn't stay finite")
+    table, head = ((emb @ w).astype(np.float32), None) if k <= DIM else (emb.astype(np.float32), w)
+    z = np.array([(table[i] * (c / max(1, c.sum()))[:, None]).sum(0) for i, c in (bags[j] for j in back)])
+    z = (z if head is None else z @ head) + bias
     grid = np.exp(np.linspace(-3, 3, 61))
     temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(back)), y[back]] + 1e-12).mean()))
     p = _softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == y[back]]
     # No more than one in two thousand correct texts may go, and never one that is more likely right than wrong.
     threshold = float(min(np.quantile(right, 0.0005) * 0.8, 0.5)) if len(right) else 0.0
-    return Model(langs, table, bias, temperature, threshold)
+    return Model(langs, table, bias, temperature, threshold, head)
 
 
 def _held(modulus: int, held: int):
@@ -186,7 +204,7 @@ def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2, col
                     total += len(texts[-1])
                     at += 1
                 s, n = add_up(texts, m.table)
-                p = _softmax((s / np.maximum(n, 1)[:, None] + m.bias) / m.temperature)
+                p = m.probabilities(s / np.maximum(n, 1)[:, None])
                 best = p.argmax(1)
                 lang = [m.langs[b] if m.langs and has_letter(t) else "und" for b, t in zip(best, texts, strict=True)]
                 score = np.where([x == "und" for x in lang], 0.0, p.max(1))

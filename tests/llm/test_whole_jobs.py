@@ -1,7 +1,13 @@
 """Whole jobs of the training-data operators where a part was left out before."""
 
+import random
+import re
+import zlib
+
 import corpus_pipeline
-from notelake.llm import langid, pii, warc
+import numpy as np
+import pytest
+from notelake.llm import langid, pii, queries, warc
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +69,50 @@ def test_warc_goes_on_after_broken_records():
 def test_every_language_is_learned(spark):
     rows = [(i, f"word{i % 105} text", f"l{i % 105}") for i in range(1050)]
     assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 105
+
+
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+@pytest.mark.parametrize("k", [4, 20, 105])
+@pytest.mark.parametrize("alike", [False, True])
+def test_short_texts_stay_finite(spark, k, alike):
+    """Texts of two words, of languages with syllables of their own, or all with the same grams."""
+    rnd = random.Random(k)
+    syllables = [[rnd.choice("bcdfghjklmnprstvwz") + rnd.choice("aeiou") + rnd.choice(["", "n", "s", "r"]) for _ in range(12)] for _ in range(k)]
+    words = [["".join(rnd.choice(x) for _ in range(rnd.randint(2, 3))) for _ in range(40)] for x in syllables]
+    text = lambda i: f"word{i} text" if alike else " ".join(rnd.choice(words[i]) for _ in range(2))
+    rows = [(j, text(j % k), f"l{j % k:03}") for j in range(k * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.identify(df, langid.train(df)).where("held_out").collect()
+    assert len(got) > 20 * k and all(0 <= r.score <= 1 for r in got)
+    assert alike or np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_language_query_against_a_plain_scorer(spark):
+    """op10 over whole sf0.001, with the learned model but grams counted one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.train(docs)
+
+    def bucket(g):
+        h = g[0]
+        for b in g[1:]:
+            h = (h * 0x01000193 + b) & 0xFFFFFFFF
+        x = (h * 0x9E3779B1 + (len(g) * 0x85EBCA6B & 0xFFFFFFFF)) & 0xFFFFFFFF
+        return (((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - langid.BITS)
+
+    want = {}
+    for r in docs.collect():
+        held = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        t = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]", b" ", (r.text or "").encode()).lower() if r.text else b""
+        if not any(c.isalpha() for c in r.text or ""):
+            want[r.doc_id] = (held, "und", 0.0)
+            continue
+        t = b" " + t + b" "
+        grams = [t[i : i + k] for k in (2, 3, 4) for i in range(len(t) - k + 1)]
+        grams = [g for g in grams if b" " not in g[1:-1] and g != b"  "]
+        z = m.table[[bucket(g) for g in grams]].astype(float).sum(0) / len(grams)
+        p = np.exp(((z if m.head is None else z @ m.head) + m.bias) / m.temperature)
+        want[r.doc_id] = (held, m.langs[int(p.argmax())], float(p.max() / p.sum()))
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op10_language(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for d, (held, lang, score) in want.items():
+        assert got[d][:2] == (held, lang) and abs(got[d][2] - score) < 1e-6, (d, got[d], want[d])
