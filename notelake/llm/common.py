@@ -4,6 +4,8 @@ checkpoints and connected components."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -36,12 +38,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checkpoint_and_release(df: DataFrame) -> DataFrame:
-    """checkpoint(), after which shuffle files that no frame refers to are deleted. Spark deletes them only when the driver's JVM collects
-    garbage, which a driver with memory to spare puts off while the executors' disks fill up."""
-    out = checkpoint(df)
-    df.sparkSession._jvm.System.gc()
-    return out
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For jobs of many steps: shuffle files of frames made within are deleted when a query of theirs has ended, as each step is read from
+    its checkpoint. Without it they stay until the driver's JVM happens to collect garbage, while the executors' disks fill up. Should a
+    later query need a file that has gone, Spark runs its stage again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def parts_for(df: DataFrame, mb: float) -> int:
@@ -180,7 +188,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     cut by a checkpoint. Nodes without a link don't appear. Null ends are dropped. Only two scalars a round reach
     the driver."""
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = checkpoint_and_release(e)
+    e = checkpoint(e)
     before = None
     while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -188,7 +196,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = sym.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = checkpoint_and_release(small)
+        e = checkpoint(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

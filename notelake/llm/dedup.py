@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint_and_release, connected_components, hash_words, mix64, ranges, window_hashes
+from .common import U64, checkpoint, connected_components, hash_words, mix64, ranges, released_shuffles, window_hashes
 
 #: Registers, rows a band, base, rate and largest value of the sketch.
 M, ROWS, BASE, RATE, Q = 128, 4, 1.001, 20.0, (1 << 16) - 2
@@ -275,7 +275,7 @@ def _open_links(docs: DataFrame, members: DataFrame, n: int, threshold: tuple[in
 
     arrow = pa.schema([("key", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("doc", pa.int64()), ("comp", pa.int64()), ("side", pa.int32()), ("spare", pa.bool_()), ("sketch", pa.binary()), ("n_shingles", pa.int64())])
     schema = "key long, bi int, bj int, doc long, comp long, side int, spare boolean, sketch binary, n_shingles long"
-    picked = checkpoint_and_release(dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").mapInArrow(pick, schema))
+    picked = checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").mapInArrow(pick, schema))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sent = texts.join(picked.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select(*keys, *rest, "text")
 
@@ -324,24 +324,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     3. In buckets that still hold several components, pairs across components that the likelihood doesn't refute are
        verified too, block by block: nothing is capped, and pairs never become rows.
     """
-    sig = checkpoint_and_release(signatures(docs, n))
+    with released_shuffles(docs.sparkSession):
+        return _near_duplicates(docs, n, threshold)
+
+
+def _near_duplicates(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    sig = checkpoint(signatures(docs, n))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").select("rep", "n_shingles", "sketch", "bands").dropDuplicates(["rep", "n_shingles", "sketch"])
-    reps = checkpoint_and_release(reps)
+    reps = checkpoint(reps)
     keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"))
-    shared = checkpoint_and_release(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    shared = checkpoint(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
     weighed = shared.join(shared.groupBy("doc").agg(F.sum("size").alias("weight")), "doc")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", -F.col("doc"))).alias("x")).select("key", (-F.col("x.col2")).alias("pivot"))
-    members = checkpoint_and_release(shared.select("key", "doc").join(pivots, "key"))
+    members = checkpoint(shared.select("key", "doc").join(pivots, "key"))
     votes = members.where("doc <> pivot").groupBy(F.col("doc").alias("b"), F.col("pivot").alias("a")).count()
     best = votes.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    links = checkpoint_and_release(_verified(docs, best, n, threshold))
+    links = checkpoint(_verified(docs, best, n, threshold))
     comp = connected_components(links)
     labelled = members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     sk = reps.select(F.col("rep").alias("doc"), "sketch", "n_shingles")
-    more = checkpoint_and_release(_open_links(docs, labelled.join(mixed, "key").join(sk, "doc"), n, threshold))
+    more = checkpoint(_open_links(docs, labelled.join(mixed, "key").join(sk, "doc"), n, threshold))
     if not more.isEmpty():
         comp = connected_components(links.unionByName(more))
     of_class = classes.join(comp, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.col("n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"))
