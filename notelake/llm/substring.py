@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document already holds.
 
-Every window of a fixed number of words gets Rabin-Karp hashes. Documents are dealt into chunks by doc_id, and windows meet in
+Every window of a fixed number of words gets Rabin-Karp hashes. Documents are dealt into chunks by doc_id and text, and windows meet in
 buckets of their hash, in two rounds. First a chunk sends 48 bits of each of its distinct windows, and learns which of them other chunks have
 too. Then it sends 128 bits of those windows only, once each, with the smallest doc_id that has it, and learns which of
 its windows start in an earlier document elsewhere. The chunk merges the windows of each document into maximal removal intervals. A
@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, chunk_mb: float = 4.0, fan
     """doc_id, n_words, n_removed, spans (removed word intervals, end exclusive) and kept_text of each row."""
     n = parts_for(docs, chunk_mb)
     buckets = min(n, fan)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("c", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def entries(table: pa.Table) -> pa.Table:
         return _met_rows(table.column("c")[0].as_py(), np.unique(_Chunk(table, window, second=False).h1 >> U64(16)), buckets)
