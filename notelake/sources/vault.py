@@ -90,8 +90,12 @@ def scan(spark: SparkSession, *roots: str, max_file_mb: float = 5, pruned: str =
     for root in roots:
         one = spark.read.format("vault").option("path", root).option("pruned", pruned).option("sleepMs", sleep_ms).option("maxFilesPerSec", max_files_per_sec).load()
         out = one if out is None else out.unionByName(one)
-    reason = F.when(~F.col("readable"), "no_permission").when(~F.lower("rel_path").endswith(".md"), "non_md").when(F.col("length") > int(max_file_mb * 1024 * 1024), "too_large")
-    return out.withColumn("skipped", reason)
+    return out.withColumn("skipped", skip_reason(max_file_mb))
+
+
+def skip_reason(max_file_mb: float = 5) -> Column:
+    """Why a listed file is no note; null for notes."""
+    return F.when(~F.col("readable"), "no_permission").when(~F.lower("rel_path").endswith(".md"), "non_md").when(F.col("length") > int(max_file_mb * 1024 * 1024), "too_large")
 
 
 def skip_counts(files: DataFrame) -> DataFrame:
