@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, stats
 from .stats import age_days
 
 
@@ -51,21 +51,12 @@ def scores(notes: DataFrame, as_of: str, s: Standards = Standards()) -> DataFram
 def summary(scored: DataFrame) -> DataFrame:
     """One row: count, mean, upper median, extremes, grade counts, notes below 50 in each dimension."""
     scored = graph.saved(scored.select("total", "grade", *WEIGHTS))
-    at = scored.agg(F.expr("count(*) div 2").alias("k")).first()[0]
-    # The upper median is the (n div 2)-th smallest: counts of distinct totals find it without sorting all rows in one task.
-    hist = scored.groupBy("total").count()
-    ends = hist.orderBy("total").select("total", F.sum("count").over(_running()).alias("upto"))
-    median = ends.where(F.col("upto") > at).agg(F.min("total").alias("median"))
+    n = scored.count()
+    median = F.lit(stats.order_statistic(scored, "total", n // 2)).cast("double").alias("median")  # the upper one
     return scored.agg(
         F.count("*").alias("notes"), F.avg("total").alias("mean"), F.min("total").alias("lowest"), F.max("total").alias("highest"),
-        *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"], *[F.count_if(F.col(k) < 50).alias(f"low_{k}") for k in WEIGHTS],
-    ).join(F.broadcast(median))
-
-
-def _running():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("total").rowsBetween(W.unboundedPreceding, W.currentRow)
+        *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"], *[F.count_if(F.col(k) < 50).alias(f"low_{k}") for k in WEIGHTS], median,
+    )
 
 
 def top_issues(scored: DataFrame, limit: int = 10) -> DataFrame:

@@ -60,3 +60,22 @@ def rollup(notes: DataFrame) -> DataFrame:
     out = n.rollup("vault").agg(*sums)
     # A handful of vaults, one row each.
     return out.join(F.broadcast(tags), F.col("vault").eqNullSafe(F.col("v2")), "left").drop("v2").fillna(0, ["unique_tags"])
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, parts: int = 1024) -> float | None:
+    """The value of a rank (from 0, nulls left out), None beyond the last. Selection by range counts: each pass counts the rows of equal ranges and goes
+    on with the one range that holds the rank, so no task sorts or holds more than the counts of `parts` ranges, and half a dozen passes do."""
+    v = F.col("v")
+    d = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull())
+    n, lo, hi = d.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if rank >= n:
+        return None
+    while lo < hi:
+        at = F.least(F.floor((v - lo) / (hi - lo) * parts), F.lit(parts - 1))
+        ranges = d.groupBy(at.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # `parts` rows at most
+        for r in sorted(ranges):
+            if rank < r.n:
+                break
+            rank -= r.n
+        d, lo, hi = d.where(at == r.part), r.lo, r.hi
+    return lo

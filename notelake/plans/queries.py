@@ -114,12 +114,26 @@ def _m(x: str) -> str:
     return f"cast(round(({x})*1000000) as bigint)"
 
 
-def query(sql: str | None, prelude: str = ""):
+#: Views in which few notes have links, and in which all have many links and tags and are new.
+FEW_LINKS = {"linked": "doc_id % 3 = 0 and doc_id % 5 <> 0"}
+RICH = {"end": " [[note-0]] [[note-1]] [[note-2]] [[note-3]] #one #two", "days": 9}
+
+
+def _as_few_links(sql: str) -> str:
+    return sql.replace("case when doc_id%5=0 then ''", "case when doc_id%5=0 or doc_id%3<>0 then ''")
+
+
+def _as_rich(sql: str) -> str:
+    sql = sql.replace("doc_id%240", f"doc_id%{RICH['days']}")
+    return sql.replace("concat('#',lang,' #',source) end) as content", f"concat('#',lang,' #',source) end, '{RICH['end']}') as content")
+
+
+def query(sql: str | None, prelude: str = "", view_of=lambda x: x):
     def add(f):
         name = f.__name__
         QUERIES[name] = lambda spark, sf: _fixed(f(spark, sf))
         if sql:
-            SQL[name] = _WITH + prelude + sql if not sql.lstrip().lower().startswith("with") and prelude != "raw" else sql
+            SQL[name] = view_of(_WITH) + prelude + sql if not sql.lstrip().lower().startswith("with") and prelude != "raw" else sql
         return f
 
     return add
@@ -129,14 +143,14 @@ def _v2(spark, sf):
     return parse.parse_v2(view(spark, sf))
 
 
-def _links(spark, sf):
-    n = parse.split_frontmatter(view(spark, sf)).withColumn("links", parse.links_v2(F.col("body")))
+def _links(spark, sf, **how):
+    n = parse.split_frontmatter(view(spark, sf, **how)).withColumn("links", parse.links_v2(F.col("body")))
     return n.select("rel_path", "title", "has_frontmatter", "links")
 
 
-def _v1(spark, sf):
+def _v1(spark, sf, **how):
     """The view as one vault."""
-    return parse.parse_v1(view(spark, sf).withColumn("vault", F.lit("notes")))
+    return parse.parse_v1(view(spark, sf, **how).withColumn("vault", F.lit("notes")))
 
 
 @query("select (select count(*) from v2)::bigint notes, (select count(*) from v2 where has_fm)::bigint frontmatter_notes, (select count(*) from links2)::bigint total_links, (select count(*) from res)::bigint resolved_links, (select count(distinct target) from links2 where target not in (select title from v2))::bigint broken_targets, (select count(*) from v2 where rel_path not in (select rel_path from links2) and title not in (select target from res))::bigint orphans")
@@ -673,3 +687,75 @@ def page_links(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     x = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     return x.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"))
+
+
+# On views where these results have rows.
+
+
+@query("select rel_path from v2 where rel_path not in (select rel_path from links2) and title not in (select target from res)", view_of=_as_few_links)
+def orphans_v2_few_links(spark, sf):
+    return graph.orphans_v2(_links(spark, sf, **FEW_LINKS)).select("rel_path")
+
+
+@query("select deg.name, strftime(modified, '%Y-%m-%d') as modified from deg join v1 on v1.name = deg.name where total = 0", view_of=_as_few_links)
+def orphans_v1_few_links(spark, sf):
+    n = _v1(spark, sf, **FEW_LINKS)
+    return graph.degrees(n).where("total = 0").drop("vault").join(n, "name").select("name", F.date_format("modified", "yyyy-MM-dd").alias("modified"))
+
+
+@query("select row_number() over (order by modified desc, deg.name)::bigint as place, deg.name from deg join v1 on v1.name = deg.name where total = 0 order by 1 limit 20", view_of=_as_few_links)
+def orphans_listed_few_links(spark, sf):
+    """The first 20 orphans, last changed first, with their place."""
+    first = export.orphan_rows(_v1(spark, sf, **FEW_LINKS)).limit(20).withColumn("m", -F.unix_micros(F.col("modified").cast("timestamp")))
+    return recommend.numbered(first, "m", "name").select(F.col("number").alias("place"), "name")
+
+
+@query(
+    """select v1.name as "Note Name", wc as "Word Count", array_to_string(list_sort(tags), ', ') as "Tags", strftime(modified, '%Y-%m-%d %H:%M:%S') as "Modified Date", rel_path as "Path"
+  from v1 join deg on deg.name = v1.name where total = 0""",
+    view_of=_as_few_links,
+)
+def orphans_csv(spark, sf):
+    return export.orphans_table(_v1(spark, sf, **FEW_LINKS))
+
+
+@query("select name, grade from qs where total >= 90", _QUAL, _as_rich)
+def quality_excellent_rich(spark, sf):
+    return quality.scores(_v1(spark, sf, **RICH), AS_OF).where("total >= 90").select("name", "grade")
+
+
+@query(
+    r"""select rel_path, concat('## Related', chr(10), '<!-- """
+    + edits.ANCHOR
+    + r""" -->', chr(10), string_agg(concat('- [[', target_title, ']] (', printf('%.2f', round_even(cast(conf as decimal(38,18)), 2)::double), ')'), chr(10) order by rank), chr(10)) as block
+  from rel group by 1""",
+    _PAIRS,
+)
+def related_blocks(spark, sf):
+    return recommend.related_blocks(recommend.AllPairs(_v2(spark, sf)).suggestions()).select("rel_path", F.col("markdown_block").alias("block"))
+
+
+_DIGITS = "round_even(cast({} as decimal(38,18)), 3)::double"
+
+
+@query(
+    f"""select rel_path, rank::bigint as rank, {", ".join(_m(_DIGITS.format(c)) + " as " + n for c, n in (("cs", "content_sim"), ("ts", "title_sim"), ("lo", "link_overlap"), ("raw", "raw_content_sim")))},
+  case when factor < 1 then 'path_penalty=0.90' else '' end as filters, 'quantile' as norm_method
+  from rel join p on p.l = least(rel.rel_path, rel.target_path) and p.r = greatest(rel.rel_path, rel.target_path)""",
+    _PAIRS,
+)
+def suggestion_reasons(spark, sf):
+    d = recommend.AllPairs(_v2(spark, sf)).suggestions().withColumn("why", recommend.reason())
+    parts = [F.col(f"why.{c}").alias(c) for c in ("content_sim", "title_sim", "link_overlap", "raw_content_sim", "norm_method")]
+    return d.select("rel_path", "rank", *parts, F.array_join("why.filters", ",").alias("filters"))
+
+
+@query(
+    """select case when doc_id % 7 = 0 then 'missing' else 'changed' end as reason, count(*)::bigint as conflicts from v2 where doc_id % 7 = 0 or doc_id % 11 = 0 group by 1"""
+)
+def conflict_counts(spark, sf):
+    """Actions for every note, after each seventh note has gone and each eleventh has changed."""
+    n = view(spark, sf).select("doc_id", "rel_path", F.sha2("content", 256).alias("sha256"))
+    items = n.select(F.format_string("act_%04d", "doc_id").alias("id"), F.col("rel_path").alias("target_path"))
+    now = n.where("doc_id % 7 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 11 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    return edits.conflict_summary(edits.conflicts(items, n, now))

@@ -158,21 +158,22 @@ def glob(pattern: str) -> str:
     return "^(?s:" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z") + ")$"
 
 
-def note_view(documents: DataFrame, n: int) -> DataFrame:
-    """Notes made of documents: synthesised front-matter, links and tags around the text; vault = lang, folder = source."""
+def note_view(documents: DataFrame, n: int, linked: str = "doc_id % 5 <> 0", end: str = "", days: int = 240) -> DataFrame:
+    """Notes made of documents: synthesised front-matter, links and tags around the text; vault = lang, folder = source. linked: which notes
+    have links of their own; end: what all notes end with; days: how far back the last changes are spread."""
     i = F.col("doc_id")
     s = lambda c: c.cast("string") if isinstance(c, Column) else F.lit(c)
     cat = lambda *p: F.concat(*map(s, p))
     front = F.when(i % 3 == 0, cat("---\nkeywords: [", F.col("lang"), ", ", F.col("source"), "]\n---\n")).otherwise("")
-    links = F.when(i % 5 == 0, "").otherwise(cat("[[note-", (i * 7 + 3) % n, "]] [[note-", (i * 13 + 5) % (2 * n), "|alias]]\n"))
+    links = F.when(F.expr(linked), cat("[[note-", (i * 7 + 3) % n, "]] [[note-", (i * 13 + 5) % (2 * n), "|alias]]\n")).otherwise("")
     tags = F.when(i % 4 == 0, "").otherwise(cat("#", F.col("lang"), " #", F.col("source")))
     return documents.select(
         i.alias("doc_id"), F.col("lang").alias("vault"), cat(F.col("source"), "/note-", i, ".md").alias("rel_path"), cat("note-", i).alias("title"),
-        F.concat(front, F.coalesce("text", F.lit("")), F.lit("\n"), links, tags).alias("content"),
-        (F.lit("2024-06-30 00:00:00").cast("timestamp_ntz") - F.make_dt_interval((i % 240).cast("int"))).alias("modified"),
+        F.concat(front, F.coalesce("text", F.lit("")), F.lit("\n"), links, tags, F.lit(end)).alias("content"),
+        (F.lit("2024-06-30 00:00:00").cast("timestamp_ntz") - F.make_dt_interval((i % days).cast("int"))).alias("modified"),
     )
 
 
-def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return note_view(docs, docs.count())
+    return note_view(docs, docs.count(), **how)

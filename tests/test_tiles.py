@@ -84,3 +84,14 @@ def test_no_notes_and_one(spark):
     for n in (0, 1):
         p = recommend.AllPairs(corpus(spark, n))
         assert p.pairs(0.0).count() == p.suggestions().count() == 0
+
+
+def test_order_statistics(spark):
+    from notelake.operators import stats
+
+    rnd = random.Random(2)
+    values = [rnd.choice([rnd.random() * 100, 7.5, -3.0, 1e-300 * rnd.random(), 1e9]) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").persist()
+    for rank in (0, 1, 77, 200, 398, 399):
+        assert stats.order_statistic(df, "x", rank, parts=8) == sorted(values)[rank]
+    assert stats.order_statistic(df, "x", 400) is None and stats.order_statistic(df.limit(0), "x", 0) is None
