@@ -21,7 +21,7 @@ TEMPLATE = {
     "storage": {"reports_dir": "reports", "max_run_logs": 50, "max_run_days": 30, "max_total_mb": 200, "compress_runs": False, "auto_prune": True},
     "apply": {"max_wait_sec": 30, "offline_lock_marker": ".nosync", "offline_lock_cleanup": True},
     "apply.git": {"policy": "require_clean", "auto_commit": False},
-    "performance": {"max_mem_mb": 0, "top_terms": 30, "fast_path_max_age_sec": 10},
+    "performance": {"max_mem_mb": 0, "timeout_sec": 0.0, "top_terms": 30, "fast_path_max_age_sec": 10},
     "scan": {"max_file_mb": 5, "sleep_ms": 0, "max_files_per_sec": 0},
     "scoring": {"model": "quantile", "clamp_min": 0.0, "clamp_max": 1.0, "w_content": 0.6, "w_title": 0.3, "w_link": 0.1, "min_related_confidence": 0.3, "merge_confidence": 0.85, "low_confidence": 0.45},
     "filters": {"path_penalty": 0.9},

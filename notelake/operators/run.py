@@ -17,6 +17,7 @@ from notelake.functions.text import round_half_even
 from notelake.sources.vault import contents, notes_of, scan, skip_counts
 
 from . import control, graph, recommend
+from .budget import TimeOver, limited
 from .edits import ANCHOR
 from .export import write_json
 from .index import Snapshot, update
@@ -85,9 +86,18 @@ def report(stats: dict, actions: int, merged: Iterable[dict], low: int, threshol
         yield from ("", f"{t['low']} {threshold}: {low}")
 
 
+def _recommend(notes: DataFrame, c: recommend.Scoring) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Suggestions, metadata, merges (all written), and how many are of low confidence."""
+    pairs = recommend.AllPairs(notes, c)
+    rel = graph.saved(pairs.suggestions())
+    meta, merged = graph.saved(recommend.metadata(notes, rel, c)), graph.saved(recommend.merges(graph.saved(pairs.pairs(c.merge)), c))
+    return rel, meta, merged, recommend.low_confidence(meta, rel, c).first()[0]
+
+
 def run(spark: SparkSession, root: str, out: str, config: dict | None = None, lang: str | None = None) -> dict:
     """Writes health.json, action-items.json, run-summary.json and report.md below out/runs/<run id>, the index below out/index, and
-    returns the run summary. An index younger than fast_path_max_age_sec is used without a scan."""
+    returns the run summary. An index younger than fast_path_max_age_sec is used without a scan. Recommendations that take longer than
+    timeout_sec are given up as a whole, which the summary's downgrades tell."""
     config, began = config or {}, time.perf_counter()
     made, run_id = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ") + "-" + uuid.uuid4().hex[:6]
     c, folder, ms = control.scoring_of(config), Path(out) / "runs" / run_id, {}
@@ -118,13 +128,14 @@ def run(spark: SparkSession, root: str, out: str, config: dict | None = None, la
     downs, limit = [], control.setting(config, "performance", "max_mem_mb")
     if limit and (notes.agg(F.sum(F.size("top_terms"))).first()[0] or 0) * 16 > limit * 1024 * 1024:
         downs.append("recommend_skipped_mem_limit")
-        pairs = recommend.AllPairs(notes.limit(0), c)
-    else:
-        pairs = recommend.AllPairs(notes, c)
-    rel = graph.saved(pairs.suggestions())
-    skip = bool(downs)
-    meta, merged = recommend.metadata(notes.limit(0) if skip else notes, rel, c), recommend.merges(graph.saved(pairs.pairs(c.merge)), c)
-    low = recommend.low_confidence(meta, rel, c).first()[0]
+    if not downs:
+        try:
+            with limited(spark, control.setting(config, "performance", "timeout_sec"), "recommend"):
+                rel, meta, merged, low = _recommend(notes, c)
+        except TimeOver:
+            downs.append("recommend_timeout")
+    if downs:  # the result without any note; none of its jobs has rows to read
+        rel, meta, merged, low = _recommend(spark.createDataFrame([], notes.schema), c)
     at = clock("recommend", at)
     actions = write_items(items(graph.broken(notes), rel, meta, merged, c), {"version": "1", "vault": root, "generated_at": made}, str(folder / "action-items.json"))
     at = clock("plan", at)

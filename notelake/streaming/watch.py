@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from notelake.operators.budget import pool
 from notelake.operators.graph import saved
 from notelake.operators.index import ConcurrentUpdate, Snapshot, update
 from notelake.operators.parse import parse_v2
@@ -83,8 +84,9 @@ def start_watch(spark: SparkSession, root: str, index: str, state: str, interval
     where the last run ended. available_now: ends when the present changes are done."""
 
     def one(batch: DataFrame, n: int) -> None:
-        if not batch.isEmpty():
-            report(apply_changes(batch.sparkSession, index, batch) | {"batch": n})
+        with pool(batch.sparkSession, "watch"):
+            if not batch.isEmpty():
+                report(apply_changes(batch.sparkSession, index, batch) | {"batch": n})
 
     out = changes(spark, root, f"{state}/log").writeStream.option("checkpointLocation", f"{state}/checkpoint").foreachBatch(one)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=f"{interval} seconds")).start()

@@ -59,6 +59,34 @@ def test_memory_guard(spark, root, tmp_path):
     assert got["downgrades"] == ["recommend_skipped_mem_limit"]
 
 
+def test_time_budget(spark, root, tmp_path):
+    """A budget that is too small gives no part of the recommendations, and says so; one that is large enough changes nothing."""
+    full, cut, free = (run.run(spark, str(root), str(tmp_path / f"o{t}"), {"performance": {"timeout_sec": t}}) for t in (300.0, 0.1, 0))
+    kinds = lambda t, s: sorted((i["type"], i["target_path"]) for i in json.loads((tmp_path / f"o{t}" / "runs" / s["run_id"] / "action-items.json").read_text())["items"])
+    assert cut["downgrades"] == ["recommend_timeout"] and full["downgrades"] == free["downgrades"] == []
+    assert {k for k, _ in kinds(0.1, cut)} == {"create_stub_note"} and kinds(300.0, full) == kinds(0, free)
+    assert {k for k, _ in kinds(0, free)} > {"create_stub_note"}
+
+
+def test_jobs_are_cancelled(spark):
+    from pyspark.sql import functions as F
+
+    from notelake.operators.budget import TimeOver, limited, pool
+
+    @F.udf("long")
+    def nap(x):
+        time.sleep(2)
+        return x
+
+    began = time.monotonic()
+    with pytest.raises(TimeOver), limited(spark, 0.5, "nap"):
+        spark.range(64, numPartitions=64).select(nap("id")).collect()
+    assert time.monotonic() - began < 12
+    with limited(spark, 60), pool(spark, "p"):
+        assert spark.range(3).count() == 3 and spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "p"
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None and spark.range(3).count() == 3
+
+
 def test_empty_vault(spark, tmp_path):
     (tmp_path / "v").mkdir()
     got = run.run(spark, str(tmp_path / "v"), str(tmp_path / "out"))
