@@ -4,7 +4,7 @@ Texts are cut into segments at spaces that no token of either tokenizer crosses
 first tokenizer splits there by its pattern, the second has no piece with a space mark after another character), so a segment's tokens are the same
 in every text, and each distinct segment of a chunk is encoded once. Over all segments of a chunk, tokens are the nodes of a bipartite graph, an
 edge for each two that share a byte; union-find gives its components, which are the minimal groups, and the members of a component expand to
-its links. Chunks of documents (dealt by doc_id and text) then send each distinct pair once, with the number of their documents that hold it
+its links. Chunks of documents (dealt by doc_id and text) are encoded once and written as packed rows; each sends each distinct pair once, with the number of their documents that hold it
 linked; Spark adds these up, finds the highest count of each first id, and sends each chunk the counts of its pairs. Beyond `fan` chunks, sums and
 answers go by groups of chunks first, so that no pair has more rows in one task than `fan` or a `fan`-th of the chunks.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import parts_for, ranges
+from .common import checkpoint, packed, parts_for, planes, ranges, unpacked, unplanes
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A space between characters that no tokenizer takes for white space, and another one.
 _CUT = re.compile(r"(?<=[!-~\w])(?= \S)")
 _MARK = "▁"
-_BATCH = 4096
+#: Segments encoded at once, and segments of documents whose links are held at once.
+_BATCH, _LINKS = 4096, 1 << 18
 
 
 def _byte_values() -> dict[str, int]:
@@ -68,11 +70,6 @@ def _second(path: str):
     return t, out, not any(_MARK in p.lstrip(_MARK) for p in pieces)
 
 
-def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-    return np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in ids]]), n
-
-
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Union-find over all edges at once: the smallest node of each node's component."""
     parent = np.arange(n)
@@ -87,41 +84,55 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class _Segments:
-    """Tokens, groups and links of distinct segments; each has a stretch of every flat array."""
+    """Tokens, groups and links of distinct segments; each has a stretch of every flat array. Encoded batch by batch into arrays."""
 
     def __init__(self, segments: list[str], path_a: str, path_b: str):
-        tok_a, bytes_a, *_ = _first(path_a)
-        tok_b, bytes_b, _ = _second(path_b)
-        a_ids, b_ids = [], []
-        for i in range(0, len(segments), _BATCH):
-            part = segments[i : i + _BATCH]
-            a_ids += [e.ids for e in tok_a.encode_batch_fast(part, add_special_tokens=False)]
-            b_ids += tok_b.encode([s[1:] for s in part], num_threads=1)
-        spelt = [s.encode() for s in segments]
-        self.whole = np.fromiter((b"".join([bytes_a[x] for x in a]) == s == b"".join([bytes_b[x] for x in b]) for a, b, s in zip(a_ids, b_ids, spelt, strict=True)), bool, len(segments))
-        a_ids, b_ids = ([x if w else [] for x, w in zip(ids, self.whole, strict=True)] for ids in (a_ids, b_ids))
-        (a, self.n_a), (b, self.n_b) = _lists(a_ids), _lists(b_ids)
-        size = lambda x: np.fromiter(map(len, x), np.int64, len(x))
-        end_a, end_b = np.cumsum(size(bytes_a)[a]), np.cumsum(size(bytes_b)[b])
+        self.paths = path_a, path_b
+        parts = [self._encode(segments[i : i + _BATCH]) for i in range(0, len(segments), _BATCH)] or [self._encode([])]
+        self.whole, a, self.n_a, size_a, b, self.n_b, size_b = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        del parts
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
         # Every stretch between two ends lies in one token of either side: these are the edges.
         ends = np.union1d(end_a, end_b)
-        self.u, self.v = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        group = components(len(a) + len(b), self.u, self.v + len(a))
-        self.a, self.b = a, b
-        self.group_a, self.group_b = group[: len(a)], group[len(a) :]
-        own = np.repeat(np.arange(len(segments)), self.n_a)
-        self.n_links = np.bincount(own[self.u], minlength=len(segments)) if len(a) else np.zeros(len(segments), np.int64)
-        roots = np.flatnonzero(self.group_a == np.arange(len(a)))
-        self.n_groups = np.bincount(own[roots], minlength=len(segments)) if len(a) else np.zeros(len(segments), np.int64)
+        u, v = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        group = components(len(a) + len(b), u, v + len(a))
+        self.a, self.b, self.group_a, self.group_b = a, b, group[: len(a)], group[len(a) :]
+        own, n = np.repeat(np.arange(len(segments)), self.n_a), len(segments)
+        self.n_links = np.bincount(own[u], minlength=n)
+        self.n_groups = np.bincount(own[np.flatnonzero(self.group_a == np.arange(len(a)))], minlength=n)
         self.link_at = np.cumsum(self.n_links) - self.n_links
-        self.pair = a[self.u] << 32 | b[self.v] if len(a) else a
+        #: Distinct pairs, and the pair of each link.
+        self.pairs, code = np.unique(a[u].astype(np.int64) << 32 | b[v], return_inverse=True)
+        self.code = code.astype(np.int32)
+
+    def _encode(self, segments: list[str]):
+        """Whether the tokens spell each segment, and ids, numbers and bytes of both sides, of those that they spell."""
+        (tok_a, bytes_a), (tok_b, bytes_b, _) = _first(self.paths[0]), _second(self.paths[1])
+        ids = [[e.ids for e in tok_a.encode_batch_fast(segments, add_special_tokens=False)], tok_b.encode([s[1:] for s in segments], num_threads=1)] if segments else [[], []]
+        spelt = lambda of, x: b"".join([of[i] for i in x])
+        whole = [spelt(bytes_a, x) == s.encode() == spelt(bytes_b, y) for s, x, y in zip(segments, *ids, strict=True)]
+        out = [np.array(whole, bool)]
+        for of, own in zip((bytes_a, bytes_b), ids, strict=True):
+            own = [x if w else [] for x, w in zip(own, whole, strict=True)]
+            flat = [i for x in own for i in x]
+            out += [np.array(flat, np.int32), np.fromiter(map(len, own), np.int64, len(own)), np.fromiter((len(of[i]) for i in flat), np.int32, len(flat))]
+        return out
 
     def texts(self) -> list[bytes]:
         """Groups of each segment, written out."""
-        cut = lambda ids, group: np.split(ids, np.flatnonzero(np.diff(group)) + 1) if len(ids) else []
-        parts = [f"{','.join(map(str, x.tolist()))}|{','.join(map(str, y.tolist()))}" for x, y in zip(cut(self.a, self.group_a), cut(self.b, self.group_b), strict=True)]
-        at = np.append(0, np.cumsum(self.n_groups))
-        return [";".join(parts[at[i] : at[i + 1]]).encode() for i in range(len(at) - 1)]
+        at_a, at_b = np.append(0, np.cumsum(self.n_a)), np.append(0, np.cumsum(self.n_b))
+        out = []
+        for lo in range(0, len(self.n_a), _BATCH):
+            hi = min(lo + _BATCH, len(self.n_a))
+            sides = []
+            for ids, group, at in ((self.a, self.group_a, at_a), (self.b, self.group_b, at_b)):
+                own = ids[at[lo] : at[hi]].tolist()
+                cut = np.flatnonzero(np.diff(group[at[lo] : at[hi]], prepend=-1)).tolist()
+                sides.append([",".join(map(str, own[i:j])) for i, j in zip(cut, [*cut[1:], len(own)], strict=True)])
+            parts = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+            at = np.append(0, np.cumsum(self.n_groups[lo:hi])).tolist()
+            out += [";".join(parts[i:j]).encode() for i, j in zip(at, at[1:], strict=False)]
+        return out
 
 
 class _Chunk:
@@ -130,75 +141,89 @@ class _Chunk:
     def __init__(self, table: pa.Table, path_a: str, path_b: str):
         known: dict[str, int] = {}
         cut = _CUT.split if _second(path_b)[2] else lambda t: [t]
-        docs = [np.fromiter((known.setdefault(s, len(known)) for s in cut(f" {t}")), np.int64) if t else np.zeros(0, np.int64) for t in table.column("text").to_pylist()]
+        docs = [np.fromiter((known.setdefault(s, len(known)) for s in cut(f" {t.as_py()}")), np.int32) if t.as_py() else np.zeros(0, np.int32) for c in table.column("text").chunks for t in c]
         self.seg = _Segments(list(known), path_a, path_b)
         self.docs = [d if self.seg.whole[d].all() else d[:0] for d in docs]
 
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all distinct pairs of each document: its index, the pair, and how often it is linked there."""
-        n = np.fromiter((len(d) for d in self.docs), np.int64, len(self.docs))
-        flat = np.concatenate([np.zeros(0, np.int64), *self.docs])
+    def links(self):
+        """For some documents after another: index, pair (as its position in seg.pairs) and number of links, of all distinct pairs of each."""
+        size, lo = 0, 0
+        for i, d in enumerate(self.docs):
+            size += len(d)
+            if size >= _LINKS or i + 1 == len(self.docs):
+                yield self._links(lo, i + 1)
+                size, lo = 0, i + 1
+
+    def _links(self, lo: int, hi: int):
+        n = np.fromiter(map(len, self.docs[lo:hi]), np.int64, hi - lo)
         # The distinct segments of a document first, then their links.
-        at, times = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(self.seg.whole)) + flat, return_counts=True)
-        doc, seg = np.divmod(at, max(1, len(self.seg.whole)))
-        own = ranges(self.seg.link_at[seg], self.seg.n_links[seg])
-        doc, times = np.repeat(doc, self.seg.n_links[seg]), np.repeat(times, self.seg.n_links[seg])
-        codes, code = np.unique(self.seg.pair, return_inverse=True)
-        key, inv = np.unique(doc * max(1, len(codes)) + code[own], return_inverse=True)
+        segments = max(1, len(self.seg.whole))
+        at, times = np.unique(np.repeat(np.arange(lo, hi), n) * segments + np.concatenate([np.zeros(0, np.int32), *self.docs[lo:hi]]), return_counts=True)
+        doc, seg = np.divmod(at, segments)
+        k = self.seg.n_links[seg]
+        code = self.seg.code[ranges(self.seg.link_at[seg], k)]
+        pairs = max(1, len(self.seg.pairs))
+        key, inv = np.unique(np.repeat(doc, k) * pairs + code, return_inverse=True)
         total = np.zeros(len(key), np.int64)
-        np.add.at(total, inv, times)
-        doc, code = np.divmod(key, max(1, len(codes)))
-        return doc, codes[code], total
+        np.add.at(total, inv, np.repeat(times, k))
+        return *np.divmod(key, pairs), total
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk_mb: float = 8.0, fan: int = 1024) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk_mb: float = 4.0, fan: int = 1024) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
     n = parts_for(docs, chunk_mb)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("c", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
-    def pairs(table: pa.Table) -> pa.Table:
-        _, pair, _ = _Chunk(table, path_a, path_b).links()
-        pair, count = np.unique(pair, return_counts=True)
-        return pa.table({"c": pa.array(np.full(len(pair), table.column("c")[0].as_py()), pa.int32()), "pair": pa.array(pair, pa.int64()), "n": pa.array(count, pa.int64())})
-
-    def finish(table: pa.Table, counts: pa.Table) -> pa.Table:
+    def encoded(table: pa.Table) -> pa.Table:
         x = _Chunk(table, path_a, path_b)
-        doc, pair, times = x.links()
-        known, n_docs, best = (counts.column(f).to_numpy() for f in ("pair", "n", "best"))
-        order = np.argsort(known)
-        at = order[np.searchsorted(known[order], pair)] if len(pair) else np.zeros(0, np.int64)
-        if not np.array_equal(known[at], pair):
-            raise ValueError("a chunk's pairs have no counts")
-        rows = len(x.docs)
-        total = lambda w: np.bincount(doc, weights=w, minlength=rows).astype(np.int64) if len(doc) else np.zeros(rows, np.int64)
-        texts, s = x.seg.texts(), x.seg
-        hashes = []
+        texts, seg, hashes = x.seg.texts(), x.seg, []
         for d in x.docs:
             h = hashlib.sha256()
             for i in range(0, len(d), _BATCH):
                 h.update(b";" * (i > 0) + b";".join([texts[j] for j in d[i : i + _BATCH].tolist()]))
             hashes.append(h.hexdigest() if len(d) else "")
         each = lambda of: pa.array([int(of[d].sum()) for d in x.docs], pa.int64())
-        return pa.table({
-            "doc_id": table.column("doc_id").cast(pa.int64()), "n_a": each(s.n_a), "n_b": each(s.n_b), "n_groups": each(s.n_groups), "n_links": each(s.n_links),
-            "n_best": pa.array(total(times * best[at]), pa.int64()), "count_sum": pa.array(_sums(doc, times * n_docs[at], rows), pa.int64()), "groups_sha256": pa.array(hashes, pa.string()),
+        parts = [np.zeros((3, 0), np.int64), *[np.stack(p) for p in x.links()]]
+        doc, pair, times = np.concatenate(parts, axis=1)
+        at = pa.array(np.searchsorted(doc, np.arange(len(x.docs) + 1)).astype(np.int32))
+        rows = pa.table({
+            "doc_id": table.column("doc_id").cast(pa.int64()), "n_a": each(seg.n_a), "n_b": each(seg.n_b), "n_groups": each(seg.n_groups), "n_links": each(seg.n_links), "groups_sha256": pa.array(hashes, pa.string()),
+            "pair": pa.ListArray.from_arrays(at, pa.array(pair.astype(np.int32))), "times": pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32))),
         })
+        n = np.bincount(pair, minlength=len(seg.pairs))  # 0: pairs of segments whose texts aren't spelt as a whole
+        data = {"pair": [planes(seg.pairs)], "n": [planes(n)], "rows": [packed(rows)]}
+        return pa.table({"c": pa.array([table.column("c")[0].as_py()], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in data.items()}})
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, pair, n in zip(*(batch.column(k).to_pylist() for k in ("c", "pair", "n")), strict=True):
+                pair, n = unplanes(pair, np.int64), unplanes(n, np.int64)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"c": pa.array(np.full(len(some), c), pa.int32()), "pair": pa.array(pair[some]), "n": pa.array(n[some])})
+
+    def finish(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        pairs, t = unplanes(chunk.column("pair")[0].as_py(), np.int64), unpacked(chunk.column("rows")[0].as_py())
+        n_docs, best = np.zeros((2, len(pairs)), np.int64)
+        at = np.searchsorted(pairs, counts.column("pair").to_numpy())
+        n_docs[at], best[at] = counts.column("n").to_numpy(), counts.column("best").to_numpy()
+        pair, times = (t.column(k).combine_chunks().flatten().to_numpy() for k in ("pair", "times"))
+        if not n_docs[pair].all():
+            raise ValueError("a chunk's pairs have no counts")
+        at = t.column("pair").combine_chunks().offsets.to_numpy()
+        sums = lambda of: np.diff(np.append(0, np.cumsum(times * of[pair]))[at])
+        out = t.drop(["pair", "times"]).append_column("n_best", pa.array(sums(best))).append_column("count_sum", pa.array(sums(n_docs)))
+        return out.select([f.split()[0] for f in SCHEMA.split(", ")])
 
-    sent = base.groupBy("c").applyInArrow(pairs, "c int, pair long, n long")
+    chunks = checkpoint(base.groupBy("c").applyInArrow(encoded, "c int, pair binary, n binary, rows binary"))
+    sent = chunks.select("c", "pair", "n").mapInArrow(listed, "c int, pair long, n long")
     if n > fan:
         own = sent.withColumn("g", F.floor(F.col("c") / fan))
         part = own.groupBy("g", "pair").agg(F.sum("n").alias("n"))
         back = own.select("c", "g", "pair").join(part.select("g", "pair").join(_counted(part), "pair"), ["g", "pair"]).drop("g")
     else:
         back = sent.select("c", "pair").join(_counted(sent), "pair")
-    return base.groupBy("c").cogroup(back.select("c", "pair", "n", "best").groupBy("c")).applyInArrow(finish, SCHEMA)
-
-
-def _sums(doc: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Exact sums of long values for each row; doc is sorted."""
-    pre = np.append(0, np.cumsum(values))
-    return pre[np.searchsorted(doc, np.arange(rows), side="right")] - pre[np.searchsorted(doc, np.arange(rows))]
+    return chunks.select("c", "pair", "rows").groupBy("c").cogroup(back.select("c", "pair", "n", "best").groupBy("c")).applyInArrow(finish, SCHEMA)
 
 
 def _counted(pairs: DataFrame) -> DataFrame:

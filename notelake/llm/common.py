@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +174,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def planes(a: np.ndarray) -> bytes:
     """Bytes of a fixed-width array, plane by plane: sorted or small numbers compress well in shuffles."""
+    if not len(a):
+        return b""
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
 
 
@@ -181,6 +184,18 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(w, -1).T).view(dtype).ravel()
 
 
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links, undirected, to (node, component): the smallest node reachable.
 
