@@ -1,96 +1,111 @@
-"""Vaults of Markdown notes: a Python data source that lists a directory tree, the contents of listed notes, and a note view over document tables."""
+"""Vaults of Markdown notes: listing of folder trees by tasks, the contents of listed notes, and a note view over document tables.
+
+A scan goes breadth-first: folders that are still to be listed are the rows of a frontier, dealt evenly to tasks. A task lists folders and goes on with
+those below until it has listed `share` of them; what is left is the next frontier. So a deep or lopsided tree is shared, each folder is
+listed once, and a small vault takes one job. Times and sizes that don't come with a listing are asked for in a further step, dealt by the number of files.
+Nothing is opened, and hidden names other than pruned ones are listed, which Spark's file sources leave out.
+"""
 
 from __future__ import annotations
 
-import os
 import time
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-FILES = "vault string, root string, rel_path string, mtime double, length long, readable boolean"
-_BATCH = 1 << 23
-
-
-class _Part(InputPartition):
-    def __init__(self, folder: str, deep: bool, share: int):
-        self.folder, self.deep, self.share = folder, deep, share
 
+from notelake.operators.graph import saved
 
-class _Reader(DataSourceReader):
-    """The driver lists the folders of the two upper levels only. A task walks one folder, and stats its share of the files there."""
+from .places import Local, Store, place_of
 
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.pruned = set(filter(None, options.get("pruned", ".obsidian").split(",")))
-        self.shares = int(options.get("shares", "4"))
-        self.pause, self.rate = float(options.get("sleepms", "0")) / 1000, float(options.get("maxfilespersec", "0"))
-
-    def _folders(self, folder: str) -> list[str]:
-        try:
-            return sorted(e.path for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False) and e.name not in self.pruned)
-        except OSError:
-            return []
-
-    def partitions(self) -> list[_Part]:
-        flat, deep = [self.root], []
-        for top in self._folders(self.root):
-            flat.append(top)
-            deep += self._folders(top)
-        return [_Part(f, d, k) for d, folders in ((False, flat), (True, deep)) for f in folders for k in range(self.shares)]
-
-    def read(self, part: _Part) -> Iterator[tuple]:
-        vault, began, done = os.path.basename(os.path.abspath(self.root)), time.monotonic(), 0
-        for top, dirs, names in os.walk(part.folder):
-            dirs[:] = sorted(d for d in dirs if d not in self.pruned) if part.deep else []
-            for n in sorted(names):
-                if zlib.crc32(n.encode("utf-8", "surrogateescape")) % self.shares != part.share:
-                    continue
-                path = os.path.join(top, n)
-                rel = os.path.relpath(path, self.root).replace(os.sep, "/")
-                try:
-                    st = os.stat(path)
-                    yield vault, self.root, rel, float(st.st_mtime), st.st_size, True
-                except OSError:
-                    yield vault, self.root, rel, None, None, False
+FILES = "vault string, root string, rel_path string, mtime double, length long, readable boolean"
+_BATCH = 1 << 23
+#: Opens a root; another one than place_of reaches stores that Arrow has no scheme for.
+Places = Callable[[str], Local | Store]
+
+
+def throttle(done: int, began: float, pause: float, rate: float) -> None:
+    """Waits after each file: a fixed pause, or until the task is no faster than its rate."""
+    if pause > 0:
+        time.sleep(pause)
+    elif rate > 0 and (ahead := done / rate - (time.monotonic() - began)) > 0:
+        time.sleep(ahead)
+
+
+def _walked(batches: Iterator[pa.RecordBatch], places: Places, pruned: set[str], share: int) -> Iterator[tuple]:
+    """(root, path, time, size, whether it is a folder that is still to be listed) below the folders of the batches."""
+    done = 0
+    for b in batches:
+        left = list(zip(b.column("root").to_pylist(), b.column("rel_path").to_pylist(), strict=True))[::-1]
+        while left:
+            root, folder = left.pop()
+            if done >= share:
+                yield root, folder, None, None, True
+                continue
+            done += 1
+            try:
+                for name, is_folder, mtime, size in places(root).listed(folder):
+                    path = f"{folder}/{name}" if folder else name
+                    if not is_folder:
+                        yield root, path, mtime, size, False
+                    elif name not in pruned:
+                        left.append((root, path))
+            except OSError:
+                continue  # a folder that can't be read, or has gone
+
+
+def _frames(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    some = []
+    for r in rows:
+        some.append(r)
+        if len(some) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+
+
+def listing(spark: SparkSession, roots: list[str], pruned: set[str], places: Places = place_of, share: int = 64) -> DataFrame:
+    """root, rel_path, mtime, length (null where they have to be asked for) of all files below the roots."""
+    names, types = ["root", "rel_path", "mtime", "length", "folder"], [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_()]
+    left, n, out = spark.createDataFrame([(r, "") for r in roots], "root string, rel_path string"), len(roots), None
+    most = 4 * spark.sparkContext.defaultParallelism
+    while n:
+        found = left.repartition(min(n, most)).mapInArrow(lambda b: _frames(_walked(b, places, pruned, share), names, types), "root string, rel_path string, mtime double, length long, folder boolean")
+        found = saved(found)
+        out = found if out is None else out.unionByName(found)
+        left = found.where("folder").select("root", "rel_path")
+        n = left.count()
+    return out.where("not folder").drop("folder")
+
+
+def scan(
+    spark: SparkSession, *roots: str, max_file_mb: float = 5, pruned: str = ".obsidian", sleep_ms: float = 0, max_files_per_sec: float = 0, places: Places = place_of, share: int = 64
+) -> DataFrame:
+    """All files of one or more vaults, with the reason why a file is skipped (null for notes). Names, sizes and times only. pruned: folder names;
+    max_files_per_sec: of a task."""
+    files = listing(spark, list(roots), set(filter(None, pruned.split(","))), places, share)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        began, done = time.monotonic(), 0
+        for b in batches:
+            for root, path, mtime, size in zip(*(b.column(c).to_pylist() for c in ("root", "rel_path", "mtime", "length")), strict=True):
+                vault, readable = root.rstrip("/").rpartition("/")[2], True
+                if mtime is None or size is None:
+                    try:
+                        mtime, size = places(root).stat(path)
+                    except OSError:
+                        mtime = size = None
+                        readable = False
                 done += 1
-                self._throttle(done, began)
-
-    def _throttle(self, done: int, began: float) -> None:
-        """Waits after each file: a fixed pause, or until the task is no faster than its rate."""
-        if self.pause > 0:
-            time.sleep(self.pause)
-        elif self.rate > 0 and (ahead := done / self.rate - (time.monotonic() - began)) > 0:
-            time.sleep(ahead)
-
-
-class VaultSource(DataSource):
-    """format("vault"): options path, pruned (directory names), shares (tasks a folder), sleepMs and maxFilesPerSec (of a task). Hidden names other
-    than pruned ones are listed, which Spark's file sources leave out. Nothing is opened."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "vault"
-
-    def schema(self) -> str:
-        return FILES
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
-
+                throttle(done, began, sleep_ms / 1000, max_files_per_sec)
+                yield vault, root, path, mtime, size, readable
 
-def scan(spark: SparkSession, *roots: str, max_file_mb: float = 5, pruned: str = ".obsidian", sleep_ms: float = 0, max_files_per_sec: float = 0) -> DataFrame:
-    """All files of one or more vaults, with the reason why a file is skipped (null for notes). Names, sizes and times only."""
-    spark.dataSource.register(VaultSource)
-    out = None
-    for root in roots:
-        one = spark.read.format("vault").option("path", root).option("pruned", pruned).option("sleepMs", sleep_ms).option("maxFilesPerSec", max_files_per_sec).load()
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("skipped", skip_reason(max_file_mb))
+    names, types = ["vault", "root", "rel_path", "mtime", "length", "readable"], [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_()]
+    n = min(files.count() // 1000 + 1, 4 * spark.sparkContext.defaultParallelism)
+    rows = files.repartition(n).mapInArrow(lambda b: _frames(asked(b), names, types), FILES)
+    return saved(rows).withColumn("skipped", skip_reason(max_file_mb))
 
 
 def skip_reason(max_file_mb: float = 5) -> Column:
@@ -103,7 +118,7 @@ def skip_counts(files: DataFrame) -> DataFrame:
     return files.agg(*[F.count_if(F.col("skipped") == k).alias(k) for k in ("non_md", "too_large", "no_permission")])
 
 
-def contents(files: DataFrame) -> DataFrame:
+def contents(files: DataFrame, places: Places = place_of) -> DataFrame:
     """Listed notes that aren't skipped, with their bytes. A file that has gone or can't be read since is left out. Only these files are opened, a few MB
     of them at a time."""
     listed = files.where("skipped is null").select("vault", "root", "rel_path", "mtime", "length")
@@ -114,8 +129,7 @@ def contents(files: DataFrame) -> DataFrame:
             at, data, size = [], [], 0
             for i, (root, rel) in enumerate(zip(b.column("root").to_pylist(), b.column("rel_path").to_pylist(), strict=True)):
                 try:
-                    with open(os.path.join(root, rel), "rb") as f:
-                        data.append(f.read())
+                    data.append(places(root).read(rel))
                 except OSError:
                     continue
                 at.append(i)
@@ -134,10 +148,10 @@ def _rows(b: pa.RecordBatch, at: list[int], data: list[bytes], names: list[str])
     return pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=names)
 
 
-def notes_of(files: DataFrame) -> DataFrame:
+def notes_of(files: DataFrame, places: Places = place_of) -> DataFrame:
     """Notes with decoded content (malformed UTF-8 replaced), title, digest and times."""
     name = F.element_at(F.split("rel_path", "/"), -1)
-    return contents(files).select(
+    return contents(files, places).select(
         "vault", "rel_path", F.regexp_replace(name, r"(?i)\.md$", "").alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("mtime"), F.timestamp_micros((F.col("mtime") * 1000000).cast("long")).alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
     )

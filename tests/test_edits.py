@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,15 +133,22 @@ def test_a_crash_keeps_the_index(spark, tmp_path):
     assert s.read().count() == 4 and len([x for x in os.listdir(tmp_path / "index") if x.startswith("base-")]) == 2
 
 
-def test_scan_throttle(monkeypatch, tmp_path):
+def test_scan_throttle(monkeypatch):
     naps = []
     monkeypatch.setattr(vault.time, "sleep", naps.append)
+    monkeypatch.setattr(vault.time, "monotonic", lambda: 100.0)
+    for done in (1, 2, 3):
+        vault.throttle(done, 100.0, 0.002, 0)
+        vault.throttle(done, 100.0, 0, 2.0)
+        vault.throttle(done, 90.0, 0, 2.0)
+    assert naps == [0.002, 0.5, 0.002, 1.0, 0.002, 1.5]
+
+
+def test_a_throttled_scan_takes_its_time(spark, tmp_path):
     for n in ("a.md", "b.md", "c.txt"):
         (tmp_path / n).write_text("x")
-    for options, least in (({"sleepms": "2"}, 0.002), ({"maxfilespersec": "1"}, 0.5)):
-        naps.clear()
-        r = vault._Reader({"path": str(tmp_path), "shares": "1"} | options)
-        assert sum(len(list(r.read(p))) for p in r.partitions()) == 3 and len(naps) == 3 and min(naps) >= least
+    began = time.monotonic()
+    assert vault.scan(spark, str(tmp_path), max_files_per_sec=2).count() == 3 and time.monotonic() - began > 1.4
 
 
 def test_configuration(tmp_path):
