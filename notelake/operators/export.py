@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import json
-import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.sources.document import write_document
+
 from . import graph, quality, stats
 from .edits import write_atomic
 
@@ -91,16 +90,8 @@ TABLES = {"notes": notes_table, "orphans": orphans_table, "tags": tags_table, "l
 
 
 def write_csv_file(rows: DataFrame, path: str) -> int:
-    """One CSV file; rows come to the driver one partition at a time, in order. For tables beyond one file, use write_csv."""
-    tmp, n = Path(f"{path}.{uuid.uuid4().hex[:6]}"), 0
-    with open(tmp, "w", encoding="utf-8", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(rows.columns)
-        for r in rows.toLocalIterator():
-            w.writerow(r)
-            n += 1
-    os.replace(tmp, path)
-    return n
+    """One CSV file in the order of the rows, written by the tasks."""
+    return write_document(rows, path, kind="csv")
 
 
 def analysis(notes: DataFrame, as_of: str, top: int = 20, tags: int = 50) -> dict:
@@ -116,14 +107,10 @@ def analysis(notes: DataFrame, as_of: str, top: int = 20, tags: int = 50) -> dic
 
 
 def write_analysis(notes: DataFrame, as_of: str, path: str) -> None:
-    """meta, statistics and all_notes in one document; notes are streamed to the file."""
-    tmp = Path(f"{path}.{uuid.uuid4().hex[:6]}")
-    with open(tmp, "w", encoding="utf-8", newline="\n") as f:
-        f.write('{"meta": ' + json.dumps({"as_of": as_of}) + ', "statistics": ' + json.dumps(analysis(notes, as_of), ensure_ascii=False, default=str) + ', "all_notes": [')
-        for i, line in enumerate(notes_rows(notes).orderBy("name").toJSON().toLocalIterator()):
-            f.write(("," if i else "") + "\n  " + line)
-        f.write("\n]}\n")
-    os.replace(tmp, path)
+    """meta, statistics and all_notes in one document; notes are written by the tasks."""
+    head = '{"meta": ' + json.dumps({"as_of": as_of}) + ', "statistics": ' + json.dumps(analysis(notes, as_of), ensure_ascii=False, default=str) + ', "all_notes": [\n  '
+    rows = notes_rows(notes).orderBy("name", "vault")
+    write_document(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")), path, head=head, between=",\n  ", tail="\n]}\n")
 
 
 def quality_report(notes: DataFrame, as_of: str, top: int = 10) -> str:

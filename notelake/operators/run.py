@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import round_half_even
+from notelake.sources.document import write_document
 from notelake.sources.vault import contents, notes_of, scan, skip_counts
 
 from . import control, graph, recommend
@@ -58,19 +58,12 @@ def items(broken: DataFrame, rel: DataFrame, meta: DataFrame, merged: DataFrame,
 
 
 def write_items(rows: DataFrame, head: dict, path: str) -> int:
-    """One JSON document; the rows come to the driver one partition at a time and go straight to the file."""
-    tmp, n = Path(f"{path}.{uuid.uuid4().hex[:6]}"), 0
-    with open(tmp, "w", encoding="utf-8", newline="\n") as f:
-        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "items": [')
-        for r in rows.orderBy("number").drop("number").toLocalIterator():
-            row = r.asDict() | {"reason": json.loads(r.reason), "payload": json.loads(r.payload), "dependencies": []}
-            f.write(("," if n else "") + "\n  " + json.dumps(row, ensure_ascii=False))
-            n += 1
-        f.write("\n]}\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, path)
-    return n
+    """One JSON document; the items are written by the tasks, in the order of their numbers."""
+    plain = [c for c in rows.columns if c not in ("number", "reason", "payload")]
+    own = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+    line = F.concat(F.expr("substring(own, 1, length(own) - 1)"), F.lit(', "reason": '), "reason", F.lit(', "payload": '), "payload", F.lit(', "dependencies": []}'))
+    lines = rows.orderBy("number").withColumn("own", own).select(line.alias("line"))
+    return write_document(lines, path, head=json.dumps(head, ensure_ascii=False)[:-1] + ', "items": [\n  ', between=",\n  ", tail="\n]}\n")
 
 
 def report(stats: dict, actions: int, merged: Iterable[dict], low: int, threshold: float, vault: str, made: str, lang: str = "en") -> Iterator[str]:
