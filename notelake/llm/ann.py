@@ -11,7 +11,8 @@ shards of equal rows, so no task holds a whole hot list; a query visits a shard
 bound that the ones before it left, and only its best k + 1 of the shard become rows. The queries of a shard are cut into blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-than the most common one (ties: the longer), nor rows with a null id; repeated rows of one id and vector count once; fewer candidates than k are all returned.
+than the most common one (ties: the longer), nor rows with a null id; repeated rows of one id and vector count once; fewer candidates than k are all returned; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 _COLS, _EPS, _BLOCK, _SHARD_BYTES = 16, 2.1, 4096, 8_000_000
+#: Rows that are broadcast at most.
+_SMALL = 100_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -161,14 +164,14 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "lists", "qid", "v"])
 
     probed = qclasses.mapInArrow(probe, "shard int, lists array<int>, qid long, v array<double>")
-    loads = np.zeros(shards, np.int64)
-    for r in probed.groupBy("shard").count().collect():  # at most one row a shard
-        loads[r[0]] = r[1]
-    nq_col = F.array(*map(F.lit, np.maximum(1, -(-loads // _BLOCK)).tolist()))
-    place = F.array(*map(F.lit, starts.tolist()))[F.col("list")] + F.pmod(F.xxhash64("cid"), F.array(*map(F.lit, np.maximum(1, sizes).tolist()))[F.col("list")])
-    left = placed.withColumn("shard", F.floor(place / rows_a_shard).cast("int"))
-    left = left.select("shard", F.explode(F.sequence(F.lit(0), (nq_col[F.col("shard")] - 1).cast("int"))).alias("j"), "list", "cid", "v", "ids")
-    right = probed.select("shard", F.pmod(F.xxhash64("qid"), nq_col[F.col("shard")]).cast("int").alias("j"), "lists", "qid", "v")
+    # Queries of a shard are searched in blocks; a shard's rows go to each of its blocks.
+    asking = probed.groupBy("shard").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("of"))
+    asking = F.broadcast(asking) if shards <= _SMALL else asking  # at most one row a shard
+    by_list = lambda x: F.array(*map(F.lit, x.tolist()))[F.col("list")]  # noqa: E731  max_lists numbers
+    place = by_list(starts) + F.pmod(F.xxhash64("cid"), by_list(np.maximum(1, sizes)))
+    left = placed.withColumn("shard", F.floor(place / rows_a_shard).cast("int")).join(asking, "shard")
+    left = left.select("shard", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("j"), "list", "cid", "v", "ids")
+    right = probed.join(asking, "shard").select("shard", F.pmod(F.xxhash64("qid"), F.col("of")).cast("int").alias("j"), "lists", "qid", "v")
 
     def search(mine: pa.Table, asking: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
