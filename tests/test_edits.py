@@ -22,22 +22,39 @@ TEXTS = [
 ]
 
 
-def test_columns_equal_functions(spark):
+#: What an edit makes of TEXTS[i], where it isn't the text itself.
+WANT = {
+    "removed": {7: 'a\nrest\n', 8: '\nx', 9: 't', 10: '# One\ntext\n', 13: 'z'},
+    "bare": {3: '---\n---\nbody\n', 4: '---\nother: 1\n- item\n---\nB'},
+    "renamed": {14: '[[new $0]] [[new $0|x]] [[Old]] [[new $0#h|y#z]] [[a|old]] [[]] [[[new $0]]] [[new $0#h]] $1 \\ [[c]]'},
+    "fields": {0: '---\nkeywords:\n  - k\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---', 1: '---\nkeywords:\n  - k\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---\nplain', 3: '---\nkeywords: [a]\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---\nbody\n', 4: '---\nkeywords:\n  - a\n  - b\n\n  deep: x\nother: 1\n- item\naliases: z\n---\nB', 5: '---\nkeywords:\n  - k\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---\n---\nno end\n', 6: '---\nkeywords:\n  - k\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---\n', 14: '---\nkeywords:\n  - k\naliases:\n  - q\\"uote\n  - "a: b"\n  - "c#d"\n---\n[[old]] [[old|x]] [[Old]] [[ old.MD #h|y#z]] [[a|old]] [[]] [[[old]]] [[old#h]] $1 \\ [[b]]'},
+}
+
+
+def test_columns(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
     fields = {"keywords": ["k"], "aliases": ['q"uote', "a: b", "c#d"], "related": []}
     names = {"old": "new $0", "b": "c"}
     cols = {
-        "removed": (edits.remove_block(F.col("t")), lambda t: edits.without_block(t)),
-        "added": (edits.append_block(F.col("t"), F.lit(edits.ANCHOR), F.lit(f"{MARK}\n- z\n")), lambda t: edits.with_block(t, f"{MARK}\n- z\n")),
-        "fields": (edits.add_fields(F.col("t"), {k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in fields.items()}), lambda t: edits.with_fields(t, fields)),
-        "bare": (edits.remove_keys(F.col("t"), ["keywords", "aliases"]), lambda t: edits.without_keys(t, ["keywords", "aliases"])),
-        "renamed": (edits.rename_links(F.col("t"), F.create_map(*[F.lit(x) for kv in names.items() for x in kv])), lambda t: edits.with_renames(t, names)),
-    }
-    for r in df.select("t", *[c.alias(k) for k, (c, _) in cols.items()]).collect():
-        for k, (_, f) in cols.items():
-            assert r[k] == f(r.t), (k, r.t)
-    assert edits.with_renames(TEXTS[-1], names) == "[[new $0]] [[new $0|x]] [[Old]] [[new $0#h|y#z]] [[a|old]] [[]] [[[new $0]]] [[new $0#h]] $1 \\ [[c]]"
-    assert edits.without_block(TEXTS[7]) == "a\nrest\n" and edits.without_keys(TEXTS[4], ["keywords"]) == "---\nother: 1\n- item\naliases: z\n---\nB"
+        "removed": edits.remove_block(F.col("t")), "added": edits.append_block(F.col("t"), F.lit(edits.ANCHOR), F.lit(f"{MARK}\n- z\n")),
+        "fields": edits.add_fields(F.col("t"), {k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in fields.items()}),
+        "bare": edits.remove_keys(F.col("t"), ["keywords", "aliases"]), "renamed": edits.rename_links(F.col("t"), F.create_map(*[F.lit(x) for kv in names.items() for x in kv])),
+    }
+    got = df.select("i", "t", *[c.alias(k) for k, c in cols.items()]).collect()
+    for r in got:
+        assert r.added == (r.t if edits.ANCHOR in r.t else r.t + ("" if r.t.endswith("\n") else "\n") + f"{MARK}\n- z\n")
+        for k in ("removed", "bare", "renamed"):
+            assert r[k] == WANT[k].get(r.i, r.t), (k, r.t)
+        if r.i in WANT["fields"]:
+            assert r.fields == WANT["fields"][r.i]
+    # The same edits on the texts of files, and the inverse ones.
+    files = edits.edited(spark, [{"text": r.t, "fields": fields} for r in got])
+    assert [t for t, _ in files] == [r.fields for r in got] and all("related" not in k for _, k in files)
+    back = edits.edited(spark, [{"text": t, "drop": k} for t, k in files if k])
+    assert all("q\\" not in t for t, _ in back)
+    plain = [r for r in got if edits.ANCHOR not in r.t and r.t.endswith("\n")]
+    assert [t for t, _ in edits.edited(spark, [{"text": r.added, "without": edits.ANCHOR} for r in plain])] == [r.t if "\r" not in r.t and "\x0b" not in r.t else "a\nb\nc\n" for r in plain]
+    assert edits.edited(spark, []) == []
 
 
 def test_rename_all_touches_only_what_changes(spark):
