@@ -222,6 +222,10 @@ class Snapshot:
                 raise ConcurrentUpdate(f"index {n} was published by another writer") from e
             raise
 
+    def delete(self) -> None:
+        """The whole index."""
+        self._fs.delete(self._path(self.root), True)
+
     def fresh(self, max_age: float, now: float | None = None) -> bool:
         """Whether the index is young enough to skip the scan, with nothing pending."""
         m = self._current()

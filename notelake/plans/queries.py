@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from notelake.functions.text import title_tokens
 from notelake.operators import edits, export, graph, index, parse, quality, recommend, runs, similarity, stats
+from notelake.sources import vault
 from notelake.sources.vault import view
 from notelake.streaming.watch import latest_state
 
@@ -759,3 +761,122 @@ def conflict_counts(spark, sf):
     items = n.select(F.format_string("act_%04d", "doc_id").alias("id"), F.col("rel_path").alias("target_path"))
     now = n.where("doc_id % 7 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 11 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     return edits.conflict_summary(edits.conflicts(items, n, now))
+
+
+# Scans, exclusions and digests, on listings that the tables' rows make.
+
+
+def _listing(spark, sf):
+    """Files as a scan lists them: every fifth name isn't a note's, every eleventh can't be read, lengths are those of the contents."""
+    n = view(spark, sf)
+    path = F.when(F.col("doc_id") % 5 == 0, F.replace("rel_path", F.lit(".md"), F.lit(".png"))).when(F.col("doc_id") % 3 == 0, F.replace("rel_path", F.lit(".md"), F.lit(".MD"))).otherwise(F.col("rel_path"))
+    d = n.select("vault", "doc_id", path.alias("rel_path"), F.octet_length("content").cast("long").alias("length"), (F.col("doc_id") % 11 != 0).alias("readable"))
+    return d.withColumn("skipped", vault.skip_reason(0.004))
+
+
+_SKIPS = f"""(select doc_id, case when doc_id % 11 = 0 then 'no_permission' when doc_id % 5 = 0 then 'non_md' when octet_length(encode(content)) > {int(0.004 * 1024 * 1024)} then 'too_large' end as reason from notes)"""
+
+
+@query(f"select {', '.join(f"count(*) filter (reason = '{k}')::bigint as {k}" for k in ('non_md', 'too_large', 'no_permission'))} from {_SKIPS}")
+def scan_skip_counts(spark, sf):
+    return vault.skip_counts(_listing(spark, sf))
+
+
+@query(f"select doc_id, reason from {_SKIPS} where reason is not null")
+def scan_skipped(spark, sf):
+    return _listing(spark, sf).where("skipped is not null").select("doc_id", F.col("skipped").alias("reason"))
+
+
+@query("select rel_path, sha256(content) as sha256, octet_length(encode(content))::bigint as size from notes")
+def note_digests(spark, sf):
+    return view(spark, sf).select("rel_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+
+
+@query("select rel_path from notes where split_part(rel_path, '/', 1) not in ('src1', 'src7')")
+def excluded_folders(spark, sf):
+    return vault.exclude(view(spark, sf), ["src1", "src7"]).select("rel_path")
+
+
+@query(r"select rel_path from notes where not regexp_full_match(title, 'note-.[13-5].*') and title <> 'note-2' and not regexp_full_match(title, '.*[^0-8]')")
+def excluded_names(spark, sf):
+    """Patterns with a star are globs; a name without one is meant literally, whatever other signs it has."""
+    return vault.exclude(view(spark, sf), [], ["note-?[13-5]*", "note-2", "note-[0-9]", "*[!0-8]"]).select("rel_path")
+
+
+@query("select vault, count(*)::bigint as notes, sum(octet_length(encode(content)))::bigint as bytes from notes group by 1")
+def vault_union(spark, sf):
+    """The vaults of the view, scanned one by one and put together."""
+    n = view(spark, sf)
+    out = None
+    for name in ("de", "en", "es", "fr"):
+        one = n.where(F.col("vault") == name)
+        out = one if out is None else out.unionByName(one)
+    rest = n.where(~F.coalesce(F.col("vault").isin("de", "en", "es", "fr"), F.lit(False)))
+    return out.unionByName(rest).groupBy("vault").agg(F.count("*").alias("notes"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("select (sum(len(terms)) * 16)::bigint as bytes from tl", _TERMS)
+def memory_estimate(spark, sf):
+    """What recommendations are estimated to need, before any is made."""
+    return _v2(spark, sf).agg((F.sum(F.size("top_terms")) * 16).alias("bytes"))
+
+
+@query("select tag, count(*)::bigint as notes from (select unnest(tags) as tag from v1) group by 1 order by 2 desc, 1 limit 10")
+def common_tags(spark, sf):
+    return stats.tag_frequency(_v1(spark, sf)).select("tag", "notes").orderBy(F.desc("notes"), "tag").limit(10)
+
+
+@query(
+    r"""select rel_path, concat('{"items":[', string_agg(concat('{"title":"', target_title, '","confidence":', printf('%.3f', round_even(cast(conf as decimal(38,18)), 3)::double), ',"target_path":"', target_path, '"}'), ',' order by rank), ']}') as payload
+  from rel group by 1""",
+    _PAIRS,
+)
+def suggestion_payloads(spark, sf):
+    """Suggestions of each note as JSON, confidences with three decimals."""
+    rel = recommend.AllPairs(_v2(spark, sf)).suggestions()
+    number = F.format_string("%.3f", F.bround(F.col("confidence").cast("decimal(38,18)"), 3).cast("double"))
+    plain = F.concat(F.lit('{"title":"'), "target_title", F.lit('","confidence":'), number, F.lit(',"target_path":"'), "target_path", F.lit('"}'))
+    rows = rel.groupBy("rel_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", plain.alias("x")))), lambda v: v["x"]).alias("xs"))
+    payload = F.concat(F.lit('{"items":['), F.array_join("xs", ","), F.lit("]}"))
+    return rows.select("rel_path", F.to_json(F.from_json(payload, "items array<struct<title:string,confidence:decimal(10,3),target_path:string>>")).alias("payload"))
+
+
+def _index(spark):
+    """An index of its own in the folder for intermediate tables."""
+    graph.saved(spark.range(0))  # sets that folder where it is unset
+    return index.Snapshot(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}")
+
+
+def _indexed(spark, sf):
+    """The notes' digests as an index: all but each thirteenth written first; then these are added, each seventh changed, each eleventh of the others removed."""
+    n = view(spark, sf).select("doc_id", "rel_path", F.sha2("content", 256).alias("sha256"))
+    s = _index(spark)
+    s.write(n.where("doc_id % 13 <> 0"))
+    new = n.where("doc_id % 13 = 0 or doc_id % 7 = 0").withColumn("sha256", F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    s.apply(new, n.where("doc_id % 13 <> 0 and doc_id % 7 <> 0 and doc_id % 11 = 0").select("rel_path"), s.meta())
+    return s
+
+
+_INDEXED = """(select rel_path, case when doc_id % 7 = 0 then sha256(sha256(content)) else sha256(content) end as sha256 from notes where doc_id % 13 = 0 or doc_id % 7 = 0 or doc_id % 11 <> 0)"""
+
+
+@query(f"select * from {_INDEXED}")
+def index_after_update(spark, sf):
+    s = _indexed(spark, sf)
+    out = graph.saved(s.read().select("rel_path", "sha256"))
+    s.delete()
+    return out
+
+
+@query(f"select * from {_INDEXED} where rel_path in (select rel_path from notes where doc_id in (77, 91, 121, 123))")
+def index_lookups(spark, sf):
+    """Notes by path: a changed, an added and changed, a removed and an untouched one."""
+    s = _indexed(spark, sf)
+    paths = [r.rel_path for r in view(spark, sf).where("doc_id in (77, 91, 121, 123)").select("rel_path").collect()]
+    found = [s.found(p).select("rel_path", "sha256") for p in paths]
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    out = graph.saved(out)
+    s.delete()
+    return out
