@@ -25,43 +25,55 @@ with recursive n as (select count(*)::bigint c from documents),
 notes as materialized (select doc_id, lang as vault, concat(source,'/note-',doc_id,'.md') as rel_path, concat('note-',doc_id) as title,
   concat(case when doc_id%3=0 then concat('---',chr(10),'keywords: [',lang,', ',source,']',chr(10),'---',chr(10)) else '' end,
     coalesce(text,''), chr(10),
-    case when doc_id%5=0 then '' else concat('[[note-',(doc_id*7+3)%(select c from n),']] [[note-',(doc_id*13+5)%(2*(select c from n)),'|alias]]',chr(10)) end,
+    case when doc_id%5=0 then '' else concat('[[note-',(doc_id*7+3)%(select c from n),']] [[note-',(doc_id*13+5)%(2*(select c from
+      n)),'|alias]]',chr(10)) end,
     case when doc_id%4=0 then '' else concat('#',lang,' #',source) end) as content,
   timestamp '2024-06-30 00:00:00' - (cast(doc_id%240 as int) * interval '1' day) as modified from documents),
 cut as (select *, string_split(content, chr(10)) as ls from notes),
-cut2 as (select *, case when trim(ls[1])='---' then coalesce(list_position(list_transform(ls[2:], lambda x: trim(x)), '---'), 0) else 0 end as e from cut),
+cut2 as (select *, case when trim(ls[1])='---' then coalesce(list_position(list_transform(ls[2:], lambda x: trim(x)), '---'), 0) else 0 end as e from
+  cut),
 v2 as materialized (select doc_id, vault, rel_path, title, content, modified, e > 0 as has_fm, case when e > 0 then ls[2:e] else [] end as block,
   case when e > 0 then array_to_string(ls[e+2:], chr(10)) else content end as body from cut2),
-links2 as materialized (select rel_path, title, unnest(list_filter(list_transform(regexp_extract_all(body, '\[\[([^\[\]]+)\]\]', 1), lambda x: trim(split_part(split_part(x,'|',1),'#',1))), lambda x: x <> '')) as target from v2),
+links2 as materialized (select rel_path, title, unnest(list_filter(list_transform(regexp_extract_all(body, '\[\[([^\[\]]+)\]\]', 1), lambda x:
+  trim(split_part(split_part(x,'|',1),'#',1))), lambda x: x <> '')) as target from v2),
 res as (select l.* from links2 l where target in (select title from v2)),
 v1 as materialized (select title as name, vault, rel_path, content, modified,
   list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), lambda x: trim(split_part(split_part(x,'|',1),'#',1)))) as og,
   list_distinct(regexp_extract_all(content, '#([\p{L}\p{M}\p{N}_\-/]+)', 1)) as tags,
   len(list_filter(regexp_split_to_array(regexp_replace(content, '(?s)```.*?```', '', 'g'), '\s+'), lambda x: x <> ''))::bigint as wc from notes),
 edge as materialized (select name as src, d as dst from (select name, unnest(og) as d from v1) where d in (select name from v1)),
-deg as materialized (select v1.name, len(og)::bigint as out_degree, coalesce(i.k, 0)::bigint as in_degree, len(og)::bigint + coalesce(i.k, 0)::bigint as total from v1 left join (select dst, count(*) k from edge group by 1) i on i.dst = v1.name),
+deg as materialized (select v1.name, len(og)::bigint as out_degree, coalesce(i.k, 0)::bigint as in_degree, len(og)::bigint + coalesce(i.k, 0)::bigint
+  as total from v1 left join (select dst, count(*) k from edge group by 1) i on i.dst = v1.name),
 age as (select *, date_diff('day', modified, timestamp '2024-06-30 00:00:00')::bigint as d from v1)
 """
 _TERMS = r""",
 tok as (select rel_path, lower(unnest(regexp_extract_all(body, '[A-Za-z0-9]{3,}'))) as term from v2),
 cnt as (select rel_path, term, count(*) k from tok group by 1, 2),
 top as materialized (select rel_path, term, k, row_number() over (partition by rel_path order by k desc, term) r from cnt qualify r <= 30),
-tl as materialized (select v2.rel_path, v2.title, v2.has_fm, coalesce(list(top.term order by top.r) filter (top.term is not null), []) as terms from v2 left join top on top.rel_path = v2.rel_path group by 1, 2, 3)
+tl as materialized (select v2.rel_path, v2.title, v2.has_fm, coalesce(list(top.term order by top.r) filter (top.term is not null), []) as terms from
+  v2 left join top on top.rel_path = v2.rel_path group by 1, 2, 3)
 """
 _PAIRS = (
     _TERMS
     + r""",
 ls as (select rel_path, list_distinct(list(target)) as s from links2 group by 1),
-tt as materialized (select tl.*, list_distinct(list_filter(regexp_split_to_array(lower(title), '[\s\-_]+'), lambda x: x <> '')) as w, coalesce(ls.s, []) as s from tl left join ls on ls.rel_path = tl.rel_path),
-inter as materialized (select a.rel_path l, b.rel_path r, count(*) k from top a join top b on a.term = b.term and a.rel_path < b.rel_path group by 1, 2),
-raw0 as materialized (select a.rel_path l, b.rel_path r, a.title lt, b.title rt, coalesce(i.k / (len(a.terms) + len(b.terms) - i.k), 0.0)::double as raw,
-  coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0.0)::double as ts, coalesce(len(list_intersect(a.s, b.s)) / nullif(len(list_distinct(list_concat(a.s, b.s))), 0), 0.0)::double as lo,
+tt as materialized (select tl.*, list_distinct(list_filter(regexp_split_to_array(lower(title), '[\s\-_]+'), lambda x: x <> '')) as w, coalesce(ls.s,
+  []) as s from tl left join ls on ls.rel_path = tl.rel_path),
+inter as materialized (select a.rel_path l, b.rel_path r, count(*) k from top a join top b on a.term = b.term and a.rel_path < b.rel_path group by 1,
+  2),
+raw0 as materialized (select a.rel_path l, b.rel_path r, a.title lt, b.title rt, coalesce(i.k / (len(a.terms) + len(b.terms) - i.k), 0.0)::double as
+  raw,
+  coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0.0)::double as ts, coalesce(len(list_intersect(a.s,
+    b.s)) / nullif(len(list_distinct(list_concat(a.s, b.s))), 0), 0.0)::double as lo,
   case when split_part(a.rel_path,'/',1) <> split_part(b.rel_path,'/',1) then 0.9 else 1.0 end::double as factor
   from tt a join tt b on a.rel_path < b.rel_path left join inter i on i.l = a.rel_path and i.r = b.rel_path),
 hist as (select raw, count(*) m from raw0 group by 1),
-q as materialized (select raw, m, ((2*(sum(m) over (order by raw) - m) + m - 1) / 2.0)::double / (select greatest(count(*) - 1, 1) from raw0)::double as q from hist),
-p as materialized (select l, r, lt, rt, raw0.raw, q.q as cs, ts, lo, factor, least(greatest((q.q*0.6::double + ts*0.3::double + lo*0.1::double)*factor, 0.0::double), 1.0::double) as conf from raw0 join q on q.raw = raw0.raw),
-both2 as (select l as rel_path, r as target_path, rt as target_title, conf from p where conf >= 0.3 union all select r, l, lt, conf from p where conf >= 0.3),
+q as materialized (select raw, m, ((2*(sum(m) over (order by raw) - m) + m - 1) / 2.0)::double / (select greatest(count(*) - 1, 1) from raw0)::double
+  as q from hist),
+p as materialized (select l, r, lt, rt, raw0.raw, q.q as cs, ts, lo, factor, least(greatest((q.q*0.6::double + ts*0.3::double +
+  lo*0.1::double)*factor, 0.0::double), 1.0::double) as conf from raw0 join q on q.raw = raw0.raw),
+both2 as (select l as rel_path, r as target_path, rt as target_title, conf from p where conf >= 0.3 union all select r, l, lt, conf from p where conf
+  >= 0.3),
 rel as materialized (select *, row_number() over (partition by rel_path order by conf desc, target_path) rank from both2 qualify rank <= 3)
 """
 )
@@ -69,33 +81,42 @@ _META = (
     _PAIRS
     + r""",
 best as (select rel_path, max(conf) c, list(target_title order by rank) t from rel group by 1),
-meta as (select tt.rel_path, case when not has_fm and len(terms) > 0 then array_to_string(list_sort(terms)[1:3], ',') end as keywords, case when regexp_matches(title, '[-_]') then translate(title, '-_', '  ') end as aliases,
+meta as (select tt.rel_path, case when not has_fm and len(terms) > 0 then array_to_string(list_sort(terms)[1:3], ',') end as keywords, case when
+  regexp_matches(title, '[-_]') then translate(title, '-_', '  ') end as aliases,
   array_to_string(t, ',') as related, coalesce(c, 0.25::double) as conf from tt left join best on best.rel_path = tt.rel_path)
 """
 )
 _STOP = ",".join(f"'{w}'" for w in similarity.STOP_WORDS)
 _TFIDF = rf""",
-cw as (select name, list_filter(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '\[\[.*?\]\]', '', 'g'), '\[.*?\]\(.*?\)', '', 'g'), '[#*_`]', '', 'g')), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: x),
-  lambda x: regexp_full_match(x, '[a-z]{{2,}}') and x not in ({_STOP})) as w, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') and x not in ({_STOP}))) as tw, tags, og, wc from v1),
+cw as (select name, list_filter(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content,
+  '(?s)```.*?```', '', 'g'), '\[\[.*?\]\]', '', 'g'), '\[.*?\]\(.*?\)', '', 'g'), '[#*_`]', '', 'g')), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: x),
+  lambda x: regexp_full_match(x, '[a-z]{{2,}}') and x not in ({_STOP})) as w, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9_]+'),
+    lambda x: regexp_full_match(x, '[a-z]{{2,}}') and x not in ({_STOP}))) as tw, tags, og, wc from v1),
 tf as materialized (select name, word, count(*) c from (select name, unnest(w) as word from cw) group by 1, 2),
 tz as (select name, sum(c) s from tf group by 1), df as (select word, count(*) d from tf group by 1),
-vec as materialized (select tf.name, tf.word, (c / s::double) * ln((select count(*) from v1)::double / d) as weight from tf join tz on tz.name = tf.name join df on df.word = tf.word),
+vec as materialized (select tf.name, tf.word, (c / s::double) * ln((select count(*) from v1)::double / d) as weight from tf join tz on tz.name =
+  tf.name join df on df.word = tf.word),
 nrm as (select name, sqrt(sum(weight*weight)) nn from vec group by 1),
 unit as materialized (select vec.name, word, weight / nn as u from vec join nrm on nrm.name = vec.name where weight <> 0),
 dots as materialized (select a.name l, b.name r, sum(a.u*b.u) c from unit a join unit b on a.word = b.word and a.name < b.name group by 1, 2),
-sp0 as (select a.name l, b.name r, round(coalesce(dots.c, 0), 9) content, case when len(a.tw) = 0 or len(b.tw) = 0 then 0 else len(list_intersect(a.tw, b.tw)) / len(list_distinct(list_concat(a.tw, b.tw))) end as title,
-  case when len(a.tags) = 0 or len(b.tags) = 0 then 0 else len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) end as tag, list_contains(a.og, b.name) or list_contains(b.og, a.name) as linked, a.wc wl, b.wc wr
+sp0 as (select a.name l, b.name r, round(coalesce(dots.c, 0), 9) content, case when len(a.tw) = 0 or len(b.tw) = 0 then 0 else
+  len(list_intersect(a.tw, b.tw)) / len(list_distinct(list_concat(a.tw, b.tw))) end as title,
+  case when len(a.tags) = 0 or len(b.tags) = 0 then 0 else len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) end
+    as tag, list_contains(a.og, b.name) or list_contains(b.og, a.name) as linked, a.wc wl, b.wc wr
   from cw a join cw b on a.name < b.name left join dots on dots.l = a.name and dots.r = b.name),
-sp as materialized (select *, round(content*0.6::double + title*0.2::double + tag*0.2::double, 9) as sim, case when content > 0.5 then 'content' when title > 0.3 then 'title' when tag > 0.3 then 'tags' else 'mixed' end as reason from sp0)
+sp as materialized (select *, round(content*0.6::double + title*0.2::double + tag*0.2::double, 9) as sim, case when content > 0.5 then 'content' when
+  title > 0.3 then 'title' when tag > 0.3 then 'tags' else 'mixed' end as reason from sp0)
 """
 _QUAL = r""",
 qs0 as (select age.name, wc, out_degree, in_degree, len(tags)::bigint n_tags, total t,
   case when wc < 100 then wc/100*50 when wc < 500 then 50 + (wc-100)/400*50 else 100 end::double as words,
   case when total = 0 then 0 when total < 2 then total/2*50 when total < 5 then 50 + (total-2)/3*50 else 100 end::double as links,
   case when len(tags) = 0 then 0 when len(tags) < 1 then 0 when len(tags) < 3 then 50 + (len(tags)-1)/2*50 else 100 end::double as tagscore,
-  case when d <= 7 then 100 when d <= 30 then 90 when d <= 90 then 70 when d <= 180 then 50 else 30 end::double as freshness from age join deg on deg.name = age.name),
+  case when d <= 7 then 100 when d <= 30 then 90 when d <= 90 then 70 when d <= 180 then 50 else 30 end::double as freshness from age join deg on
+    deg.name = age.name),
 qs1 as (select *, words*0.25 + links*0.35 + tagscore*0.15 + freshness*0.25 as total from qs0),
-qs as materialized (select *, case when total >= 90 then 'A' when total >= 80 then 'B' when total >= 70 then 'C' when total >= 60 then 'D' else 'F' end as grade from qs1)
+qs as materialized (select *, case when total >= 90 then 'A' when total >= 80 then 'B' when total >= 70 then 'C' when total >= 60 then 'D' else 'F'
+  end as grade from qs1)
 """
 
 
@@ -155,7 +176,12 @@ def _v1(spark, sf, **how):
     return parse.parse_v1(view(spark, sf, **how).withColumn("vault", F.lit("notes")))
 
 
-@query("select (select count(*) from v2)::bigint notes, (select count(*) from v2 where has_fm)::bigint frontmatter_notes, (select count(*) from links2)::bigint total_links, (select count(*) from res)::bigint resolved_links, (select count(distinct target) from links2 where target not in (select title from v2))::bigint broken_targets, (select count(*) from v2 where rel_path not in (select rel_path from links2) and title not in (select target from res))::bigint orphans")
+@query(
+    """select (select count(*) from v2)::bigint notes, (select count(*) from v2 where has_fm)::bigint frontmatter_notes, (select count(*) from
+  links2)::bigint total_links, (select count(*) from res)::bigint resolved_links, (select count(distinct target) from links2 where target not in
+  (select title from v2))::bigint broken_targets, (select count(*) from v2 where rel_path not in (select rel_path from links2) and title not in
+  (select target from res))::bigint orphans"""
+)
 def health_summary(spark, sf):
     return graph.health(_links(spark, sf))
 
@@ -234,19 +260,28 @@ def recency_buckets(spark, sf):
     return stats.recency(view(spark, sf), AS_OF)
 
 
-@query(f"select count(*)::bigint total_notes, sum(wc)::bigint total_words, sum(len(og))::bigint total_links, count(*) filter (len(tags)=0)::bigint untagged, (sum(wc) // count(*))::bigint avg_word_count, {_m('sum(len(og))/count(*)')} avg_links, count(*) filter (d <= 7)::bigint within_7, count(*) filter (d <= 30)::bigint within_30, count(*) filter (d <= 90)::bigint within_90, (select count(*) from deg where total = 0)::bigint orphans, (select count(distinct t) from (select unnest(tags) t from v1))::bigint unique_tags, ((select count(*) from edge a join edge b on a.src = b.dst and a.dst = b.src) // 2)::bigint bidirectional from age")
+@query(
+    f"""select count(*)::bigint total_notes, sum(wc)::bigint total_words, sum(len(og))::bigint total_links, count(*) filter (len(tags)=0)::bigint untagged,
+  (sum(wc) // count(*))::bigint avg_word_count, {_m('sum(len(og))/count(*)')} avg_links, count(*) filter (d <= 7)::bigint within_7, count(*) filter (d
+  <= 30)::bigint within_30, count(*) filter (d <= 90)::bigint within_90, (select count(*) from deg where total = 0)::bigint orphans, (select
+  count(distinct t) from (select unnest(tags) t from v1))::bigint unique_tags, ((select count(*) from edge a join edge b on a.src = b.dst and a.dst =
+  b.src) // 2)::bigint bidirectional from age"""
+)
 def vault_stats(spark, sf):
     return stats.vault_stats(_v1(spark, sf), AS_OF)
 
 
 _CLASH = r""",
 k0 as (select * replace (concat('note-', (doc_id % (1 + (select c from n) // 3))::bigint) as title) from notes),
-k1 as materialized (select title as name, * exclude (title), list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), lambda x: trim(split_part(split_part(x,'|',1),'#',1)))) as og,
+k1 as materialized (select title as name, * exclude (title), list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), lambda
+  x: trim(split_part(split_part(x,'|',1),'#',1)))) as og,
   list_distinct(regexp_extract_all(content, '#([\p{L}\p{M}\p{N}_\-/]+)', 1)) as tags,
   len(list_filter(regexp_split_to_array(regexp_replace(content, '(?s)```.*?```', '', 'g'), '\s+'), lambda x: x <> ''))::bigint as wc
   from (select *, row_number() over (partition by vault, title order by rel_path desc) as o from k0) where o = 1),
-kedge as materialized (select e.vault, e.name as src, e.d as dst from (select vault, name, unnest(og) as d from k1) e join k1 t on t.vault = e.vault and t.name = e.d),
-kdeg as materialized (select k1.vault, k1.name, len(og)::bigint as out_degree, coalesce(i.k, 0)::bigint as in_degree from k1 left join (select vault, dst, count(*) k from kedge group by all) i on i.vault = k1.vault and i.dst = k1.name)
+kedge as materialized (select e.vault, e.name as src, e.d as dst from (select vault, name, unnest(og) as d from k1) e join k1 t on t.vault = e.vault
+  and t.name = e.d),
+kdeg as materialized (select k1.vault, k1.name, len(og)::bigint as out_degree, coalesce(i.k, 0)::bigint as in_degree from k1 left join (select vault,
+  dst, count(*) k from kedge group by all) i on i.vault = k1.vault and i.dst = k1.name)
 """
 
 
@@ -317,7 +352,8 @@ def frontmatter_fields(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
         "doc_id", "concat(source, '/note-', doc_id, '.md') as rel_path",
         """concat('---\n', case when doc_id%3=0 then concat('keywords: [', lang, ', ', source, ', ', lang, ']\n') else '' end, 'title: x\n- lost\n',
-        case when doc_id%2=0 then concat('aliases:\n  - alias ', doc_id, '\n  -  b\n  - b\n') else '' end, case when doc_id%5=0 then concat('related:  note-', doc_id+1, '\n') else 'related: []\n' end, '---\n', coalesce(text, '')) as content""",
+        case when doc_id%2=0 then concat('aliases:\n  - alias ', doc_id, '\n  -  b\n  - b\n') else '' end, case when doc_id%5=0 then
+          concat('related:  note-', doc_id+1, '\n') else 'related: []\n' end, '---\n', coalesce(text, '')) as content""",
     )
     fm = parse.split_frontmatter(d).select("rel_path", parse.frontmatter(F.col("block")).alias("f"))
     return fm.select("rel_path", *[F.array_join(f"f.{k}", ",").alias(k) for k in ("keywords", "aliases", "related")])
@@ -379,7 +415,8 @@ adj as (select l a, r b from me union select r, l from me),
 reach(a, b) as (select a, a from adj union select reach.a, adj.b from reach join adj on adj.a = reach.b),
 comp as materialized (select a as node, min(b) as component from reach group by 1),
 mean as (select component, round_even(cast(avg(conf) as decimal(38,18)), 3)::double as average from me join comp on node = l group by 1),
-clus as (select component, string_agg(node, ',' order by node) as candidates, any_value(average) as average from comp join mean using (component) group by 1)
+clus as (select component, string_agg(node, ',' order by node) as candidates, any_value(average) as average from comp join mean using (component)
+  group by 1)
 """
 
 
@@ -421,7 +458,11 @@ def action_top_files(spark, sf):
     return edits.top_files(_plan(spark, sf))
 
 
-@query("select count(*)::bigint actions, count(distinct target_path)::bigint files from act where risk_class = 'A' and type in ('append_related_links_section', 'add_frontmatter_fields')", _PLAN)
+@query(
+    """select count(*)::bigint actions, count(distinct target_path)::bigint files from act where risk_class = 'A' and type in
+  ('append_related_links_section', 'add_frontmatter_fields')""",
+    _PLAN,
+)
 def action_summary(spark, sf):
     return edits.action_summary(edits.applicable(_plan(spark, sf)))
 
@@ -498,12 +539,20 @@ def similar_pairs_all(spark, sf):
     return similarity.similar_pairs(_v1(spark, sf)).select("l", "r", "similarity", "reason")
 
 
-@query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.45", _TFIDF)
+@query(
+    f"""select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter
+  (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.45""",
+    _TFIDF,
+)
 def similar_stats(spark, sf):
     return similarity.similar_stats(_v1(spark, sf), 0.45)
 
 
-@query(f"select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.3", _TFIDF)
+@query(
+    f"""select count(*)::bigint pairs, count(*) filter (sim >= 0.7)::bigint high, count(*) filter (sim >= 0.5 and sim < 0.7)::bigint medium, count(*) filter
+  (sim < 0.5)::bigint low, {_m('avg(sim)')} mean, {_m('max(sim)')} highest, {_m('min(sim)')} lowest from sp where sim >= 0.3""",
+    _TFIDF,
+)
 def similar_stats_all(spark, sf):
     """Statistics of all pairs from the default minimum of 0.3 on."""
     return similarity.similar_stats(_v1(spark, sf))
@@ -527,19 +576,31 @@ def related_unlinked_all(spark, sf):
     return similarity.linked_flag(similarity.similar_pairs(n), n).select("l", "r", "linked")
 
 
-@query(f"select l, r, {_m('sim')} similarity, case when wl < 200 and wr < 200 then 'short' when reason = 'title' then 'similar_title' else 'similar' end as cause from sp where sim >= 0.6 and ((wl < 200 and wr < 200) or sim > 0.8)", _TFIDF)
+@query(
+    f"""select l, r, {_m('sim')} similarity, case when wl < 200 and wr < 200 then 'short' when reason = 'title' then 'similar_title' else 'similar' end as
+  cause from sp where sim >= 0.6 and ((wl < 200 and wr < 200) or sim > 0.8)""",
+    _TFIDF,
+)
 def merge_suggestions(spark, sf):
     n = _v1(spark, sf)
     return similarity.merge_suggestions(similarity.similar_pairs(n, 0.6), n).drop("vault")
 
 
-@query("select l, r, rank::bigint as rank, word from (select l, r, a.word, row_number() over (partition by l, r order by a.weight + b.weight desc, a.word) as rank from sp join vec a on a.name = l join vec b on b.name = r and b.word = a.word where sim >= 0.7) where rank <= 10", _TFIDF)
+@query(
+    """select l, r, rank::bigint as rank, word from (select l, r, a.word, row_number() over (partition by l, r order by a.weight + b.weight desc, a.word) as
+  rank from sp join vec a on a.name = l join vec b on b.name = r and b.word = a.word where sim >= 0.7) where rank <= 10""",
+    _TFIDF,
+)
 def pair_common_words(spark, sf):
     n = _v1(spark, sf)
     return similarity.common_words(n, similarity.similar_pairs(n, 0.7)).drop("vault")
 
 
-@query(f"select case when l = 'note-99' then r else l end as other, {_m('sim')} similarity from sp where sim >= 0.3 and (l = 'note-99' or r = 'note-99') order by sim desc, 1 limit 5", _TFIDF)
+@query(
+    f"""select case when l = 'note-99' then r else l end as other, {_m('sim')} similarity from sp where sim >= 0.3 and (l = 'note-99' or r = 'note-99') order
+  by sim desc, 1 limit 5""",
+    _TFIDF,
+)
 def similar_to_note(spark, sf):
     return similarity.to_note(_v1(spark, sf), "note-99").drop("vault")
 
@@ -572,9 +633,11 @@ _FORMS = """select doc_id, concat(case when doc_id%5=0 then chr(65279) else '' e
 
 
 @query(
-    f"""forms as ({_FORMS} from notes), ends as (select doc_id, starts_with(t, chr(65279)) as bom, (len(t) - len(replace(t, concat(chr(13), chr(10)), ''))) // 2 as crlf,
+    f"""forms as ({_FORMS} from notes), ends as (select doc_id, starts_with(t, chr(65279)) as bom, (len(t) - len(replace(t, concat(chr(13), chr(10)), ''))) //
+  2 as crlf,
   len(t) - len(replace(t, chr(10), '')) as every from forms)
-select count(*) filter (bom)::bigint bom, count(*) filter (doc_id%11=0)::bigint non_utf8, count(*) filter (every = 0)::bigint eol_none, count(*) filter (crlf > 0 and every > crlf)::bigint eol_mixed,
+select count(*) filter (bom)::bigint bom, count(*) filter (doc_id%11=0)::bigint non_utf8, count(*) filter (every = 0)::bigint eol_none, count(*)
+  filter (crlf > 0 and every > crlf)::bigint eol_mixed,
   count(*) filter (crlf > 0 and every = crlf)::bigint eol_crlf, count(*) filter (crlf = 0 and every > 0)::bigint eol_lf from ends""",
     ",",
 )
@@ -584,13 +647,19 @@ def eol_encoding(spark, sf):
     return parse.encoding(forms.select(F.concat(F.col("t").cast("binary"), odd).alias("content")))
 
 
-@query("with s as (select o_orderkey::bigint run_id, epoch(o_orderdate)::bigint mtime, o_custkey::bigint as size from orders) select run_id, mtime, size, (select max(mtime) from s) - mtime <= 86400 * 365 as keep from s")
+@query(
+    """with s as (select o_orderkey::bigint run_id, epoch(o_orderdate)::bigint mtime, o_custkey::bigint as size from orders) select run_id, mtime, size,
+  (select max(mtime) from s) - mtime <= 86400 * 365 as keep from s"""
+)
 def retention_by_age(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.col("o_custkey").alias("size"))
     return runs.retention(o, o.agg(F.max("mtime")).first()[0], 86400 * 365)
 
 
-@query(f"select a.rel_path l, b.rel_path r, {_m('case when split_part(a.rel_path, chr(47), 1) <> split_part(b.rel_path, chr(47), 1) then 0.9 else 1.0 end')} factor from notes a join notes b on b.doc_id = (a.doc_id*7+3) % (select c from n)")
+@query(
+    f"""select a.rel_path l, b.rel_path r, {_m('case when split_part(a.rel_path, chr(47), 1) <> split_part(b.rel_path, chr(47), 1) then 0.9 else 1.0 end')}
+  factor from notes a join notes b on b.doc_id = (a.doc_id*7+3) % (select c from n)"""
+)
 def path_penalty(spark, sf):
     a = view(spark, sf)
     n = a.count()
@@ -598,13 +667,20 @@ def path_penalty(spark, sf):
     return pairs.select(F.col("rel_path").alias("l"), "r", parse.path_penalty(F.col("rel_path"), F.col("r")).alias("factor"))
 
 
-@query("with s as (select o_orderkey::bigint run_id, epoch(o_orderdate)::bigint mtime, o_custkey::bigint as size from orders), w as (select *, row_number() over (order by mtime desc, run_id desc) n, sum(size) over (order by mtime desc, run_id desc) upto from s) select run_id, mtime, size, (n <= 500 and upto <= 300000) as keep from w")
+@query(
+    """with s as (select o_orderkey::bigint run_id, epoch(o_orderdate)::bigint mtime, o_custkey::bigint as size from orders), w as (select *, row_number()
+  over (order by mtime desc, run_id desc) n, sum(size) over (order by mtime desc, run_id desc) upto from s) select run_id, mtime, size, (n <= 500 and
+  upto <= 300000) as keep from w"""
+)
 def retention_running_size(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.col("o_custkey").alias("size"))
     return runs.retention(o, 0, None, 500, 300_000)
 
 
-@query("select v1.name, rel_path, wc as word_count, out_degree, in_degree, total as total_links, array_to_string(list_sort(tags), ', ') as tags, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified, case when total = 0 then 'Yes' else 'No' end as orphan from v1 join deg on deg.name = v1.name")
+@query(
+    """select v1.name, rel_path, wc as word_count, out_degree, in_degree, total as total_links, array_to_string(list_sort(tags), ', ') as tags,
+  strftime(modified, '%Y-%m-%d %H:%M:%S') as modified, case when total = 0 then 'Yes' else 'No' end as orphan from v1 join deg on deg.name = v1.name"""
+)
 def notes_csv(spark, sf):
     return export.notes_rows(_v1(spark, sf)).drop("vault")
 
@@ -614,7 +690,10 @@ def tags_csv(spark, sf):
     return export.tag_rows(_v1(spark, sf))
 
 
-@query(f"with x as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r, count(*) over (partition by user_id) k from events) select user_id, k::bigint events, event_type, {_m('value')} as value, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from x where r = 1")
+@query(
+    f"""with x as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r, count(*) over (partition by user_id) k from events)
+  select user_id, k::bigint events, event_type, {_m('value')} as value, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from x where r = 1"""
+)
 def watch_latest_state(spark, sf):
     return latest_state(spark.read.parquet(f"{sf}/events.parquet")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
@@ -648,7 +727,10 @@ def apply_frontmatter_fields(spark, sf):
     return view(spark, sf).select("rel_path", F.sha2(edits.add_fields(F.col("content"), fields), 256).alias("digest"))
 
 
-@query("select rel_path, sha256(case when has_fm then concat('---', chr(10), '---', chr(10), body) else concat('---', chr(10), 'keywords:', chr(10), '  - k', chr(10), '---', chr(10), content) end) as digest from v2")
+@query(
+    """select rel_path, sha256(case when has_fm then concat('---', chr(10), '---', chr(10), body) else concat('---', chr(10), 'keywords:', chr(10), '  - k',
+  chr(10), '---', chr(10), content) end) as digest from v2"""
+)
 def rollback_frontmatter_keys(spark, sf):
     """Keys are added, then aliases removed, and keywords too where they were there before."""
     i = F.col("doc_id").cast("string")
@@ -658,7 +740,10 @@ def rollback_frontmatter_keys(spark, sf):
     return v.select("rel_path", F.sha2(bare, 256).alias("digest"))
 
 
-@query("select rel_path, sha256(replace(content, '[[note-13]]', '[[renamed]]')) as digest from (select rel_path, replace(content, '[[note-13|', '[[renamed|') as content from notes)")
+@query(
+    """select rel_path, sha256(replace(content, '[[note-13]]', '[[renamed]]')) as digest from (select rel_path, replace(content, '[[note-13|', '[[renamed|')
+  as content from notes)"""
+)
 def rename_links(spark, sf):
     one = F.create_map(F.lit("note-13"), F.lit("renamed"))
     return view(spark, sf).select("rel_path", F.sha2(edits.rename_links(F.col("content"), one), 256).alias("digest"))
@@ -676,7 +761,10 @@ def rename_map_all(spark, sf):
     return edits.rename_all(v, renames).select("vault", "rel_path", F.sha2("content", 256).alias("digest"))
 
 
-@query("select distinct concat('act-', (doc_id*7+3)%(2*(select c from n))) as dependency from notes where doc_id%5<>0 and (doc_id*7+3)%(2*(select c from n)) not in (select doc_id from notes)")
+@query(
+    """select distinct concat('act-', (doc_id*7+3)%(2*(select c from n))) as dependency from notes where doc_id%5<>0 and (doc_id*7+3)%(2*(select c from n))
+  not in (select doc_id from notes)"""
+)
 def missing_dependencies(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
     name = lambda c: F.concat(F.lit("act-"), c.cast("string"))
@@ -705,7 +793,11 @@ def orphans_v1_few_links(spark, sf):
     return graph.degrees(n).where("total = 0").drop("vault").join(n, "name").select("name", F.date_format("modified", "yyyy-MM-dd").alias("modified"))
 
 
-@query("select row_number() over (order by modified desc, deg.name)::bigint as place, deg.name from deg join v1 on v1.name = deg.name where total = 0 order by 1 limit 20", view_of=_as_few_links)
+@query(
+    """select row_number() over (order by modified desc, deg.name)::bigint as place, deg.name from deg join v1 on v1.name = deg.name where total = 0 order by
+  1 limit 20""",
+    view_of=_as_few_links,
+)
 def orphans_listed_few_links(spark, sf):
     """The first 20 orphans, last changed first, with their place."""
     first = export.orphan_rows(_v1(spark, sf, **FEW_LINKS)).limit(20).withColumn("m", -F.unix_micros(F.col("modified").cast("timestamp")))
@@ -713,7 +805,8 @@ def orphans_listed_few_links(spark, sf):
 
 
 @query(
-    """select v1.name as "Note Name", wc as "Word Count", array_to_string(list_sort(tags), ', ') as "Tags", strftime(modified, '%Y-%m-%d %H:%M:%S') as "Modified Date", rel_path as "Path"
+    """select v1.name as "Note Name", wc as "Word Count", array_to_string(list_sort(tags), ', ') as "Tags", strftime(modified, '%Y-%m-%d %H:%M:%S') as
+  "Modified Date", rel_path as "Path"
   from v1 join deg on deg.name = v1.name where total = 0""",
     view_of=_as_few_links,
 )
@@ -729,7 +822,8 @@ def quality_excellent_rich(spark, sf):
 @query(
     r"""select rel_path, concat('## Related', chr(10), '<!-- """
     + edits.ANCHOR
-    + r""" -->', chr(10), string_agg(concat('- [[', target_title, ']] (', printf('%.2f', round_even(cast(conf as decimal(38,18)), 2)::double), ')'), chr(10) order by rank), chr(10)) as block
+    + r""" -->', chr(10), string_agg(concat('- [[', target_title, ']] (',
+    printf('%.2f', round_even(cast(conf as decimal(38,18)), 2)::double), ')'), chr(10) order by rank), chr(10)) as block
   from rel group by 1""",
     _PAIRS,
 )
@@ -741,7 +835,8 @@ _DIGITS = "round_even(cast({} as decimal(38,18)), 3)::double"
 
 
 @query(
-    f"""select rel_path, rank::bigint as rank, {", ".join(_m(_DIGITS.format(c)) + " as " + n for c, n in (("cs", "content_sim"), ("ts", "title_sim"), ("lo", "link_overlap"), ("raw", "raw_content_sim")))},
+    f"""select rel_path, rank::bigint as rank,
+  {", ".join(_m(_DIGITS.format(c)) + " as " + n for c, n in (("cs", "content_sim"), ("ts", "title_sim"), ("lo", "link_overlap"), ("raw", "raw_content_sim")))},
   case when factor < 1 then 'path_penalty=0.90' else '' end as filters, 'quantile' as norm_method
   from rel join p on p.l = least(rel.rel_path, rel.target_path) and p.r = greatest(rel.rel_path, rel.target_path)""",
     _PAIRS,
@@ -753,7 +848,8 @@ def suggestion_reasons(spark, sf):
 
 
 @query(
-    """select case when doc_id % 7 = 0 then 'missing' else 'changed' end as reason, count(*)::bigint as conflicts from v2 where doc_id % 7 = 0 or doc_id % 11 = 0 group by 1"""
+    """select case when doc_id % 7 = 0 then 'missing' else 'changed' end as reason, count(*)::bigint as conflicts from v2 where doc_id % 7 = 0 or doc_id % 11
+  = 0 group by 1"""
 )
 def conflict_counts(spark, sf):
     """Actions for every note, after each seventh note has gone and each eleventh has changed."""
@@ -774,7 +870,8 @@ def _listing(spark, sf):
     return d.withColumn("skipped", vault.skip_reason(0.004))
 
 
-_SKIPS = f"""(select doc_id, case when doc_id % 11 = 0 then 'no_permission' when doc_id % 5 = 0 then 'non_md' when octet_length(encode(content)) > {int(0.004 * 1024 * 1024)} then 'too_large' end as reason from notes)"""
+_SKIPS = f"""(select doc_id, case when doc_id % 11 = 0 then 'no_permission' when doc_id % 5 = 0 then 'non_md' when octet_length(encode(content)) >
+  {int(0.004 * 1024 * 1024)} then 'too_large' end as reason from notes)"""
 
 
 @query(f"select {', '.join(f"count(*) filter (reason = '{k}')::bigint as {k}" for k in ('non_md', 'too_large', 'no_permission'))} from {_SKIPS}")
@@ -827,7 +924,8 @@ def common_tags(spark, sf):
 
 
 @query(
-    r"""select rel_path, concat('{"items":[', string_agg(concat('{"title":"', target_title, '","confidence":', printf('%.3f', round_even(cast(conf as decimal(38,18)), 3)::double), ',"target_path":"', target_path, '"}'), ',' order by rank), ']}') as payload
+    r"""select rel_path, concat('{"items":[', string_agg(concat('{"title":"', target_title, '","confidence":', printf('%.3f', round_even(cast(conf as
+  decimal(38,18)), 3)::double), ',"target_path":"', target_path, '"}'), ',' order by rank), ']}') as payload
   from rel group by 1""",
     _PAIRS,
 )
@@ -857,7 +955,8 @@ def _indexed(spark, sf):
     return s
 
 
-_INDEXED = """(select rel_path, case when doc_id % 7 = 0 then sha256(sha256(content)) else sha256(content) end as sha256 from notes where doc_id % 13 = 0 or doc_id % 7 = 0 or doc_id % 11 <> 0)"""
+_INDEXED = """(select rel_path, case when doc_id % 7 = 0 then sha256(sha256(content)) else sha256(content) end as sha256 from notes where doc_id % 13 = 0 or doc_id
+  % 7 = 0 or doc_id % 11 <> 0)"""
 
 
 @query(f"select * from {_INDEXED}")
