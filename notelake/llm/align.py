@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,29 +110,40 @@ class _Segments:
         """Whether the tokens spell each segment, and ids, numbers and bytes of both sides, of those that they spell."""
         (tok_a, bytes_a), (tok_b, bytes_b, _) = _first(self.paths[0]), _second(self.paths[1])
         ids = [[e.ids for e in tok_a.encode_batch_fast(segments, add_special_tokens=False)], tok_b.encode([s[1:] for s in segments], num_threads=1)] if segments else [[], []]
-        spelt = lambda of, x: b"".join([of[i] for i in x])
-        whole = [spelt(bytes_a, x) == s.encode() == spelt(bytes_b, y) for s, x, y in zip(segments, *ids, strict=True)]
-        out = [np.array(whole, bool)]
+        spelt = [s.encode() for s in segments]
+        want, text = np.fromiter(map(len, spelt), np.int64, len(spelt)), b"".join(spelt)
+        whole, out = np.ones(len(segments), bool), []
         for of, own in zip((bytes_a, bytes_b), ids, strict=True):
-            own = [x if w else [] for x, w in zip(own, whole, strict=True)]
-            flat = [i for x in own for i in x]
-            out += [np.array(flat, np.int32), np.fromiter(map(len, own), np.int64, len(own)), np.fromiter((len(of[i]) for i in flat), np.int32, len(flat))]
-        return out
+            flat = list(chain.from_iterable(own))
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            tokens = [of[i] for i in flat]
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            at = np.append(0, np.cumsum(n))
+            got = np.diff(np.append(0, np.cumsum(size))[at])
+            if not np.array_equal(got, want) or b"".join(tokens) != text:  # some are not spelt
+                whole &= [b"".join(tokens[i:j]) == s for i, j, s in zip(at, at[1:], spelt, strict=False)]
+            out += [np.array(flat, np.int32), n, size.astype(np.int32)]
+        if not whole.all():
+            for i in (0, 3):
+                keep = np.repeat(whole, out[i + 1])
+                out[i : i + 3] = out[i][keep], np.where(whole, out[i + 1], 0), out[i + 2][keep]
+        return [whole, *out]
 
     def texts(self) -> list[bytes]:
-        """Groups of each segment, written out."""
-        at_a, at_b = np.append(0, np.cumsum(self.n_a)), np.append(0, np.cumsum(self.n_b))
-        out = []
+        """Groups of each segment, written out: ids with the sign that comes after each, in the order of groups and sides."""
+        ends = [[f"{i}{sign}".encode() for i in range(1 + max(self.a.max(initial=0), self.b.max(initial=0)))] for sign in ",|;"]
+        at_a, at_b, out = np.append(0, np.cumsum(self.n_a)), np.append(0, np.cumsum(self.n_b)), []
         for lo in range(0, len(self.n_a), _BATCH):
             hi = min(lo + _BATCH, len(self.n_a))
-            sides = []
-            for ids, group, at in ((self.a, self.group_a, at_a), (self.b, self.group_b, at_b)):
-                own = ids[at[lo] : at[hi]].tolist()
-                cut = np.flatnonzero(np.diff(group[at[lo] : at[hi]], prepend=-1)).tolist()
-                sides.append([",".join(map(str, own[i:j])) for i, j in zip(cut, [*cut[1:], len(own)], strict=True)])
-            parts = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-            at = np.append(0, np.cumsum(self.n_groups[lo:hi])).tolist()
-            out += [";".join(parts[i:j]).encode() for i, j in zip(at, at[1:], strict=False)]
+            own_a, own_b = slice(at_a[lo], at_a[hi]), slice(at_b[lo], at_b[hi])
+            key = np.concatenate([self.group_a[own_a] * 2, self.group_b[own_b] * 2 + 1])
+            order = np.argsort(key, kind="stable")
+            key, ids = key[order], np.concatenate([self.a[own_a], self.b[own_b]])[order]
+            after = np.append(key[1:], -2)
+            sign = np.where(after == key, 0, np.where(after == key + (key % 2 == 0), 1, 2))
+            signed = [ends[k][i] for k, i in zip(sign.tolist(), ids.tolist(), strict=True)]
+            tokens = np.append(0, np.cumsum(self.n_a[lo:hi] + self.n_b[lo:hi])).tolist()
+            out += [b"".join(signed[i:j])[:-1] for i, j in zip(tokens, tokens[1:], strict=False)]
         return out
 
 
