@@ -9,7 +9,7 @@ keeps an unfinished character only. Beside the text and its result memory is tha
 lookahead run through the same transducer without its emission step, as nothing is settled before their end.
 
 Defined results: null texts are empty; an empty text has no tokens and decodes to an empty text; special tokens inside a text
-are one token each, as in the tokenizers library. Other columns are ignored.
+are one token each, as in the tokenizers library; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

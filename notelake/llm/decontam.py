@@ -6,7 +6,8 @@ candidates must lie within the document (length and position bounds), and the wi
 
 Benchmark words are sent as literals in batches of at most `batch` distinct words, so what is broadcast is bounded
 and nothing is left out. Defined results: null and word-less texts have no words and are clean; null item_ids count like others, as
-the string `null`; repeated items and rows change nothing but their own rows; documents are matched by id and text, so a doc_id may repeat.
+the string `null`; repeated items and rows change nothing but their own rows; documents are matched by id and text, so a doc_id may repeat;
+an empty table of documents gives no rows, without items all documents are clean. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ discards pairs that are clearly below the threshold; what is left is confirmed o
 
 Defined results: null, empty and word-less texts have an empty set and link with nothing; documents shorter than n words
 have the whole sequence as their one shingle; repeated rows of one doc_id count as one node; rows with a null doc_id get
-a null component and are kept. Only doc_id and text are read, so other columns don't matter.
+a null component and are kept; an empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
