@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,6 +72,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For jobs of many steps: shuffle files of frames made within are deleted when a query of theirs has ended, as each step is read from
+    what it has written. Without it they stay until the driver's JVM happens to collect garbage, while the executors' disks fill up. Should a
+    later query need a file that has gone, Spark runs its stage again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (u, v), by star contraction; rounds are cut by reliable checkpoints."""
     e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

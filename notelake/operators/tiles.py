@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import saved
+from .graph import released_shuffles, saved
 
 PACKED = "part string, b long, data binary"
 #: Terms whose pairs fill so large a part of a tile go through a matrix product.
@@ -105,15 +105,16 @@ def ratio(both: np.ndarray | None, a: Sets, b: Sets) -> np.ndarray | float:
 
 def blocks(rows: DataFrame, key: str, pack: Callable[[pa.Table], pa.Table], size: int = 2000) -> DataFrame:
     """rows: part, key and what pack reads. (part, b, data): blocks of about `size` rows of a part, sorted by key and packed."""
-    n = rows.groupBy("part").agg(F.ceil(F.count("*") / size).alias("of"))
-    dealt = rows.join(n, "part").withColumn("b", F.pmod(F.xxhash64(key), F.col("of"))).drop("of")
 
     def run(table: pa.Table) -> pa.Table:
         own = table.select(["part", "b"]).slice(0, 1)
         table = pack(table.drop(["part", "b"]).sort_by(key))
         return own.append_column("data", pa.array([packed(table)], pa.binary()))
 
-    return saved(dealt.groupBy("part", "b").applyInArrow(run, PACKED))
+    with released_shuffles(rows.sparkSession):
+        n = rows.groupBy("part").agg(F.ceil(F.count("*") / size).alias("of"))
+        dealt = rows.join(n, "part").withColumn("b", F.pmod(F.xxhash64(key), F.col("of"))).drop("of")
+        return saved(dealt.groupBy("part", "b").applyInArrow(run, PACKED))
 
 
 Block = tuple[int, pa.Table]
