@@ -259,7 +259,7 @@ class Codec:
         special = self.special
         for stretch in self.stretches(text):
             out: list[bytes] = []
-            for k, part in enumerate(self.split.split(stretch) if special and "<|" in stretch else (stretch,)):
+            for k, part in enumerate(self.split.split(stretch) if special and any(s in stretch for s in special) else (stretch,)):
                 if k % 2:
                     out.append(np.int32(special[part]).tobytes())
                     continue

@@ -170,6 +170,25 @@ def test_bpe(docs, empty, spark):
     assert bpe.encode_documents(empty, TOKENIZER).count() == 0
 
 
+def test_special_tokens_of_any_form():
+    """Files whose special tokens look otherwise."""
+    import json
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    from tokenizers import Tokenizer
+
+    for a in spec["added_tokens"]:
+        if a["content"] == "<|endoftext|>":
+            a["content"] = "[SEP]"
+    text = json.dumps(spec)
+    t = Tokenizer.from_str(text)
+    t.no_padding()
+    t.no_truncation()
+    for x in ("a [SEP] b", "[SEP][SEP]", "the <|endoftext|> end", "no [sep] here"):
+        assert bpe.Codec(text).encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_bpe_streams_with_bounded_memory():
     c = bpe.Codec(open(TOKENIZER, encoding="utf-8").read())
     rnd = random.Random(5)
