@@ -72,7 +72,8 @@ class AllPairs:
         rows = parsed.select(
             F.lit("").alias("part"), F.col("rel_path").alias("path"), folder.alias("folder"), ids(F.col("top_terms")).alias("terms"), ids(F.col("title_tokens")).alias("title"), ids(F.col("link_set")).alias("links")
         )
-        self.blocks, self._hist, self._table = blocks(rows, "path", lambda t: t, size), None, None
+        # Written before it is counted and dealt, as the terms of a note are dear and their hashes few.
+        self.blocks, self._hist, self._table = blocks(saved(rows), "path", lambda t: t, size), None, None
 
     def histogram(self) -> DataFrame:
         """both, size, pairs: how many pairs have so many common terms, and terms in the two notes together."""
