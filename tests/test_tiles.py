@@ -95,3 +95,27 @@ def test_order_statistics(spark):
     for rank in (0, 1, 77, 200, 398, 399):
         assert stats.order_statistic(df, "x", rank, parts=8) == sorted(values)[rank]
     assert stats.order_statistic(df, "x", 400) is None and stats.order_statistic(df.limit(0), "x", 0) is None
+
+
+@pytest.mark.parametrize("size", [2000, 6])
+def test_merges_without_pair_rows(spark, size):
+    parsed, c = corpus(spark).persist(), recommend.Scoring(merge=0.75)
+    p = recommend.AllPairs(parsed, c, size)
+    rows = lambda m: sorted((r.component, tuple(r.candidates), r.average_confidence) for r in m.collect())
+    want = rows(recommend.merges(p.pairs(c.merge), c))
+    assert want and rows(p.merges()) == want
+
+
+def test_pairs_leave_a_task_in_slices(spark, monkeypatch):
+    """The rows that one unit of tiles returns are handed on tile by tile, in slices, instead of being gathered."""
+    from notelake.operators import tiles
+
+    p, seen = recommend.AllPairs(corpus(spark, 60), recommend.Scoring(), 10), []
+    monkeypatch.setattr(recommend, "over_units", lambda packs, kernel, schema: seen.append((packs, kernel)) or tiles.over_units(packs, kernel, schema))
+    assert p.pairs(0.0, reasons=False).columns == ["l", "r", "confidence"]
+    packs, kernel = seen[-1]
+    loaded = [(r.b, tiles.unpacked(r.data)) for r in sorted(packs.collect(), key=lambda r: r.b)]
+    out = kernel(loaded, loaded)
+    assert not isinstance(out, pa.Table)
+    sizes = [t.num_rows for t in out]
+    assert len(sizes) >= len(loaded) and sum(sizes) == 60 * 59 // 2 and max(sizes) < 60 * 59 // 4
