@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notelake.functions.text import FENCE, lines, strip, title_tokens, tokens, words
+from notelake.functions.text import FENCE, lines, strip, title_tokens, words
 
 _KEYS = ("keywords", "aliases", "related")
+_TOKEN = re.compile("[A-Za-z0-9]{3,}")
 
 
 def split_frontmatter(notes: DataFrame) -> DataFrame:
@@ -49,15 +55,27 @@ def links_v2(body: Column) -> Column:
     return F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)\.md$", ""))
 
 
+def top_terms(body: Column, terms: int) -> Column:
+    """The most frequent tokens of each text (as tokens(); count desc, term asc). They are counted where the text is, so neither texts nor words are shuffled."""
+
+    @F.arrow_udf("array<string>")
+    def best(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            found: Counter[str] = Counter()
+            for word, k in Counter(_TOKEN.findall(text.as_py() or "")).items():
+                found[word.lower()] += k
+            out.append([w for w, _ in nsmallest(terms, found.items(), key=lambda x: (-x[1], x[0]))])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return best(body)
+
+
 def parse_v2(notes: DataFrame, terms: int = 30) -> DataFrame:
     """notes (vault, rel_path, title, content) with front-matter, links, title tokens and the top terms (count desc, term asc)."""
     n = split_frontmatter(notes)
     n = n.withColumns({"frontmatter": frontmatter(F.col("block")), "links": links_v2(F.col("body")), "title_tokens": title_tokens(F.col("title"))}).withColumn("link_set", F.array_distinct("links"))
-    key = ["vault", "rel_path"]
-    counted = n.select(*key, F.explode(tokens(F.col("body"))).alias("term")).groupBy(*key, "term").count()
-    best = counted.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("count"), "term"))).where(F.col("r") <= terms)
-    tops = best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("t")).select(*key, F.transform("t", lambda x: x["term"]).alias("top_terms"))
-    return n.join(tops, key, "left").withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>")))
+    return n.withColumn("top_terms", top_terms(F.col("body"), terms))
 
 
 def links_v1(content: Column) -> Column:

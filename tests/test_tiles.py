@@ -119,3 +119,17 @@ def test_pairs_leave_a_task_in_slices(spark, monkeypatch):
     assert not isinstance(out, pa.Table)
     sizes = [t.num_rows for t in out]
     assert len(sizes) >= len(loaded) and sum(sizes) == 60 * 59 // 2 and max(sizes) < 60 * 59 // 4
+
+
+def test_top_terms_are_counted_where_the_text_is(spark):
+    from pyspark.sql import functions as F
+
+    from notelake.functions.text import tokens
+
+    texts = ["b10 B10 aaa Aaa zz zzz", None, "", "é abc-abc_ABC Kab İabc xyz" * 3, " ".join(f"w{i % 97} v{i % 13}x" for i in range(900))]
+    d = spark.createDataFrame([("v" if i else None, f"n{i}.md", f"n{i}", t) for i, t in enumerate(texts)], "vault string, rel_path string, title string, content string")
+    words = {r.rel_path: r.w or [] for r in d.select("rel_path", tokens(F.col("content")).alias("w")).collect()}
+    p = parse.parse_v2(d).select("rel_path", "top_terms")
+    want = {k: sorted(set(w), key=lambda x: (-w.count(x), x))[:30] for k, w in words.items()}
+    assert {r.rel_path: r.top_terms for r in p.collect()} == want
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
