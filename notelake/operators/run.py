@@ -83,7 +83,7 @@ def _recommend(notes: DataFrame, c: recommend.Scoring) -> tuple[DataFrame, DataF
     """Suggestions, metadata, merges (all written), and how many are of low confidence."""
     pairs = recommend.AllPairs(notes, c)
     rel = graph.saved(pairs.suggestions())
-    meta, merged = graph.saved(recommend.metadata(notes, rel, c)), graph.saved(pairs.merges())
+    meta, merged = graph.saved(recommend.metadata(notes, rel, c)), graph.saved(recommend.merges(pairs, c))
     return rel, meta, merged, recommend.low_confidence(meta, rel, c).first()[0]
 
 
